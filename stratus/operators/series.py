@@ -102,7 +102,9 @@ def sequence(
     df, kcols = key_columns(df, key)
     if bucket is None:
         first = order[0]
-        bucket = time_bucket(first if isinstance(first, str) else first)
+        if not (isinstance(first, str) and isinstance(df.schema[first].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))):
+            raise ValueError("pass `bucket` (a coarse, non-decreasing function of the order) for non-time orders")
+        bucket = time_bucket(first)
     keyed = df.withColumn(_BUCKET, F.coalesce(bucket, F.lit(_LAST_BUCKET).cast("long")))
     ranked = keyed.withColumn(
         "__r", F.row_number().over(Window.partitionBy(*kcols, _BUCKET).orderBy(*_order_cols(order)))
