@@ -1,7 +1,7 @@
 """Registry binding each operator to the supplied tables, with its DuckDB oracle SQL.
 
 ``QUERIES[name](spark, sf_dir) -> DataFrame`` and ``ORACLE[name] -> SQL``.  Spark results
-pass through :func:`tidy` (doubles rounded to 6 places, -0.0 folded to 0.0, small
+pass through :func:`tidy` (doubles rounded half-up to 6 places, -0.0 folded to 0.0, small
 integers widened to bigint); the SQL side applies the same rounding with :func:`R`.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 DIGITS = 6
+SCALE = float(10**DIGITS)
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -23,7 +24,8 @@ def tidy(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), DIGITS) + F.lit(0.0)
+            x = c.cast("double")
+            c = F.when(F.abs(x) < F.lit(1e12), F.floor(x * F.lit(SCALE) + F.lit(0.5)).cast("double") / F.lit(SCALE)).otherwise(x) + F.lit(0.0)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         cols.append(c.alias(f.name))
@@ -31,8 +33,10 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 def R(expr: str) -> str:
-    """SQL twin of the double rounding in :func:`tidy`."""
-    return f"(round(CAST({expr} AS DOUBLE), {DIGITS}) + 0.0)"
+    """SQL twin of the double rounding in :func:`tidy` (same IEEE steps in both engines,
+    so ties such as ``x.xxxxxx5`` round alike)."""
+    x = f"CAST({expr} AS DOUBLE)"
+    return f"(CASE WHEN abs({x}) < 1e12 THEN floor({x} * {SCALE!r} + 0.5) / {SCALE!r} ELSE {x} END + 0.0)"
 
 
 def query(name: str, sql: str | None = None):
