@@ -29,7 +29,7 @@ def label_encode_fit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     values = parts[0]
     for p in parts[1:]:
         values = values.unionByName(p)
-    distinct = values.groupBy("column", "value").agg()
+    distinct = values.select("column", "value").distinct()
     return distinct.withColumn("code", (F.dense_rank().over(Window.partitionBy("column").orderBy("value")) - 1).cast("long"))
 
 

@@ -123,14 +123,16 @@ def roc_curve(df: DataFrame, y_true: str = "y_true", score: str = "prob") -> Dat
 
 
 def roc_auc(df: DataFrame, y_true: str = "y_true", score: str = "prob") -> DataFrame:
-    """Area under the ROC curve (ties count half), i.e. the Mann-Whitney statistic."""
+    """Area under the ROC curve (ties count half), i.e. the Mann-Whitney statistic.
+
+    With ``fp(s)`` the negatives scored at or above ``s``, negatives strictly below are
+    ``N - fp(s)``; every term is a plain aggregate over the distinct-score table.
+    """
     tot = _score_totals(df, y_true, score)
-    # negatives strictly below a score = all negatives - negatives at or above it
-    N = df.select(F.count_if(F.col(y_true).cast("int") != 1)).scalar()
-    P = df.select(F.count_if(F.col(y_true).cast("int") == 1)).scalar()
-    below = N - F.col("fp")
-    u = F.sum(F.col("pos").cast("double") * below + F.lit(0.5) * F.col("pos") * F.col("neg"))
-    return tot.agg(F.try_divide(u, (P * N).cast("double")).alias("auc"))
+    pos, neg, fp = (F.col(c).cast("double") for c in ("pos", "neg", "fp"))
+    P, N = F.sum(pos), F.sum(neg)
+    u = P * N - F.sum(pos * fp) + F.lit(0.5) * F.sum(pos * neg)
+    return tot.agg(F.try_divide(u, P * N).alias("auc"))
 
 
 def regression_metrics(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:

@@ -48,6 +48,8 @@ def rf_classifier(
         featureSubsetStrategy="sqrt",
         seed=seed,
         maxBins=max_bins,
+        maxMemoryInMB=1024,
+        cacheNodeIds=True,
         predictionCol="__pred",
         probabilityCol="__prob",
         rawPredictionCol="__raw",
@@ -76,6 +78,8 @@ def rf_regressor(
         featureSubsetStrategy="all",
         seed=seed,
         maxBins=max_bins,
+        maxMemoryInMB=1024,
+        cacheNodeIds=True,
         predictionCol="__pred",
     )
     return Pipeline(stages=[_assembler(features), rf])

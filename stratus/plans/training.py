@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stratus.functions.roles import TRAINING_EXCLUDED_COLUMNS, resolve_time_columns
 from stratus.operators import clean, encode, metrics, models, sampling
 from stratus.operators.stats import numeric_columns
+from stratus.session import tune_for_wide_plans
 from stratus.sources.models import ModelBundle
 
 
@@ -42,8 +43,11 @@ def prepare_training(
     targets = [target_class] + ([target_reg] if target_reg and target_reg in df.columns else [])
     feats = [c for c in df.columns if c not in skip and c not in targets]
     text = [c for c in feats if df.schema[c].dataType.typeName() == "string"]
-    encoder = encode.label_encode_fit(df, text) if text else None
+    tune_for_wide_plans(df.sparkSession)
+    encoder = encode.label_encode_fit(df, text).checkpoint(eager=True) if text else None
     data = encode.label_encode_apply(df, encoder, text) if text else df
+    # cut the lineage once the categories are coded: everything below re-reads these rows
+    data = data.checkpoint(eager=True)
     feats = [c for c in feats if c in text or c in numeric_columns(data)]
     data = clean.drop_sparse_rows(data, feats, targets, max_null_fraction)
     data = data.select(*feats, *targets, *[c for c in data.columns if c not in feats and c not in targets])
@@ -79,7 +83,7 @@ def train_models(
     train = encode.with_class_weight(train, target_class)
     report = []
     clf_pipe = models.rf_classifier(prep.features, target_class, "weight", num_trees, max_depth, seed=seed)
-    folds = sampling.kfold(train, cv_folds, key=key, label=target_class, seed=seed)
+    folds = sampling.kfold(train, cv_folds, key=key, label=target_class, seed=seed).checkpoint(eager=True)
     cv = models.cross_validate(folds, clf_pipe, "fold", target_class, "classification", cv_folds).collect()
     clf = clf_pipe.fit(train)
     scored = models.score_classifier(clf, test)
@@ -93,13 +97,15 @@ def train_models(
         rsplit = sampling.random_split(data, key, test_fraction, seed).checkpoint(eager=True)
         rtrain, rtest = rsplit.where(~F.col("is_test")), rsplit.where(F.col("is_test"))
         reg_pipe = models.rf_regressor(prep.features, target_reg, num_trees, max_depth, seed=seed)
-        rfolds = sampling.kfold(rtrain, cv_folds, key=key, label=None, order=[sampling.hash_order(key, seed), *key], bucket=F.shiftright(sampling.hash_order(key, seed), 48))
+        h = sampling.hash_order(key, seed)
+        rfolds = sampling.kfold(rtrain, cv_folds, key=key, label=None, order=[h, *key], bucket=F.shiftright(h, 48)).checkpoint(eager=True)
         rcv = models.cross_validate(rfolds, reg_pipe, "fold", target_reg, "regression", cv_folds).collect()
         reg = reg_pipe.fit(rtrain)
         rscored = models.score_regressor(reg, rtest, out="__mm")
         rm = metrics.regression_metrics(rscored, target_reg, "__mm").first().asDict()
         report += [("regression", k, float(v)) for k, v in rm.items() if v is not None]
         rscores = [r["score"] for r in rcv]
+        report += [("regression", f"cv_r2_fold{r['fold']}", r["score"]) for r in rcv]
         report += [("regression", "cv_r2_mean", sum(rscores) / len(rscores)), ("regression", "cv_r2_std", models.population_std(rscores))]
     spark = df.sparkSession
     report_df = spark.createDataFrame(report, "model string, metric string, value double")

@@ -53,3 +53,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, f"stratus-{name}-{uuid.uuid4().hex[:12]}")
+
+
+def tune_for_wide_plans(spark: SparkSession) -> None:
+    """Feature tables carry dozens of derived columns; Catalyst's constraint propagation
+    grows combinatorially over such projections joined with encoder tables and can stall
+    planning for minutes.  Filters here gain nothing from inferred constraints."""
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
