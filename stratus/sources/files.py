@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+# microsecond timestamps survive a CSV round trip (the default keeps milliseconds)
+TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
 
 def scan_csv(
     spark: SparkSession,
@@ -20,6 +23,7 @@ def scan_csv(
     """Processed / uploaded CSV with a header.  Pass ``schema`` for production reads;
     without it types are inferred (an extra pass over the data, for ad-hoc use)."""
     r = spark.read.option("header", str(header).lower()).option("sep", sep).option("encoding", encoding)
+    r = r.option("timestampNTZFormat", TS_FORMAT).option("timestampFormat", TS_FORMAT + "XXX")
     r = r.schema(schema) if schema is not None else r.option("inferSchema", "true")
     return r.csv(path if isinstance(path, str) else list(path))
 
@@ -42,7 +46,15 @@ def scan_glob_union(
 
 def sink_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",") -> str:
     """UTF-8 CSV with a header (one folder of part files)."""
-    df.write.mode(mode).option("header", "true").option("sep", sep).option("encoding", "UTF-8").csv(path)
+    (
+        df.write.mode(mode)
+        .option("header", "true")
+        .option("sep", sep)
+        .option("encoding", "UTF-8")
+        .option("timestampNTZFormat", TS_FORMAT)
+        .option("timestampFormat", TS_FORMAT + "XXX")
+        .csv(path)
+    )
     return path
 
 
