@@ -51,31 +51,39 @@ def drop_outliers_sigma(df: DataFrame, columns: Sequence[str] | None = None, k:
 def outliers_iqr(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Per column: count and % of rows outside ``[Q1 - 1.5 IQR, Q3 + 1.5 IQR]`` and both bounds.
 
-    Quartiles use linear interpolation (pandas ``quantile``).  Output is long form:
-    ``column, n_outliers, pct_outliers, lower_bound, upper_bound`` (pct and bounds rounded to 2).
+    Quartiles use linear interpolation (pandas ``quantile``).  Two passes in total: one
+    aggregate computes every column's quartiles, a second counts the rows outside the
+    fences (the quartile row is attached as merged scalar subqueries).  Output is long
+    form: ``column, n_outliers, pct_outliers, lower_bound, upper_bound`` (rounded to 2).
     """
     columns = list(columns) if columns is not None else numeric_columns(df)
-    q = (lambda c, p: F.percentile(c, p)) if exact else (lambda c, p: F.percentile_approx(c, p, 10_000))
-    rows = []
-    for c in columns:
+    probs = F.array(F.lit(0.25), F.lit(0.75))
+    q = (lambda x: F.percentile(x, probs)) if exact else (lambda x: F.percentile_approx(x, [0.25, 0.75], 10_000))
+    quart = df.agg(*[q(F.col(c).cast("double")).alias(f"q{i}") for i, c in enumerate(columns)])
+    aggs, bounds = [F.count(F.lit(1)).alias("rows")], []
+    for i, c in enumerate(columns):
         x = F.col(c).cast("double")
-        q1 = column_stat(df, q(x, F.lit(0.25)).cast("double"))
-        q3 = column_stat(df, q(x, F.lit(0.75)).cast("double"))
-        lo = q1 - F.lit(1.5) * (q3 - q1)
-        hi = q3 + F.lit(1.5) * (q3 - q1)
-        rows.append(
-            df.agg(
-                F.lit(c).alias("column"),
-                F.count_if((x < lo) | (x > hi)).cast("long").alias("n_outliers"),
-                F.round(F.count_if((x < lo) | (x > hi)) * F.lit(100.0) / F.count(F.lit(1)), 2).alias("pct_outliers"),
-                F.round(F.first(lo), 2).alias("lower_bound"),
-                F.round(F.first(hi), 2).alias("upper_bound"),
+        q1 = quart.select(F.col(f"q{i}")[0].cast("double")).scalar()
+        q3 = quart.select(F.col(f"q{i}")[1].cast("double")).scalar()
+        lo, hi = q1 - F.lit(1.5) * (q3 - q1), q3 + F.lit(1.5) * (q3 - q1)
+        aggs += [F.count_if((x < lo) | (x > hi)).alias(f"n{i}"), F.first(lo).alias(f"lo{i}"), F.first(hi).alias(f"hi{i}")]
+    wide = df.agg(*aggs)
+    return wide.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(c).alias("column"),
+                        F.col(f"n{i}").cast("long").alias("n_outliers"),
+                        F.round(F.col(f"n{i}") * F.lit(100.0) / F.col("rows"), 2).alias("pct_outliers"),
+                        F.round(F.col(f"lo{i}"), 2).alias("lower_bound"),
+                        F.round(F.col(f"hi{i}"), 2).alias("upper_bound"),
+                    )
+                    for i, c in enumerate(columns)
+                ]
             )
         )
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    )
 
 
 def drop_null_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
