@@ -192,3 +192,32 @@ def q_rounding(spark, sf):
     """Banker's rounding of report figures (eighths hit the .x25/.x75 ties)."""
     ev = table(spark, sf, "events")
     return ev.select("event_id", round_half_even(F.expr(ROUND_INPUT), 2).alias("rounded"))
+
+
+_FEATURE_INPUT = ["event_id", "station_id", "event_type", "rain_mm", "temp", "humidity", "pressure", "radiation", "wind_speed"]
+
+
+@query(
+    "select_features",
+    "SELECT event_id, station_id, event_type, "
+    + ", ".join(f"{R(c)} AS {c}" for c in ["temp", "humidity", "pressure", "radiation", "wind_speed"])
+    + f" FROM {obs_sql()} o",
+)
+def q_select_features(spark, sf):
+    """Model inputs: every column except time columns and the targets (label and amount)."""
+    df = features.rain_label(obs(spark, sf).select("ts", *_FEATURE_INPUT), "rain_mm").withColumnRenamed("ts", "datetime")
+    return df.select(*clean.select_features(df, targets=("Chuva", "rain_mm")))
+
+
+@query(
+    "rename_drop_temp",
+    """SELECT event_id, d AS Data, h AS Hora, try_strptime(d || ' ' || h, '%Y/%m/%d %H%M') AS datetime
+FROM (SELECT event_id, strftime(ts, '%Y/%m/%d') AS d, strftime(ts, '%H%M') AS h FROM events) t""",
+)
+def q_rename_drop_temp(spark, sf):
+    """Helper columns (parsed date, padded hour) are added, combined and dropped again."""
+    ev = table(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy/MM/dd").alias("Data"), F.date_format("ts", "HHmm").alias("Hora"))
+    tmp = ev.withColumns({"data_temp": F.col("Data"), "hora_temp": F.lpad(F.col("Hora"), 4, "0")})
+    from stratus.functions.calendar import build_timestamp
+
+    return tmp.withColumn("datetime", build_timestamp(F.col("data_temp"), F.col("hora_temp"))).drop("data_temp", "hora_temp")
