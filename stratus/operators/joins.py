@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratus.session import reliable_checkpoint
+
 BROADCAST_MAX_ROWS = 1_000_000
 
 
@@ -18,7 +20,7 @@ def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "
     at most ``max_rows`` rows.  Otherwise a regular shuffle join is planned, with AQE's
     skew-join splitting hot keys.
     """
-    small = small.checkpoint(eager=True)
+    small = reliable_checkpoint(small)
     if small.count() <= max_rows:
         small = F.broadcast(small)
     return big.join(small, on=list(on), how=how)

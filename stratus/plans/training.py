@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stratus.functions.roles import TRAINING_EXCLUDED_COLUMNS, resolve_time_columns
 from stratus.operators import clean, encode, metrics, models, sampling
 from stratus.operators.stats import numeric_columns
-from stratus.session import tune_for_wide_plans
+from stratus.session import reliable_checkpoint, tune_for_wide_plans
 from stratus.sources.models import ModelBundle
 
 
@@ -44,10 +44,10 @@ def prepare_training(
     feats = [c for c in df.columns if c not in skip and c not in targets]
     text = [c for c in feats if df.schema[c].dataType.typeName() == "string"]
     tune_for_wide_plans(df.sparkSession)
-    encoder = encode.label_encode_fit(df, text).checkpoint(eager=True) if text else None
+    encoder = reliable_checkpoint(encode.label_encode_fit(df, text)) if text else None
     data = encode.label_encode_apply(df, encoder, text) if text else df
     # cut the lineage once the categories are coded: everything below re-reads these rows
-    data = data.checkpoint(eager=True)
+    data = reliable_checkpoint(data)
     feats = [c for c in feats if c in text or c in numeric_columns(data)]
     data = clean.drop_sparse_rows(data, feats, targets, max_null_fraction)
     data = data.select(*feats, *targets, *[c for c in data.columns if c not in feats and c not in targets])
@@ -76,14 +76,14 @@ def train_models(
     row (hash order of splits and folds).
     """
     prep = prepare_training(df, target_class, target_reg, exclude=[*exclude, *key])
-    data = prep.data.checkpoint(eager=True)  # reused by folds, fit and evaluation
+    data = reliable_checkpoint(prep.data)  # reused by folds, fit and evaluation
     models.check_rows(data)
-    split = sampling.stratified_split(data, key, target_class, test_fraction, seed).checkpoint(eager=True)
+    split = reliable_checkpoint(sampling.stratified_split(data, key, target_class, test_fraction, seed))
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     train = encode.with_class_weight(train, target_class)
     report = []
     clf_pipe = models.rf_classifier(prep.features, target_class, "weight", num_trees, max_depth, seed=seed)
-    folds = sampling.kfold(train, cv_folds, key=key, label=target_class, seed=seed).checkpoint(eager=True)
+    folds = reliable_checkpoint(sampling.kfold(train, cv_folds, key=key, label=target_class, seed=seed))
     cv = models.cross_validate(folds, clf_pipe, "fold", target_class, "classification", cv_folds).collect()
     clf = clf_pipe.fit(train)
     scored = models.score_classifier(clf, test)
@@ -94,11 +94,11 @@ def train_models(
     report += [("classification", "cv_f1_mean", sum(scores) / len(scores)), ("classification", "cv_f1_std", models.population_std(scores))]
     reg = None
     if target_reg:
-        rsplit = sampling.random_split(data, key, test_fraction, seed).checkpoint(eager=True)
+        rsplit = reliable_checkpoint(sampling.random_split(data, key, test_fraction, seed))
         rtrain, rtest = rsplit.where(~F.col("is_test")), rsplit.where(F.col("is_test"))
         reg_pipe = models.rf_regressor(prep.features, target_reg, num_trees, max_depth, seed=seed)
         h = sampling.hash_order(key, seed)
-        rfolds = sampling.kfold(rtrain, cv_folds, key=key, label=None, order=[h, *key], bucket=F.shiftright(h, 48)).checkpoint(eager=True)
+        rfolds = reliable_checkpoint(sampling.kfold(rtrain, cv_folds, key=key, label=None, order=[h, *key], bucket=F.shiftright(h, 48)))
         rcv = models.cross_validate(rfolds, reg_pipe, "fold", target_reg, "regression", cv_folds).collect()
         reg = reg_pipe.fit(rtrain)
         rscored = models.score_regressor(reg, rtest, out="__mm")

@@ -60,3 +60,10 @@ def tune_for_wide_plans(spark: SparkSession) -> None:
     grows combinatorially over such projections joined with encoder tables and can stall
     planning for minutes.  Filters here gain nothing from inferred constraints."""
     spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+
+
+def reliable_checkpoint(df):
+    """``df.checkpoint()`` into the shared ``spark.checkpoint.dir`` (registered first if the
+    session has not done so); survives executor loss, unlike a local checkpoint."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
