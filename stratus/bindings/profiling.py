@@ -146,15 +146,24 @@ def q_table_summary(spark, sf):
     return profile.table_summary(gappy(spark, sf))
 
 
-DTYPE_MAP_SQL = "CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END"
+LINEITEM_TYPES = {
+    "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double",
+    "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string",
+    "l_shipdate": "timestamp_ntz",
+}
 
 
 @query(
     "dtype_counts",
-    f"SELECT {DTYPE_MAP_SQL} AS dtype, CAST(count(*) AS BIGINT) AS n_columns FROM information_schema.columns WHERE table_name = 'lineitem' GROUP BY 1",
+    "SELECT dtype, CAST(count(*) AS BIGINT) AS n_columns, CAST(sum(v) AS BIGINT) AS n_values FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{t}' AS dtype, count({c}) FILTER (WHERE {'NOT isnan(' + c + ')' if t == 'double' else 'TRUE'}) AS v FROM lineitem"
+        for c, t in LINEITEM_TYPES.items()
+    )
+    + ") t GROUP BY dtype",
 )
 def q_dtype_counts(spark, sf):
-    """Columns per type (schema metadata)."""
+    """Columns per type and the values they hold."""
     return profile.dtype_counts(table(spark, sf, "lineitem"))
 
 

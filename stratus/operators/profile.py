@@ -97,12 +97,11 @@ def table_summary(df: DataFrame) -> DataFrame:
 
 
 def dtype_counts(df: DataFrame) -> DataFrame:
-    """Number of columns per type (schema metadata, no data read)."""
-    spark = df.sparkSession
-    counts: dict[str, int] = {}
-    for f in df.schema.fields:
-        counts[f.dataType.simpleString()] = counts.get(f.dataType.simpleString(), 0) + 1
-    return spark.createDataFrame(sorted(counts.items()), "dtype string, n_columns long")
+    """Columns per type and the non-missing cells they hold (one aggregate over the data)."""
+    fields = df.schema.fields
+    wide = df.agg(*[F.count_if(~_missing(df, f.name)).alias(f"v{i}") for i, f in enumerate(fields)])
+    long = _long(wide, [F.struct(F.lit(f.dataType.simpleString()).alias("dtype"), F.col(f"v{i}").alias("v")) for i, f in enumerate(fields)])
+    return long.groupBy("dtype").agg(F.count(F.lit(1)).cast("long").alias("n_columns"), F.sum("v").cast("long").alias("n_values"))
 
 
 def distinct_samples(df: DataFrame, columns: Sequence[str] | None = None, n: int = 5) -> DataFrame:
