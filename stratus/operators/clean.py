@@ -60,7 +60,7 @@ def outliers_iqr(df: DataFrame, columns: Sequence[str] | None = None, exact: boo
     probs = F.array(F.lit(0.25), F.lit(0.75))
     q = (lambda x: F.percentile(x, probs)) if exact else (lambda x: F.percentile_approx(x, [0.25, 0.75], 10_000))
     quart = df.agg(*[q(F.col(c).cast("double")).alias(f"q{i}") for i, c in enumerate(columns)])
-    aggs, bounds = [F.count(F.lit(1)).alias("rows")], []
+    aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
         q1 = quart.select(F.col(f"q{i}")[0].cast("double")).scalar()

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROC_BUCKETS = 4096
+ROC_BUCKETS = 65_536
 
 
 def confusion_matrix(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
@@ -99,7 +99,7 @@ def _score_totals(df: DataFrame, y_true: str, score: str, buckets: int = ROC_BUC
     b = F.least(F.floor((hi - F.col("score")) / F.greatest(hi - lo, F.lit(1e-300)) * buckets), F.lit(buckets - 1)).cast("long")
     per = per.withColumn("__b", b)
     per_bucket = per.groupBy("__b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # ≤ `buckets` rows
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows
     offsets = per_bucket.select("__b", F.coalesce(F.sum("bp").over(before), F.lit(0)).alias("op"), F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("on"))
     inside = Window.partitionBy("__b").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
     local = per.withColumns({"lp": F.sum("pos").over(inside), "ln": F.sum("neg").over(inside)})
