@@ -182,7 +182,34 @@ def _trained(spark, sf):
     return _TRAINED[sf]
 
 
-@query("prepare_training")
+def _prepare_sql():
+    from stratus.bindings.fixtures import obs_sql
+
+    season = "CASE WHEN month(ts) IN (12, 1, 2) THEN 'verao' WHEN month(ts) IN (3, 4, 5) THEN 'outono' WHEN month(ts) IN (6, 7, 8) THEN 'inverno' ELSE 'primavera' END"
+    period = "CASE WHEN hour(ts) >= 6 AND hour(ts) < 12 THEN 'manha' WHEN hour(ts) >= 12 AND hour(ts) < 18 THEN 'tarde' WHEN hour(ts) >= 18 AND hour(ts) < 24 THEN 'noite' ELSE 'madrugada' END"
+    base = f"(SELECT *, coalesce(event_type, 'nan') AS et, {season} AS es, {period} AS pd FROM {obs_sql()} o)"
+    enc = lambda col: f"(SELECT value, dense_rank() OVER (ORDER BY value) - 1 AS code FROM (SELECT DISTINCT {col} AS value FROM {base} b) d)"
+    plain = ["temp", "humidity", "pressure", "radiation", "wind_speed", "temp_max", "temp_min", "dew_point", "humidity_max", "humidity_min", "pressure_max", "pressure_min"]
+    cal = {
+        "ano": "year(ts)", "mes": "month(ts)", "dia": "day(ts)", "hora": "hour(ts)", "dia_semana": "isodow(ts) - 1",
+        "dia_ano": "dayofyear(ts)", "semana_ano": "week(ts)",
+        "hora_sin": "sin(2 * pi() * hour(ts) / 24)", "hora_cos": "cos(2 * pi() * hour(ts) / 24)",
+        "mes_sin": "sin(2 * pi() * month(ts) / 12)", "mes_cos": "cos(2 * pi() * month(ts) / 12)",
+        "fim_semana": "CASE WHEN isodow(ts) - 1 >= 5 THEN 1 ELSE 0 END",
+        "amplitude_termica": "temp_max - temp_min", "spread_temp_orvalho": "temp - dew_point",
+        "variacao_pressao": "pressure_max - pressure_min", "variacao_umidade": "humidity_max - humidity_min",
+        "indice_desconforto": "temp - 0.55 * (1.0 - 0.01 * humidity) * (temp - 14.5)", "radiacao_norm": "radiation / 1000.0",
+    }
+    cols = [f"{R(c)} AS {c}" for c in plain] + [f"{R(e)} AS {n}" for n, e in cal.items()]
+    cols += [f"{R('e1.code')} AS event_type", f"{R('e2.code')} AS estacao", f"{R('e3.code')} AS periodo_dia"]
+    cols += ["CAST(CASE WHEN rain_mm > 0 THEN 1 ELSE 0 END AS BIGINT) AS Chuva", f"{R('rain_mm')} AS rain_mm", "event_id", "station_id", "ts AS datetime"]
+    return (
+        f"SELECT {', '.join(cols)} FROM {base} b JOIN {enc('et')} e1 ON b.et = e1.value "
+        f"JOIN {enc('es')} e2 ON b.es = e2.value JOIN {enc('pd')} e3 ON b.pd = e3.value"
+    )
+
+
+@query("prepare_training", _prepare_sql())
 def q_prepare_training(spark, sf):
     """Encoded, filtered and median-filled feature table."""
     p = training.prepare_training(training_table(spark, sf), "Chuva", "rain_mm", exclude=["event_id", "station_id"])

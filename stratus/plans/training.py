@@ -39,7 +39,10 @@ def prepare_training(
     """
     if target_class not in df.columns:
         raise ValueError(f"target column {target_class!r} not found")
-    skip = set(TRAINING_EXCLUDED_COLUMNS) | set(resolve_time_columns(df.columns).values()) | set(exclude)
+    # keyword-found date/hour columns are dropped only when they hold text or time values
+    # (a numeric column such as RADIACAO matches the keyword DIA and stays a feature)
+    found = [c for c in resolve_time_columns(df.columns).values() if c not in numeric_columns(df)]
+    skip = set(TRAINING_EXCLUDED_COLUMNS) | set(found) | set(exclude)
     targets = [target_class] + ([target_reg] if target_reg and target_reg in df.columns else [])
     feats = [c for c in df.columns if c not in skip and c not in targets]
     text = [c for c in feats if df.schema[c].dataType.typeName() == "string"]
