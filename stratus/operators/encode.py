@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratus.operators.joins import join_small
+from stratus.operators.series import sequence
 
 # Fixed value: text a missing category is encoded as (string form of a float NaN).
 MISSING_CATEGORY = "nan"
@@ -30,7 +31,12 @@ def label_encode_fit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for p in parts[1:]:
         values = values.unionByName(p)
     distinct = values.select("column", "value").distinct()
-    return distinct.withColumn("code", (F.dense_rank().over(Window.partitionBy("column").orderBy("value")) - 1).cast("long"))
+    # code = position in sorted order; ranked in two levels (by the first two code points,
+    # which never decrease along the sort order) so a column with very many distinct
+    # values is not sorted in one task
+    prefix = F.ascii(F.substring("value", 1, 1)).cast("long") * F.lit(1 << 21) + F.ascii(F.substring("value", 2, 1)).cast("long")
+    ranked = sequence(distinct, ["column"], ["value"], bucket=prefix, out="__pos")
+    return ranked.select("column", "value", (F.col("__pos") - 1).alias("code"))
 
 
 def label_encode_apply(df: DataFrame, encoder: DataFrame, columns: Sequence[str] | None = None, unknown: int = -1) -> DataFrame:
