@@ -37,47 +37,63 @@ def fill_interpolate(
     valid value or within ``limit`` rows before the next one (``limit=None``: always).
     Between two valid values the fill is linear in row position; before the first /
     after the last valid value the nearest valid value is copied.
+
+    Everything runs inside the ``(station, day)`` partitioning of the row ranking: one
+    summary row per bucket (row count, first/last valid position and value) gives each
+    bucket its offset and the nearest valid points before and after it, so the endpoints
+    may lie any number of buckets away without a second exchange of the rows.
+    ``chunk_rows`` is accepted for signature parity with the other fills.
     """
     columns = list(columns) if columns is not None else [c for c in numeric_columns(df) if c not in key]
     if not columns:
         return df
     original = list(df.columns)
-    key = list(key)
-    base = _chunked(df, key, order, chunk_rows, bucket)
-    kcols = S.helper_names(key)
+    _, kcols, _, ranked = S.bucket_ranks(df, list(key), order, bucket)
+    r = F.col("__r")
+    valid_r = {c: F.when(F.col(c).isNotNull(), r) for c in columns}
+    # per (station, bucket): rows and the first/last valid local rank and value (hash aggregate,
+    # computed inside the ranking's partitioning)
+    summary = ranked.groupBy(*kcols, S.BUCKET).agg(
+        F.count(F.lit(1)).alias("__n"),
+        *[F.max(valid_r[c]).alias(f"__lr{i}") for i, c in enumerate(columns)],
+        *[F.max_by(c, valid_r[c]).alias(f"__lv{i}") for i, c in enumerate(columns)],
+        *[F.min(valid_r[c]).alias(f"__fr{i}") for i, c in enumerate(columns)],
+        *[F.min_by(c, valid_r[c]).alias(f"__fv{i}") for i, c in enumerate(columns)],
+    )
+    earlier = Window.partitionBy(*kcols).orderBy(S.BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*kcols).orderBy(F.col(S.BUCKET).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    offs = summary.withColumn("__o", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+
+    def pt(p, v):
+        return F.when(p.isNotNull(), F.struct((F.col("__o") + p).alias("p"), v.alias("v")))
+
+    carry = offs.select(
+        *kcols,
+        S.BUCKET,
+        "__o",
+        *[F.last(pt(F.col(f"__lr{i}"), F.col(f"__lv{i}")), ignorenulls=True).over(earlier).alias(f"__pin{i}") for i in range(len(columns))],
+        *[F.last(pt(F.col(f"__fr{i}"), F.col(f"__fv{i}")), ignorenulls=True).over(later).alias(f"__nin{i}") for i in range(len(columns))],
+    )
+    rows = ranked.join(carry, on=[*kcols, S.BUCKET], how="inner").withColumn(S.SEQ, F.col("__o") + r)
     seq = F.col(S.SEQ)
 
     def point(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.struct(seq.alias("p"), F.col(c).alias("v")))
 
-    # one summary row per chunk: last and first valid (position, value) of every column
-    summary = base.groupBy(*kcols, S.CHUNK).agg(
-        *[F.max(point(c)).alias(f"__last_{i}") for i, c in enumerate(columns)],
-        *[F.min(point(c)).alias(f"__first_{i}") for i, c in enumerate(columns)],
-    )
-    prev_chunks = Window.partitionBy(*kcols).orderBy(S.CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    next_chunks = Window.partitionBy(*kcols).orderBy(F.col(S.CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(
-        *kcols,
-        S.CHUNK,
-        *[F.last(f"__last_{i}", ignorenulls=True).over(prev_chunks).alias(f"__pin_{i}") for i in range(len(columns))],
-        *[F.last(f"__first_{i}", ignorenulls=True).over(next_chunks).alias(f"__nin_{i}") for i in range(len(columns))],
-    )
-    upto = Window.partitionBy(*kcols, S.CHUNK).orderBy(S.SEQ).rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*kcols, S.BUCKET).orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)
     # look-forward over a descending order keeps the frame running (linear, not quadratic)
-    from_here = Window.partitionBy(*kcols, S.CHUNK).orderBy(F.col(S.SEQ).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    local = base.withColumns(
+    from_here = Window.partitionBy(*kcols, S.BUCKET).orderBy(F.col("__r").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumns(
         {
-            **{f"__pl_{i}": F.last(point(c), ignorenulls=True).over(upto) for i, c in enumerate(columns)},
-            **{f"__nl_{i}": F.last(point(c), ignorenulls=True).over(from_here) for i, c in enumerate(columns)},
+            **{f"__pl{i}": F.last(point(c), ignorenulls=True).over(upto) for i, c in enumerate(columns)},
+            **{f"__nl{i}": F.last(point(c), ignorenulls=True).over(from_here) for i, c in enumerate(columns)},
         }
     )
-    joined = local.join(carry, on=[*kcols, S.CHUNK], how="left")
     lim = F.lit(limit) if limit is not None else None
     filled = {}
     for i, c in enumerate(columns):
-        prev = F.coalesce(F.col(f"__pl_{i}"), F.col(f"__pin_{i}"))
-        nxt = F.coalesce(F.col(f"__nl_{i}"), F.col(f"__nin_{i}"))
+        prev = F.coalesce(F.col(f"__pl{i}"), F.col(f"__pin{i}"))
+        nxt = F.coalesce(F.col(f"__nl{i}"), F.col(f"__nin{i}"))
         dp = seq - prev["p"]
         dn = nxt["p"] - seq
         near_prev = prev.isNotNull() if lim is None else prev.isNotNull() & (dp <= lim)
@@ -90,7 +106,7 @@ def fill_interpolate(
             .when(prev.isNull() & nxt.isNotNull() & near_next, nxt["v"])
         )
         filled[c] = value.cast(df.schema[c].dataType)
-    return joined.withColumns(filled).select(*original)
+    return local.withColumns(filled).select(*original)
 
 
 def fill_forward(

@@ -85,6 +85,30 @@ def _order_cols(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(o).asc_nulls_last() if isinstance(o, str) else o for o in order]
 
 
+def default_bucket(df: DataFrame, order: Sequence[str | Column]) -> Column:
+    first = order[0]
+    if not (isinstance(first, str) and isinstance(df.schema[first].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))):
+        raise ValueError("pass `bucket` (a coarse, non-decreasing function of the order) for non-time orders")
+    return time_bucket(first)
+
+
+def bucket_ranks(df: DataFrame, key: Sequence[str], order: Sequence[str | Column], bucket: Column | None = None):
+    """First level of :func:`sequence`: rows ranked 1..m inside ``(key, bucket)`` as ``__r``.
+
+    Returns ``(df with key helpers, helper names, bucketed rows, ranked rows)``.
+    """
+    df, kcols = key_columns(df, key)
+    bucket = default_bucket(df, order) if bucket is None else bucket
+    keyed = df.withColumn(_BUCKET, F.coalesce(bucket, F.lit(_LAST_BUCKET).cast("long")))
+    ranked = keyed.withColumn(
+        "__r", F.row_number().over(Window.partitionBy(*kcols, _BUCKET).orderBy(*_order_cols(order)))
+    )
+    return df, kcols, keyed, ranked
+
+
+BUCKET = _BUCKET
+
+
 def sequence(
     df: DataFrame,
     key: Sequence[str],
@@ -99,16 +123,7 @@ def sequence(
     """
     if out in df.columns:
         return df
-    df, kcols = key_columns(df, key)
-    if bucket is None:
-        first = order[0]
-        if not (isinstance(first, str) and isinstance(df.schema[first].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))):
-            raise ValueError("pass `bucket` (a coarse, non-decreasing function of the order) for non-time orders")
-        bucket = time_bucket(first)
-    keyed = df.withColumn(_BUCKET, F.coalesce(bucket, F.lit(_LAST_BUCKET).cast("long")))
-    ranked = keyed.withColumn(
-        "__r", F.row_number().over(Window.partitionBy(*kcols, _BUCKET).orderBy(*_order_cols(order)))
-    )
+    df, kcols, keyed, ranked = bucket_ranks(df, key, order, bucket)
     counts = keyed.groupBy(*kcols, _BUCKET).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*kcols).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*kcols, _BUCKET, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
