@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stratus.bindings import R, query
 from stratus.bindings.fixtures import obs, obs_sql, table
 from stratus.bindings.profiling import labelled, labelled_sql
-from stratus.operators import sampling, series
+from stratus.operators import sampling
 
 
 @query("sort_by_time", f"SELECT event_id, ts, {R('temp')} AS temp FROM {obs_sql()} o ORDER BY ts NULLS LAST, event_id")
@@ -70,7 +70,7 @@ FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS g, (SELE
 def q_kfold(spark, sf):
     """Five contiguous folds in time order (first n % 5 folds one row longer)."""
     ev = table(spark, sf, "events").select("event_id", "ts")
-    return sampling.kfold(ev, 5, order=["ts", "event_id"], bucket=series.time_bucket("ts")).select("event_id", "fold")
+    return sampling.kfold(ev, 5, order=["ts", "event_id"]).select("event_id", "fold")
 
 
 @query(

@@ -99,6 +99,10 @@ def kfold(
         ranked = _hash_rank(df, key, [label], seed, bits, "__rank")
         return ranked.withColumn(out, ((F.col("__rank") - 1) % k).cast("int")).drop("__rank")
     tmp = df.withColumn("__all", F.lit(0))
+    if bucket is None:
+        # one global order: keep first-level tasks small with minute buckets (the per-bucket
+        # count table stays small enough for its single running-sum window)
+        bucket = S.time_bucket(order[0], 60) if isinstance(order[0], str) else None
     ranked = S.sequence(tmp, ["__all"], list(order), bucket=bucket, out="__rank")
     n = column_stat(df, F.count(F.lit(1)))
     q = F.floor(n / k)
