@@ -109,3 +109,14 @@ def test_ffill_bfill_match(events, chunk):
     b = FL.fill_backward(df, ["value"], key=KEY, order=ORDER, limit=3, chunk_rows=chunk)
     be = df.withColumn("value", F.first("value", True).over(w.rowsBetween(0, 3)))
     compare(b, be, ["value"])
+
+
+def test_null_station_is_its_own_series(spark):
+    import datetime as dt
+
+    rows = [(None if i % 2 else 1, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), i, float(i)) for i in range(10)]
+    df = spark.createDataFrame(rows, "station_id long, ts timestamp_ntz, rid long, v double")
+    out = FE.lag_features(df, ["v"], [1], key=["station_id"], order=["ts"], chunk_rows=2)
+    got = {r["rid"]: r["v_lag_1h"] for r in out.collect()}
+    # even rows belong to station 1, odd rows to the NULL station; each lags within its own series
+    assert got == {0: None, 2: 0.0, 4: 2.0, 6: 4.0, 8: 6.0, 1: None, 3: 1.0, 5: 3.0, 7: 5.0, 9: 7.0}
