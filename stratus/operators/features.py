@@ -87,7 +87,7 @@ def lag_features(
 ) -> DataFrame:
     """``{col}_lag_{n}h`` = value ``n`` rows earlier in the station's time order."""
     fns = {f"{c}_lag_{n}h": (lambda w, c=c, n=n: F.lag(c, n).over(w)) for c in columns for n in lags}
-    return S.series_windows(df, list(key), order, fns, before=max(lags), chunk_rows=chunk_rows, bucket=bucket)
+    return S.bucket_windows(df, list(key), order, fns, before=max(lags), bucket=bucket)
 
 
 def rolling_features(
@@ -108,7 +108,7 @@ def rolling_features(
                 fns[f"{c}_rolling_mean_{n}h"] = lambda w, c=c, n=n: F.avg(c).over(w.rowsBetween(-(n - 1), 0))
             if "std" in stats:
                 fns[f"{c}_rolling_std_{n}h"] = lambda w, c=c, n=n: F.stddev_samp(c).over(w.rowsBetween(-(n - 1), 0))
-    return S.series_windows(df, list(key), order, fns, before=max(windows) - 1, chunk_rows=chunk_rows, bucket=bucket)
+    return S.bucket_windows(df, list(key), order, fns, before=max(max(windows) - 1, 1), bucket=bucket)
 
 
 def lag_and_rolling(
@@ -131,7 +131,7 @@ def lag_and_rolling(
     before = max([*lags, *[n - 1 for n in windows], 0]) if (lag_columns or rolling_columns) else 0
     if not fns:
         return df
-    return S.series_windows(df, list(key), order, fns, before=max(before, 1), chunk_rows=chunk_rows, bucket=bucket)
+    return S.bucket_windows(df, list(key), order, fns, before=max(before, 1), bucket=bucket)
 
 
 def scenario_features(

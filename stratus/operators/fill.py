@@ -118,13 +118,13 @@ def fill_forward(
     chunk_rows: int = S.DEFAULT_CHUNK_ROWS,
     bucket: Column | None = None,
 ) -> DataFrame:
-    """Carry the last valid value forward over at most ``limit`` rows."""
+    """Carry the last valid value forward over at most ``limit`` rows (one large exchange:
+    see ``series.bucket_windows``)."""
     columns = list(columns) if columns is not None else [c for c in numeric_columns(df) if c not in key]
     original = list(df.columns)
-    h = _chunked(df, list(key), order, chunk_rows, bucket, before=limit)
-    w = S.chunk_window(S.helper_names(list(key))).rowsBetween(-limit, 0)
-    out = h.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
-    return S.drop_halo(out, original)
+    fns = {f"__ff_{c}": (lambda w, c=c: F.last(c, ignorenulls=True).over(w.rowsBetween(-limit, 0))) for c in columns}
+    out = S.bucket_windows(df, list(key), order, fns, before=max(limit, 1), bucket=bucket)
+    return out.select(*[F.col(f"__ff_{c}").alias(c) if c in columns else F.col(c) for c in original])
 
 
 def fill_backward(

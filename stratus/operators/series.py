@@ -199,3 +199,50 @@ def series_windows(
     w = chunk_window(helper_names(key))
     out = halo.withColumns({name: fn(w) for name, fn in columns.items()})
     return drop_halo(out, original + list(columns))
+
+
+def bucket_windows(
+    df: DataFrame,
+    key: Sequence[str],
+    order: Sequence[str | Column],
+    columns: dict[str, callable],
+    before: int,
+    bucket: Column | None = None,
+) -> DataFrame:
+    """Like :func:`series_windows` for look-back frames, with one large exchange.
+
+    Rows stay in the ``(station, bucket)`` partitions of the first ranking level.  The
+    last ``before`` rows of each bucket are copied into the following buckets whose start
+    lies within ``before`` positions (at most ``before`` buckets, found from the small
+    per-bucket offsets table); only those copies are shuffled, hash-partitioned exactly
+    like the ranked rows, so the union keeps the partitioning and the windows run
+    without another exchange of the rows.
+    """
+    original = list(df.columns)
+    df, kcols, keyed, ranked = bucket_ranks(df, key, order, bucket)
+    spark = df.sparkSession
+    counts = keyed.groupBy(*kcols, _BUCKET).agg(F.count(F.lit(1)).alias("__n"))
+    by_key = Window.partitionBy(*kcols).orderBy(_BUCKET)
+    offs = counts.withColumn("__o", F.coalesce(F.sum("__n").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # the next `before` buckets (each holds at least one row) with their start offsets
+    nxt = offs.select(
+        *kcols,
+        _BUCKET,
+        "__o",
+        "__n",
+        F.collect_list(F.struct(F.col(_BUCKET).alias("b"), F.col("__o").alias("o"))).over(by_key.rowsBetween(1, max(before, 1))).alias("__next"),
+    )
+    rows = ranked.join(nxt, on=[*kcols, _BUCKET], how="inner").withColumn(SEQ, F.col("__o") + F.col("__r"))
+    main = rows.withColumn(HALO, F.lit(False))
+    tail = rows.where(F.col("__r") > F.col("__n") - F.lit(before))
+    halo = (
+        tail.select("*", F.explode(F.filter("__next", lambda t: t["o"] < F.col(SEQ) + F.lit(before))).alias("__t"))
+        .withColumn(_BUCKET, F.col("__t")["b"])
+        .drop("__t")
+        .withColumn(HALO, F.lit(True))
+        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *kcols, _BUCKET)
+    )
+    both = main.unionByName(halo)
+    w = Window.partitionBy(*kcols, _BUCKET).orderBy(SEQ)
+    out = both.withColumns({name: fn(w) for name, fn in columns.items()})
+    return out.where(~F.col(HALO)).select(*original, *columns)
