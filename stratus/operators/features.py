@@ -122,7 +122,7 @@ def lag_and_rolling(
     chunk_rows: int = S.DEFAULT_CHUNK_ROWS,
     bucket: Column | None = None,
 ) -> DataFrame:
-    """Lags and rolling stats in one halo pass (one shuffle instead of two)."""
+    """Lags and rolling stats in one pass over the same halo copies (one set of windows)."""
     fns = {f"{c}_lag_{n}h": (lambda w, c=c, n=n: F.lag(c, n).over(w)) for c in lag_columns for n in lags}
     for c in rolling_columns:
         for n in windows:
