@@ -136,13 +136,13 @@ def fill_backward(
     chunk_rows: int = S.DEFAULT_CHUNK_ROWS,
     bucket: Column | None = None,
 ) -> DataFrame:
-    """Carry the next valid value backward over at most ``limit`` rows."""
+    """Carry the next valid value backward over at most ``limit`` rows (one large exchange:
+    see ``series.bucket_windows``)."""
     columns = list(columns) if columns is not None else [c for c in numeric_columns(df) if c not in key]
     original = list(df.columns)
-    h = _chunked(df, list(key), order, chunk_rows, bucket, after=limit)
-    w = S.chunk_window(S.helper_names(list(key))).rowsBetween(0, limit)
-    out = h.withColumns({c: F.first(c, ignorenulls=True).over(w) for c in columns})
-    return S.drop_halo(out, original)
+    fns = {f"__bf_{c}": (lambda w, c=c: F.first(c, ignorenulls=True).over(w.rowsBetween(0, limit))) for c in columns}
+    out = S.bucket_windows(df, list(key), order, fns, before=0, bucket=bucket, after=max(limit, 1))
+    return out.select(*[F.col(f"__bf_{c}").alias(c) if c in columns else F.col(c) for c in original])
 
 
 def fill_mean(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -208,8 +208,9 @@ def bucket_windows(
     columns: dict[str, callable],
     before: int,
     bucket: Column | None = None,
+    after: int = 0,
 ) -> DataFrame:
-    """Like :func:`series_windows` for look-back frames, with one large exchange.
+    """Like :func:`series_windows`, with one large exchange.
 
     Rows stay in the ``(station, bucket)`` partitions of the first ranking level.  The
     last ``before`` rows of each bucket are copied into the following buckets whose start
@@ -225,24 +226,35 @@ def bucket_windows(
     by_key = Window.partitionBy(*kcols).orderBy(_BUCKET)
     offs = counts.withColumn("__o", F.coalesce(F.sum("__n").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # the next `before` buckets (each holds at least one row) with their start offsets
+    # the next `before` / previous `after` buckets (each holds at least one row) with their
+    # start / end offsets
     nxt = offs.select(
         *kcols,
         _BUCKET,
         "__o",
         "__n",
         F.collect_list(F.struct(F.col(_BUCKET).alias("b"), F.col("__o").alias("o"))).over(by_key.rowsBetween(1, max(before, 1))).alias("__next"),
+        F.collect_list(F.struct(F.col(_BUCKET).alias("b"), (F.col("__o") + F.col("__n")).alias("e"))).over(by_key.rowsBetween(-max(after, 1), -1)).alias("__prev"),
     )
     rows = ranked.join(nxt, on=[*kcols, _BUCKET], how="inner").withColumn(SEQ, F.col("__o") + F.col("__r"))
     main = rows.withColumn(HALO, F.lit(False))
-    tail = rows.where(F.col("__r") > F.col("__n") - F.lit(before))
-    halo = (
-        tail.select("*", F.explode(F.filter("__next", lambda t: t["o"] < F.col(SEQ) + F.lit(before))).alias("__t"))
-        .withColumn(_BUCKET, F.col("__t")["b"])
-        .drop("__t")
-        .withColumn(HALO, F.lit(True))
-        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *kcols, _BUCKET)
-    )
-    both = main.unionByName(halo)
+    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    copies = []
+    if before > 0:
+        tail = rows.where(F.col("__r") > F.col("__n") - F.lit(before))
+        copies.append(tail.select("*", F.explode(F.filter("__next", lambda t: t["o"] < F.col(SEQ) + F.lit(before))).alias("__t")))
+    if after > 0:
+        head = rows.where(F.col("__r") <= F.lit(after))
+        copies.append(head.select("*", F.explode(F.filter("__prev", lambda t: F.col(SEQ) - t["e"] <= F.lit(after))).alias("__t")))
+    both = main
+    for c in copies:
+        halo = (
+            c.withColumn(_BUCKET, F.col("__t")["b"])
+            .drop("__t")
+            .withColumn(HALO, F.lit(True))
+            .repartition(nparts, *kcols, _BUCKET)
+        )
+        both = both.unionByName(halo)
     w = Window.partitionBy(*kcols, _BUCKET).orderBy(SEQ)
     out = both.withColumns({name: fn(w) for name, fn in columns.items()})
     return out.where(~F.col(HALO)).select(*original, *columns)
