@@ -38,17 +38,24 @@ def chunk_count(df: DataFrame, column: str, chunk_bytes: int = CHUNK_BYTES) -> i
     return max(1, -(-total // chunk_bytes))
 
 
-def map_rows(df: DataFrame, fn: Callable[[list[list]], list[list]], schema: str) -> DataFrame:
-    """``mapInArrow`` with plain column lists: ``fn(columns) -> columns`` for every Arrow batch."""
+#: rows that :func:`map_rows` turns into Python values together
+SLICE_ROWS = 256
+
+
+def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], list]], schema: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """``mapInArrow`` with plain column lists.  ``make()`` runs once per task and returns
+    ``fn(columns) -> columns`` (lists or Arrow arrays), called for every ``slice_rows`` rows."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
         for batch in batches:
-            if batch.num_rows:
-                columns = fn([c.to_pylist() for c in batch.columns])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, out, strict=True)], schema=out)
+            for start in range(0, batch.num_rows, slice_rows):
+                columns = fn([c.to_pylist() for c in batch.slice(start, slice_rows).columns])
+                arrays = [c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, out, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=out)
 
     return df.mapInArrow(run, schema)

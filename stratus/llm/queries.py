@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratus.llm import simhash
+from stratus.llm import decontaminate, sentencepiece_codec, simhash, substring_dedup, token_counts, warc
+from stratus.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,3 +25,57 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 @query
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return found.selectExpr("doc_id", "unit", "start", "end AS stop", "n_words", "kept_doc_id", "kept_unit", "kept_start")
+
+
+ORACLE["op3_substring_dedup"] = r"""
+WITH cut AS (
+  SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL
+), units AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS unit FROM cut
+), placed AS (
+  SELECT doc_id, unit, line,
+         coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+         trim(regexp_replace(lower(line), '[	- ]+', ' ', 'g')) AS norm
+  FROM units
+), counted AS (
+  SELECT *, length(norm) - length(replace(norm, ' ', '')) + 1 AS n_words FROM placed WHERE norm <> ''
+), ranked AS (
+  SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(unit) OVER w AS kept_unit, first_value(start) OVER w AS kept_start
+  FROM counted WHERE n_words >= 5 WINDOW w AS (PARTITION BY norm ORDER BY doc_id, unit)
+)
+SELECT doc_id, CAST(unit AS INTEGER) AS unit, CAST(start AS INTEGER) AS start, CAST(start + length(line) AS INTEGER) AS stop,
+       CAST(n_words AS INTEGER) AS n_words, kept_doc_id, CAST(kept_unit AS INTEGER) AS kept_unit, CAST(kept_start AS INTEGER) AS kept_start
+FROM ranked WHERE doc_id <> kept_doc_id OR unit <> kept_unit
+"""
+
+
+@query
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_warc(warc.plan_records(table(spark, sf_dir, "pages")), path)
+    read = warc.read_warc(spark, path).where("kind = 'record'")
+    return read.select(
+        warc.page_number(read.record_id).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_number(read.refers_to).alias("refers_to")
+    )
+
+
+@query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_codec.encode_texts(docs).select("doc_id", "n_pieces", "piece_ids", "round_trip")
+
+
+@query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))

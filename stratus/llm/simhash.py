@@ -73,7 +73,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
     """``(doc_id, fp)`` per row; ``fp`` is a signed long."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_rows(rows, lambda c: [c[0], [fingerprint(t, shingle) for t in c[1]]], "doc_id long, fp long")
+    return map_rows(rows, lambda: lambda c: [c[0], [fingerprint(t, shingle) for t in c[1]]], "doc_id long, fp long")
 
 
 def _blocks(bits: list[int], max_bits: int) -> list[list[int]]:
@@ -266,7 +266,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if nameless.isEmpty():
         return named
     bare = docs.where(F.col(id_col).isNull())
-    fps = map_rows(bare.select(F.col(text_col).cast("string")).distinct(), lambda c: [c[0], [fingerprint(t, options.get("shingle", SHINGLE_WORDS)) for t in c[0]]], "own_text string, fp long")
+    shingle = options.get("shingle", SHINGLE_WORDS)
+    texts = bare.select(F.col(text_col).cast("string")).distinct()
+    fps = map_rows(texts, lambda: lambda c: [c[0], [fingerprint(t, shingle) for t in c[0]]], "own_text string, fp long")
     fps = fps.withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0"))).join(nameless, "fingerprint", "left_semi").dropDuplicates(["fp"])
     left = bare.join(fps.select("own_text"), F.col(text_col).eqNullSafe(F.col("own_text")), "left_semi").dropDuplicates([text_col])
     return named.unionByName(left)
