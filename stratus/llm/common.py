@@ -59,3 +59,30 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], list]], sc
                 yield pa.RecordBatch.from_arrays(arrays, schema=out)
 
     return df.mapInArrow(run, schema)
+
+
+def add_columns(df: DataFrame, column: str, make: Callable[[], Callable[[list], list]], schema: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """``df`` with the columns of ``schema``, computed in tasks from the strings of ``column``.
+
+    ``make()`` runs once per task and returns ``fn(strings) -> columns``.  Columns of ``df`` with
+    the new names are replaced; all others pass through as they are.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    added = _parse_datatype_string(schema)
+    kept = [f for f in df.schema.fields if f.name not in added.names]
+    full = StructType(kept + added.fields)
+    out = to_arrow_schema(added)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for whole in batches:
+            for start in range(0, whole.num_rows, slice_rows):
+                batch = whole.slice(start, slice_rows)
+                columns = fn(batch.column(batch.num_columns - 1).to_pylist())
+                arrays = [c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, out, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=full.names)
+
+    rows = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{column}`").cast("string").alias("string of the map"))
+    return rows.mapInArrow(run, full)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratus.llm import decontaminate, sentencepiece_codec, simhash, substring_dedup, token_counts, warc
+from stratus.llm import decontaminate, langid, lz_fingerprint, sentencepiece_codec, simhash, substring_dedup, token_counts, warc
 from stratus.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,7 +41,8 @@ WITH cut AS (
 ), placed AS (
   SELECT doc_id, unit, line,
          coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-         trim(regexp_replace(lower(line), '[	- ]+', ' ', 'g')) AS norm
+         trim(regexp_replace(lower(line), '[	-
+ ]+', ' ', 'g')) AS norm
   FROM units
 ), counted AS (
   SELECT *, length(norm) - length(replace(norm, ' ', '')) + 1 AS n_words FROM placed WHERE norm <> ''
@@ -55,6 +56,18 @@ FROM ranked WHERE doc_id <> kept_doc_id OR unit <> kept_unit
 """
 
 
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out())
+    model = langid.train(docs.where("not held_out"))
+    return langid.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op5_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

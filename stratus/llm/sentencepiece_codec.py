@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratus.llm.common import SLICE_ROWS, ship_by_value
+from stratus.llm.common import add_columns, ship_by_value
 from stratus.llm.pieces import DEFAULT_MODEL, SPACE, Pieces, load_pieces
 
 ship_by_value(__name__)
@@ -96,27 +96,21 @@ def encode_texts(docs: DataFrame, text_col: str = "text", model_file: str = DEFA
     three, empty texts no ids.  Columns of these names in ``docs`` are replaced.
     """
     pieces = load_pieces(model_file)
-    names = ["piece_ids", "n_pieces", "round_trip"]
-    kept = [f for f in docs.schema.fields if f.name not in names]
-    rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").cast("string").alias("text to encode"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
-    def run(batches):
+    def make():
         codec = Codec(pieces)
-        for whole in batches:
-            for start in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(start, SLICE_ROWS)
-                texts = batch.column(batch.num_columns - 1).to_pylist()
-                ids = [codec.encode(t) for t in texts]
-                null = np.array([t is None for t in texts])
-                ends = np.cumsum([0, *map(len, ids)])
-                values = pa.array(np.concatenate(ids) if ids else np.array([], np.int32), pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array(null))
-                same = [None if t is None else codec.decode(i) == t for t, i in zip(texts, ids, strict=True)]
-                counts = pa.array(np.diff(ends), pa.int32(), mask=null)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, counts, pa.array(same, pa.bool_())], names=[f.name for f in kept] + names)
-
-    return rows.mapInArrow(run, f"{fields}, piece_ids array<int>, n_pieces int, round_trip boolean" if fields else "piece_ids array<int>, n_pieces int, round_trip boolean")
+
+        def fn(texts):
+            ids = [codec.encode(t) for t in texts]
+            null = np.array([t is None for t in texts])
+            ends = np.cumsum([0, *map(len, ids)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()), mask=pa.array(null))
+            same = [None if t is None else codec.decode(i) == t for t, i in zip(texts, ids, strict=True)]
+            return [lists, pa.array(np.diff(ends), pa.int32(), mask=null), same]
+
+        return fn
+
+    return add_columns(docs, text_col, make, "piece_ids array<int>, n_pieces int, round_trip boolean")
 
 
 def decode_ids(encoded: DataFrame, ids_col: str = "piece_ids", out_col: str = "decoded", model_file: str = DEFAULT_MODEL) -> DataFrame:
