@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratus.llm import decontaminate, langid, lz_fingerprint, sentencepiece_codec, simhash, substring_dedup, token_counts, warc
+from stratus.llm import decontaminate, langid, lz_fingerprint, maxent_lm, sentencepiece_codec, simhash, substring_dedup, token_counts, warc
 from stratus.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,13 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = maxent_lm.score_texts(docs, docs.where(~maxent_lm.held_out()))
+    return scored.select("doc_id", maxent_lm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
