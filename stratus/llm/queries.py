@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratus.llm import decontaminate, langid, lz_fingerprint, maxent_lm, sentencepiece_codec, simhash, substring_dedup, token_counts, warc
+from stratus.llm import (
+    decontaminate,
+    html_extract,
+    langid,
+    lz_fingerprint,
+    maxent_lm,
+    sentencepiece_codec,
+    simhash,
+    substring_dedup,
+    token_counts,
+    warc,
+)
 from stratus.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +107,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_texts(docs).select("doc_id", "n_pieces", "piece_ids", "round_trip")
 
 
+@query
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
