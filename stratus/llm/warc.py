@@ -107,6 +107,8 @@ def _parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | s
         if not colon:
             return "broken header line"
         header[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+    if not header.get("warc-type") or not header.get("warc-record-id"):
+        return "no WARC-Type or WARC-Record-ID"
     if not header.get("content-length", "").isdecimal():
         return "no Content-Length"
     end = close.end() + int(header["content-length"])
