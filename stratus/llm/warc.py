@@ -131,8 +131,9 @@ def http_payload(block: bytes) -> bytes:
 
 
 def _next_start(data: bytes, at: int) -> int:
-    """The first place from ``at`` on where a version line or gzip member may begin."""
-    line = re.compile(rb"(?:(?<=\n)|\A)WARC/\d\.\d\r?\n").search(data, at)
+    """The first place from ``at`` on where a version or gzip member may begin; the line end before a
+    version may be what is broken."""
+    line = VERSION.search(data, at)
     member = data.find(GZIP, at)
     return min([len(data), *([line.start()] if line else []), *([member] if member >= 0 else [])])
 
