@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stratus.functions.numeric import finite_or_null, parse_number
 from stratus.functions.roles import TIME_COLUMN_NAMES, TRAINING_EXCLUDED_COLUMNS, dedupe, resolve_time_columns
+from stratus.operators.ranges import quantiles, value_table
 from stratus.operators.stats import column_stat, numeric_columns
 
 
@@ -48,41 +49,26 @@ def drop_outliers_sigma(df: DataFrame, columns: Sequence[str] | None = None, k:
     return df.withColumns(out) if out else df
 
 
-def outliers_iqr(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+def outliers_iqr(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per column: count and % of rows outside ``[Q1 - 1.5 IQR, Q3 + 1.5 IQR]`` and both bounds.
 
-    Quartiles use linear interpolation (pandas ``quantile``).  Two passes in total: one
-    aggregate computes every column's quartiles, a second counts the rows outside the
-    fences (the quartile row is attached as merged scalar subqueries).  Output is long
-    form: ``column, n_outliers, pct_outliers, lower_bound, upper_bound`` (rounded to 2).
+    Quartiles are exact with linear interpolation (pandas ``quantile``).  One pass over the rows:
+    quartiles and counts come from the table of distinct values, which is written while the plan
+    is built.  Output: ``column, n_outliers, pct_outliers, lower_bound, upper_bound`` (rounded to 2).
     """
     columns = list(columns) if columns is not None else numeric_columns(df)
-    probs = F.array(F.lit(0.25), F.lit(0.75))
-    q = (lambda x: F.percentile(x, probs)) if exact else (lambda x: F.percentile_approx(x, [0.25, 0.75], 10_000))
-    quart = df.agg(*[q(F.col(c).cast("double")).alias(f"q{i}") for i, c in enumerate(columns)])
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
-        q1 = quart.select(F.col(f"q{i}")[0].cast("double")).scalar()
-        q3 = quart.select(F.col(f"q{i}")[1].cast("double")).scalar()
-        lo, hi = q1 - F.lit(1.5) * (q3 - q1), q3 + F.lit(1.5) * (q3 - q1)
-        aggs += [F.count_if((x < lo) | (x > hi)).alias(f"n{i}"), F.first(lo).alias(f"lo{i}"), F.first(hi).alias(f"hi{i}")]
-    wide = df.agg(*aggs)
-    return wide.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("column"),
-                        F.col(f"n{i}").cast("long").alias("n_outliers"),
-                        F.round(F.col(f"n{i}") * F.lit(100.0) / F.col("rows"), 2).alias("pct_outliers"),
-                        F.round(F.col(f"lo{i}"), 2).alias("lower_bound"),
-                        F.round(F.col(f"hi{i}"), 2).alias("upper_bound"),
-                    )
-                    for i, c in enumerate(columns)
-                ]
-            )
-        )
+    values = value_table(df, columns)
+    quart = quantiles(values, [0.25, 0.75]).select("column", "q0", "q1")
+    iqr = F.col("q1") - F.col("q0")
+    lo, hi = F.col("q0") - F.lit(1.5) * iqr, F.col("q1") + F.lit(1.5) * iqr
+    out = F.sum(F.when((F.col("value") < lo) | (F.col("value") > hi), F.col("n")).otherwise(0))
+    counted = values.join(quart, "column").groupBy("column", lo.alias("lo"), hi.alias("hi")).agg(out.alias("out"), F.sum("n").alias("rows"))
+    return counted.select(
+        "column",
+        F.col("out").cast("long").alias("n_outliers"),
+        F.round(F.col("out") * F.lit(100.0) / F.col("rows"), 2).alias("pct_outliers"),
+        F.round("lo", 2).alias("lower_bound"),
+        F.round("hi", 2).alias("upper_bound"),
     )
 
 
@@ -161,19 +147,21 @@ def series_projection(df: DataFrame, column: str, ts: str | None = None) -> Data
     return df.select(F.col(ts).alias("time"), F.col(column).alias("value"))
 
 
-def align_features(df: DataFrame, features: Sequence[str], medians: dict[str, float] | None = None) -> DataFrame:
-    """Model input in training order: missing features = 0, extras dropped, cast to double,
-    NULLs filled with the training median of the feature (else 0)."""
-    medians = medians or {}
+def feature_expressions(df: DataFrame, features: Sequence[str], medians: dict[str, float] | None = None, sources: dict[str, str] | None = None) -> list[Column]:
+    """One double per model feature: missing features = 0, NULLs filled with the training median of
+    the feature (else 0).  ``sources`` names the column of a feature where it is not the feature's own."""
+    medians, sources = medians or {}, sources or {}
     out = []
     for f in features:
-        if f in df.columns:
-            v = F.col(f).try_cast("double")
-            fill = medians.get(f, 0.0) if medians else 0.0
-            out.append(F.coalesce(v, F.lit(float(fill) if fill is not None else 0.0)).alias(f))
-        else:
-            out.append(F.lit(0.0).alias(f))
-    return df.select(*out)
+        source = sources.get(f, f)
+        filled = F.coalesce(F.col(f"`{source}`").try_cast("double"), F.lit(float(medians.get(f) or 0.0)))
+        out.append(filled if source in df.columns else F.lit(0.0))
+    return out
+
+
+def align_features(df: DataFrame, features: Sequence[str], medians: dict[str, float] | None = None) -> DataFrame:
+    """Model input in training order (:func:`feature_expressions`); extra columns are dropped."""
+    return df.select(*[e.alias(f) for e, f in zip(feature_expressions(df, features, medians), features, strict=True)])
 
 
 def threshold_decision(df: DataFrame, prob: str = "prob_chuva", threshold: float = 0.5, out: str = "vai_chover") -> DataFrame:

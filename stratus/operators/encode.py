@@ -2,8 +2,9 @@
 
 An encoder is a table ``(column, value, code)``: codes are the ranks of the sorted
 distinct string values (``NULL`` is encoded as the text ``'nan'``), as a sorted label
-encoder does.  Distinct values are found with a map-side-combined ``groupBy``; applying
-the encoder is a left join (broadcast after a size check) with unknown values -> -1.
+encoder does.  All columns are read in one pass; distinct values come from a map-side
+combined ``distinct`` and are ranked in ranges of about equal size.  Applying an encoder is
+one left join per column, without hints and without jobs.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratus.operators.joins import join_small
+from stratus.operators.joins import join_lookup
+from stratus.operators.ranges import RANGE, range_buckets
 from stratus.operators.series import sequence
 
 # Fixed value: text a missing category is encoded as (string form of a float NaN).
@@ -25,27 +27,26 @@ def category_text(c: str):
 
 
 def label_encode_fit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Encoder table ``column, value, code`` (code = 0-based rank of the sorted values)."""
-    parts = [df.select(F.lit(c).alias("column"), category_text(c).alias("value")) for c in columns]
-    values = parts[0]
-    for p in parts[1:]:
-        values = values.unionByName(p)
-    distinct = values.select("column", "value").distinct()
-    # code = position in sorted order; ranked in two levels (by the first two code points,
-    # which never decrease along the sort order) so a column with very many distinct
-    # values is not sorted in one task
-    prefix = F.ascii(F.substring("value", 1, 1)).cast("long") * F.lit(1 << 21) + F.ascii(F.substring("value", 2, 1)).cast("long")
-    ranked = sequence(distinct, ["column"], ["value"], bucket=prefix, out="__pos")
+    """Encoder table ``column, value, code`` (code = 0-based rank of the sorted values).
+
+    The distinct values are written to the shared folder while the plan is built.
+    """
+    cells = [F.struct(F.lit(c).alias("column"), category_text(c).alias("value")) for c in columns]
+    distinct = df.select(F.inline(F.array(*cells))).distinct()
+    ranked = sequence(range_buckets(distinct, "column", "value"), ["column"], ["value"], bucket=F.col(RANGE).cast("long"), out="__pos")
     return ranked.select("column", "value", (F.col("__pos") - 1).alias("code"))
 
 
 def label_encode_apply(df: DataFrame, encoder: DataFrame, columns: Sequence[str] | None = None, unknown: int = -1) -> DataFrame:
-    """Replace each encoded column by its code; values unseen at fit time -> ``unknown``."""
+    """Replace each encoded column by its code; values unseen at fit time -> ``unknown``.
+
+    Without ``columns`` the encoder's are read (one row each).
+    """
     columns = list(columns) if columns is not None else [r[0] for r in encoder.select("column").distinct().collect()]
     out = df
     for i, c in enumerate(columns):
         lookup = encoder.where(F.col("column") == c).select(F.col("value").alias(f"__v{i}"), F.col("code").alias(f"__c{i}"))
-        out = join_small(out.withColumn(f"__v{i}", category_text(c)), lookup, on=[f"__v{i}"], how="left")
+        out = join_lookup(out.withColumn(f"__v{i}", category_text(c)), lookup, [f"__v{i}"])
         out = out.withColumn(c, F.coalesce(F.col(f"__c{i}"), F.lit(unknown)).cast("long")).drop(f"__v{i}", f"__c{i}")
     return out.select(*df.columns)
 
@@ -59,5 +60,5 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    weights = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return join_small(df, weights, on=[label], how="left")
+    """Rows with their class's balanced weight; a NULL label is a class of its own."""
+    return join_lookup(df, class_weights(df, label).select(label, F.col("weight").alias(out)), [label])

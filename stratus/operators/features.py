@@ -82,12 +82,11 @@ def lag_features(
     lags: Sequence[int] = (1, 2, 3, 6, 12, 24),
     key: Sequence[str] = ("station_id",),
     order: Sequence[str | Column] = ("ts",),
-    chunk_rows: int = S.DEFAULT_CHUNK_ROWS,
     bucket: Column | None = None,
 ) -> DataFrame:
     """``{col}_lag_{n}h`` = value ``n`` rows earlier in the station's time order."""
     fns = {f"{c}_lag_{n}h": (lambda w, c=c, n=n: F.lag(c, n).over(w)) for c in columns for n in lags}
-    return S.bucket_windows(df, list(key), order, fns, before=max(lags), bucket=bucket)
+    return S.bucket_windows(df, list(key), order, fns, columns, before=max(lags), bucket=bucket)
 
 
 def rolling_features(
@@ -97,7 +96,6 @@ def rolling_features(
     key: Sequence[str] = ("station_id",),
     order: Sequence[str | Column] = ("ts",),
     stats: Sequence[str] = ("mean", "std"),
-    chunk_rows: int = S.DEFAULT_CHUNK_ROWS,
     bucket: Column | None = None,
 ) -> DataFrame:
     """Trailing ``n``-row mean (≥ 1 value) and sample std (≥ 2 values) per station."""
@@ -108,7 +106,7 @@ def rolling_features(
                 fns[f"{c}_rolling_mean_{n}h"] = lambda w, c=c, n=n: F.avg(c).over(w.rowsBetween(-(n - 1), 0))
             if "std" in stats:
                 fns[f"{c}_rolling_std_{n}h"] = lambda w, c=c, n=n: F.stddev_samp(c).over(w.rowsBetween(-(n - 1), 0))
-    return S.bucket_windows(df, list(key), order, fns, before=max(max(windows) - 1, 1), bucket=bucket)
+    return S.bucket_windows(df, list(key), order, fns, columns, before=max(max(windows) - 1, 1), bucket=bucket)
 
 
 def lag_and_rolling(
@@ -119,10 +117,9 @@ def lag_and_rolling(
     windows: Sequence[int],
     key: Sequence[str] = ("station_id",),
     order: Sequence[str | Column] = ("ts",),
-    chunk_rows: int = S.DEFAULT_CHUNK_ROWS,
     bucket: Column | None = None,
 ) -> DataFrame:
-    """Lags and rolling stats in one pass over the same halo copies (one set of windows)."""
+    """Lags and rolling stats in one pass (one set of windows)."""
     fns = {f"{c}_lag_{n}h": (lambda w, c=c, n=n: F.lag(c, n).over(w)) for c in lag_columns for n in lags}
     for c in rolling_columns:
         for n in windows:
@@ -131,7 +128,7 @@ def lag_and_rolling(
     before = max([*lags, *[n - 1 for n in windows], 0]) if (lag_columns or rolling_columns) else 0
     if not fns:
         return df
-    return S.bucket_windows(df, list(key), order, fns, before=max(before, 1), bucket=bucket)
+    return S.bucket_windows(df, list(key), order, fns, list(dict.fromkeys([*lag_columns, *rolling_columns])), before=max(before, 1), bucket=bucket)
 
 
 def scenario_features(

@@ -12,23 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratus.operators import series as S
+from stratus.operators.ranges import quantiles, value_table
 from stratus.operators.stats import column_stat, numeric_columns
 
 
-def _chunked(df: DataFrame, key, order, chunk_rows, bucket, before=0, after=0):
-    seqd = S.sequence(df, key, order, bucket)
-    if before or after:
-        return S.with_halo(seqd, key, before=before, after=after, chunk_rows=chunk_rows)
-    return seqd.withColumns({S.CHUNK: S.chunk_of(chunk_rows=chunk_rows), S.HALO: F.lit(False)})
-
-
 def fill_interpolate(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     key: Sequence[str] = ("station_id",),
     order: Sequence[str | Column] = ("ts",),
     limit: int | None = 3,
-    chunk_rows: int = S.DEFAULT_CHUNK_ROWS,
     bucket: Column | None = None,
 ) -> DataFrame:
     """Linear interpolation by row position with a fill limit on *both* sides of a gap.
@@ -42,23 +35,24 @@ def fill_interpolate(
     summary row per bucket (row count, first/last valid position and value) gives each
     bucket its offset and the nearest valid points before and after it, so the endpoints
     may lie any number of buckets away without a second exchange of the rows.
-    ``chunk_rows`` is accepted for signature parity with the other fills.
     """
     columns = list(columns) if columns is not None else [c for c in numeric_columns(df) if c not in key]
     if not columns:
         return df
     original = list(df.columns)
-    _, kcols, _, ranked = S.bucket_ranks(df, list(key), order, bucket)
-    r = F.col("__r")
-    valid_r = {c: F.when(F.col(c).isNotNull(), r) for c in columns}
+    kcols, ranked = S.bucket_ranks(df, list(key), order, bucket)
+    r = F.col(S.RANK)
+    cell = {c: F.col(f"{S.ROW}.`{c}`") for c in columns}
+    valid_r = {c: F.when(cell[c].isNotNull(), r) for c in columns}
     # per (station, bucket): rows and the first/last valid local rank and value (hash aggregate,
     # computed inside the ranking's partitioning)
-    summary = ranked.groupBy(*kcols, S.BUCKET).agg(
-        F.count(F.lit(1)).alias("__n"),
+    summary = S.bucket_summary(
+        ranked,
+        kcols,
         *[F.max(valid_r[c]).alias(f"__lr{i}") for i, c in enumerate(columns)],
-        *[F.max_by(c, valid_r[c]).alias(f"__lv{i}") for i, c in enumerate(columns)],
+        *[F.max_by(cell[c], valid_r[c]).alias(f"__lv{i}") for i, c in enumerate(columns)],
         *[F.min(valid_r[c]).alias(f"__fr{i}") for i, c in enumerate(columns)],
-        *[F.min_by(c, valid_r[c]).alias(f"__fv{i}") for i, c in enumerate(columns)],
+        *[F.min_by(cell[c], valid_r[c]).alias(f"__fv{i}") for i, c in enumerate(columns)],
     )
     earlier = Window.partitionBy(*kcols).orderBy(S.BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*kcols).orderBy(F.col(S.BUCKET).desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -74,15 +68,16 @@ def fill_interpolate(
         *[F.last(pt(F.col(f"__lr{i}"), F.col(f"__lv{i}")), ignorenulls=True).over(earlier).alias(f"__pin{i}") for i in range(len(columns))],
         *[F.last(pt(F.col(f"__fr{i}"), F.col(f"__fv{i}")), ignorenulls=True).over(later).alias(f"__nin{i}") for i in range(len(columns))],
     )
-    rows = ranked.join(carry, on=[*kcols, S.BUCKET], how="inner").withColumn(S.SEQ, F.col("__o") + r)
+    rows = ranked.where(S.whole_row(ranked)).join(carry, on=[*kcols, S.BUCKET], how="inner")
+    rows = rows.select("*", *S.unpacked(ranked), (F.col("__o") + r).alias(S.SEQ)).drop(S.ROW)
     seq = F.col(S.SEQ)
 
     def point(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.struct(seq.alias("p"), F.col(c).alias("v")))
 
-    upto = Window.partitionBy(*kcols, S.BUCKET).orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*kcols, S.BUCKET).orderBy(S.RANK).rowsBetween(Window.unboundedPreceding, 0)
     # look-forward over a descending order keeps the frame running (linear, not quadratic)
-    from_here = Window.partitionBy(*kcols, S.BUCKET).orderBy(F.col("__r").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    from_here = Window.partitionBy(*kcols, S.BUCKET).orderBy(r.desc()).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumns(
         {
             **{f"__pl{i}": F.last(point(c), ignorenulls=True).over(upto) for i, c in enumerate(columns)},
@@ -115,7 +110,6 @@ def fill_forward(
     key: Sequence[str] = ("station_id",),
     order: Sequence[str | Column] = ("ts",),
     limit: int = 3,
-    chunk_rows: int = S.DEFAULT_CHUNK_ROWS,
     bucket: Column | None = None,
 ) -> DataFrame:
     """Carry the last valid value forward over at most ``limit`` rows (one large exchange:
@@ -123,7 +117,7 @@ def fill_forward(
     columns = list(columns) if columns is not None else [c for c in numeric_columns(df) if c not in key]
     original = list(df.columns)
     fns = {f"__ff_{c}": (lambda w, c=c: F.last(c, ignorenulls=True).over(w.rowsBetween(-limit, 0))) for c in columns}
-    out = S.bucket_windows(df, list(key), order, fns, before=max(limit, 1), bucket=bucket)
+    out = S.bucket_windows(df, list(key), order, fns, columns, before=max(limit, 1), bucket=bucket)
     return out.select(*[F.col(f"__ff_{c}").alias(c) if c in columns else F.col(c) for c in original])
 
 
@@ -133,7 +127,6 @@ def fill_backward(
     key: Sequence[str] = ("station_id",),
     order: Sequence[str | Column] = ("ts",),
     limit: int = 3,
-    chunk_rows: int = S.DEFAULT_CHUNK_ROWS,
     bucket: Column | None = None,
 ) -> DataFrame:
     """Carry the next valid value backward over at most ``limit`` rows (one large exchange:
@@ -141,7 +134,7 @@ def fill_backward(
     columns = list(columns) if columns is not None else [c for c in numeric_columns(df) if c not in key]
     original = list(df.columns)
     fns = {f"__bf_{c}": (lambda w, c=c: F.first(c, ignorenulls=True).over(w.rowsBetween(0, limit))) for c in columns}
-    out = S.bucket_windows(df, list(key), order, fns, before=0, bucket=bucket, after=max(limit, 1))
+    out = S.bucket_windows(df, list(key), order, fns, columns, after=max(limit, 1), bucket=bucket)
     return out.select(*[F.col(f"__bf_{c}").alias(c) if c in columns else F.col(c) for c in original])
 
 
@@ -151,20 +144,29 @@ def fill_mean(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), column_stat(df, F.avg(c))) for c in columns})
 
 
+def medians(df: DataFrame, columns: Sequence[str], exact: bool = True) -> dict[str, float | None]:
+    """Median of each column (one small row per column is read); exact, or ``percentile_approx``."""
+    if exact:
+        return {r["column"]: r["q0"] for r in quantiles(value_table(df, columns), [0.5]).collect()} if columns else {}
+    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 10_000).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    return dict(zip(columns, row, strict=True))
+
+
 def fill_median(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
-    """Fill with the column median (exact by default; ``exact=False`` -> percentile_approx)."""
+    """Fill with the column median (exact by default; ``exact=False`` -> percentile_approx).
+
+    The medians are read while the plan is built.
+    """
     columns = list(columns) if columns is not None else numeric_columns(df)
-    med = (lambda c: F.median(c)) if exact else (lambda c: F.percentile_approx(c, 0.5, 10_000))
-    return df.withColumns({c: F.coalesce(F.col(c), column_stat(df, med(F.col(c)).cast("double"))) for c in columns})
+    found = medians(df, columns, exact)
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(found.get(c)).cast("double")) for c in columns})
 
 
 def fill_median_or_zero(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Training fill: median, or 0 when a column has no value at all."""
     columns = list(columns) if columns is not None else numeric_columns(df)
-    med = (lambda c: F.median(c)) if exact else (lambda c: F.percentile_approx(c, 0.5, 10_000))
-    return df.withColumns(
-        {c: F.coalesce(F.col(c), column_stat(df, med(F.col(c)).cast("double")), F.lit(0.0)) for c in columns}
-    )
+    found = medians(df, columns, exact)
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(found.get(c)).cast("double"), F.lit(0.0)) for c in columns})
 
 
 def fill_drop(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

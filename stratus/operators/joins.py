@@ -1,26 +1,20 @@
-"""Join helper: broadcast a side only after its size has been checked."""
+"""Join helper: lookup tables by null-safe equality."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratus.session import reliable_checkpoint
 
-BROADCAST_MAX_ROWS = 1_000_000
+def join_lookup(rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Add the columns of ``lookup`` to ``rows``; a NULL key meets a NULL key.
 
-
-def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join ``big`` with a lookup table expected to be small.
-
-    The lookup is written to the shared checkpoint folder (cuts its lineage, so the size
-    check and the join read the same rows) and counted; it is broadcast only when it has
-    at most ``max_rows`` rows.  Otherwise a regular shuffle join is planned, with AQE's
-    skew-join splitting hot keys.
+    The join carries no hint: Spark broadcasts the lookup if its size in bytes allows it and
+    otherwise shuffles both sides, splitting frequent keys.
     """
-    small = reliable_checkpoint(small)
-    if small.count() <= max_rows:
-        small = F.broadcast(small)
-    return big.join(small, on=list(on), how=how)
+    renamed = lookup.withColumnsRenamed({c: f"__on_{c}" for c in on})
+    match = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(renamed[f"__on_{c}"]) for c in on])
+    return rows.join(renamed, match, how).drop(*[f"__on_{c}" for c in on])

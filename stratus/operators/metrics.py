@@ -3,7 +3,7 @@
 Ranking metrics (ROC points, AUC) need running totals over the score order.  Scores are
 first collapsed to distinct values with per-score positive/negative counts (map-side
 combine: a hot score is one row per task), then running sums are taken in two levels —
-per score bucket, then within each bucket — so no single task sees all scores.
+per range of scores, then within each range; ranges hold about as many scores each.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROC_BUCKETS = 65_536
+from stratus.operators.ranges import RANGE, range_buckets
 
 
 def confusion_matrix(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
@@ -87,25 +87,22 @@ def classification_report(df: DataFrame, y_true: str = "y_true", y_pred: str = "
     )
 
 
-def _score_totals(df: DataFrame, y_true: str, score: str, buckets: int = ROC_BUCKETS) -> DataFrame:
-    """Distinct scores (descending) with pos/neg counts and running totals up to each score."""
+def _score_totals(df: DataFrame, y_true: str, score: str) -> DataFrame:
+    """Distinct scores (descending) with pos/neg counts and running totals up to each score.
+
+    The distinct scores are written in range buckets of about equal size while the plan is built.
+    """
     s = F.col(score).cast("double")
-    lo = df.select(F.min(s)).scalar()
-    hi = df.select(F.max(s)).scalar()
     per = df.where(s.isNotNull()).groupBy(s.alias("score")).agg(
         F.count_if(F.col(y_true).cast("int") == 1).alias("pos"), F.count_if(F.col(y_true).cast("int") != 1).alias("neg")
     )
-    # bucket 0 holds the highest scores: running sums walk scores in descending order
-    b = F.least(F.floor((hi - F.col("score")) / F.greatest(hi - lo, F.lit(1e-300)) * buckets), F.lit(buckets - 1)).cast("long")
-    per = per.withColumn("__b", b)
-    per_bucket = per.groupBy("__b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows
-    offsets = per_bucket.select("__b", F.coalesce(F.sum("bp").over(before), F.lit(0)).alias("op"), F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("on"))
-    inside = Window.partitionBy("__b").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    per = range_buckets(per, F.col("score").desc())
+    per_bucket = per.groupBy(RANGE).agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
+    before = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = per_bucket.select(RANGE, F.coalesce(F.sum("bp").over(before), F.lit(0)).alias("op"), F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("on"))
+    inside = Window.partitionBy(RANGE).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
     local = per.withColumns({"lp": F.sum("pos").over(inside), "ln": F.sum("neg").over(inside)})
-    return local.join(F.broadcast(offsets), on="__b").select(
-        "score", "pos", "neg", (F.col("op") + F.col("lp")).alias("tp"), (F.col("on") + F.col("ln")).alias("fp")
-    )
+    return local.join(offsets, RANGE).select("score", "pos", "neg", (F.col("op") + F.col("lp")).alias("tp"), (F.col("on") + F.col("ln")).alias("fp"))
 
 
 def roc_curve(df: DataFrame, y_true: str = "y_true", score: str = "prob") -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratus.functions.roles import fold
+from stratus.operators.joins import join_lookup
+from stratus.operators.ranges import quantiles, value_table
 from stratus.operators.stats import column_stat, numeric_columns
 
 
@@ -28,44 +30,63 @@ def _missing(df: DataFrame, c: str) -> Column:
     return F.col(c).isNull()
 
 
-def smallest_distinct(df: DataFrame, column: str, k: int = 3) -> Column:
-    """The ``k`` smallest distinct non-NULL values of ``column`` as ``array<string>``.
+def smallest_values(df: DataFrame, columns: Sequence[str], k: int = 3) -> DataFrame:
+    """``(column, values)``: the ``k`` smallest distinct non-NULL values of each column as ``array<string>``.
 
-    Evaluated as ``k`` chained single-row ``min`` aggregates (scalar subqueries): no
-    ``collect_set`` (unbounded per group) and no shuffle of the distinct values.
+    ``k`` aggregates, each over all columns at once; each starts above the values that the one
+    before it found, which are one row on the driver.
     """
-    c = F.col(column)
-    found: list[Column] = []
-    prev = None
+    found: dict[str, list] = {c: [] for c in columns}
+    open_ = list(columns)
     for _ in range(k):
-        cond = c.isNotNull() if prev is None else (c > prev)
-        m = column_stat(df, F.min(F.when(cond, c)))
-        found.append(m)
-        prev = m
-    return F.array_compact(F.array(*[f.cast("string") for f in found]))
+        if not open_:
+            break
+        above = [F.col(c) > F.lit(found[c][-1]) if found[c] else F.col(c).isNotNull() for c in open_]
+        least = [F.min(F.when(x & ~_missing(df, c), F.col(c))).alias(f"m{i}") for i, (c, x) in enumerate(zip(open_, above))]
+        row = df.agg(*least).first()
+        still = []
+        for i, c in enumerate(open_):
+            if row[i] is not None:
+                found[c].append(row[i])
+                still.append(c)
+        open_ = still
+    texts = [F.struct(F.lit(c).alias("column"), _texts(df, c, found[c]).alias("values")) for c in columns]
+    return df.sparkSession.range(1).select(F.inline(F.array(*texts)))
+
+
+def _texts(df: DataFrame, column: str, values: list) -> Column:
+    dt = df.schema[column].dataType
+    return F.array(*[F.lit(v).cast(dt).cast("string") for v in values]) if values else F.array().cast("array<string>")
 
 
 def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, samples: int = 3, exact_distinct: bool = True) -> DataFrame:
-    """Per column: type, NULL count, % NULL (2 dp), distinct non-NULL count, smallest sample values."""
+    """Per column: type, NULL count, % NULL (2 dp), distinct non-NULL count, smallest sample values.
+
+    ``samples`` + 2 reads for any number of columns (+ 1 with ``exact_distinct=False``).  Exact
+    distinct counts come from one long table of (column, value) that is combined on the map side.
+    """
     columns = list(columns) if columns is not None else df.columns
-    n = F.count(F.lit(1))
-    distinct = (lambda c: F.count_distinct(c)) if exact_distinct else (lambda c: F.approx_count_distinct(c))
-    aggs = []
-    for i, c in enumerate(columns):
-        aggs += [F.count_if(_missing(df, c)).alias(f"n{i}"), distinct(F.col(c)).alias(f"d{i}")]
-    wide = df.agg(n.alias("rows"), *aggs)
+    approx = [] if exact_distinct else [F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)]
+    wide = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(_missing(df, c)).alias(f"n{i}") for i, c in enumerate(columns)], *approx)
     structs = [
         F.struct(
             F.lit(c).alias("column"),
+            F.lit(i).alias("__pos"),
             F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
             F.col(f"n{i}").cast("long").alias("n_null"),
             F.round(F.col(f"n{i}") * F.lit(100.0) / F.col("rows"), 2).alias("pct_null"),
-            F.col(f"d{i}").cast("long").alias("n_distinct"),
-            F.array_join(smallest_distinct(df, c, samples), ", ").alias("samples"),
+            *([] if exact_distinct else [F.col(f"d{i}").cast("long").alias("n_distinct")]),
         )
         for i, c in enumerate(columns)
     ]
-    return _long(wide, structs)
+    out = _long(wide, structs)
+    if exact_distinct:
+        cells = [F.struct(F.lit(i).alias("__pos"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)]
+        values = df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull()).distinct()
+        counts = values.groupBy("__pos").agg(F.count(F.lit(1)).alias("n_distinct"))
+        out = out.join(counts, "__pos", "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
+    texts = smallest_values(df, columns, samples).withColumn("samples", F.array_join("values", ", "))
+    return out.join(texts.select("column", "samples"), "column").select("column", "dtype", "n_null", "pct_null", "n_distinct", "samples")
 
 
 def column_types_table(df: DataFrame) -> DataFrame:
@@ -107,53 +128,43 @@ def dtype_counts(df: DataFrame) -> DataFrame:
 def distinct_samples(df: DataFrame, columns: Sequence[str] | None = None, n: int = 5) -> DataFrame:
     """First ``n`` distinct values (ascending) of each text column, long form (column, rank, value)."""
     columns = list(columns) if columns is not None else [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
-    one = df.sparkSession.range(1)
-    structs = []
-    for c in columns:
-        vals = smallest_distinct(df, c, n)
-        structs.append(F.struct(F.lit(c).alias("column"), vals.alias("values")))
     return (
-        one.select(F.inline(F.array(*structs)))
+        smallest_values(df, columns, n)
         .select("column", F.posexplode("values").alias("pos", "value"))
         .select("column", (F.col("pos") + 1).cast("long").alias("rank"), "value")
     )
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
-    """count, mean, std (sample), min, 25/50/75 % (linear interpolation), max per column."""
+    """count, mean, std (sample), min, 25/50/75 % (linear interpolation), max per column.
+
+    Quartiles are exact (``stratus.operators.ranges``; their value table is written while the plan
+    is built); ``exact=False`` takes ``percentile_approx`` in the same pass as the rest.
+    """
     columns = list(columns) if columns is not None else numeric_columns(df)
-    pct = (lambda x: F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))) if exact else (
-        lambda x: F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000)
-    )
     aggs = []
     for i, c in enumerate(columns):
         x = F.when(~_missing(df, c), F.col(c).cast("double"))
-        aggs += [
-            F.count(x).alias(f"c{i}"),
-            F.avg(x).alias(f"m{i}"),
-            F.stddev_samp(x).alias(f"s{i}"),
-            F.min(x).alias(f"lo{i}"),
-            pct(x).alias(f"q{i}"),
-            F.max(x).alias(f"hi{i}"),
-        ]
-    wide = df.agg(*aggs)
-    return _long(
-        wide,
-        [
-            F.struct(
-                F.lit(c).alias("column"),
-                F.col(f"c{i}").cast("long").alias("count"),
-                F.col(f"m{i}").alias("mean"),
-                F.col(f"s{i}").alias("std"),
-                F.col(f"lo{i}").alias("min"),
-                F.col(f"q{i}")[0].cast("double").alias("p25"),
-                F.col(f"q{i}")[1].cast("double").alias("p50"),
-                F.col(f"q{i}")[2].cast("double").alias("p75"),
-                F.col(f"hi{i}").alias("max"),
-            )
-            for i, c in enumerate(columns)
-        ],
-    )
+        aggs += [F.count(x).alias(f"c{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        if not exact:
+            aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000).alias(f"q{i}"))
+    structs = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.col(f"c{i}").cast("long").alias("count"),
+            F.col(f"m{i}").alias("mean"),
+            F.col(f"s{i}").alias("std"),
+            F.col(f"lo{i}").alias("min"),
+            F.col(f"hi{i}").alias("max"),
+            *([] if exact else [F.col(f"q{i}")[k].cast("double").alias(p) for k, p in enumerate(("p25", "p50", "p75"))]),
+        )
+        for i, c in enumerate(columns)
+    ]
+    out = _long(df.agg(*aggs), structs)
+    if exact:
+        quart = quantiles(value_table(df, columns), [0.25, 0.5, 0.75]).selectExpr("column", "q0 AS p25", "q1 AS p50", "q2 AS p75")
+        out = out.join(quart, "column", "left")
+    return out.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None, top: int | None = None, only_missing: bool = True) -> DataFrame:
@@ -303,7 +314,7 @@ def histogram(df: DataFrame, column: str, bins: int = 50, by: str | None = None,
         # one spine row per (class, bin); classes come from the counts table itself
         classes = counts.select(by).distinct()
         spine = classes.select(by, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
-    full = spine.join(counts, on=[*groups, "bin"], how="left").fillna(0, subset=["count"])
+    full = join_lookup(spine, counts, [*groups, "bin"]).fillna(0, subset=["count"])
     width = (hi - lo) / F.lit(bins)
     full = full.withColumns({"lower": lo + F.col("bin") * width, "upper": lo + (F.col("bin") + 1) * width})
     if density:
@@ -313,51 +324,36 @@ def histogram(df: DataFrame, column: str, bins: int = 50, by: str | None = None,
 
 
 def box_stats(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
-    """Quartiles, IQR, whiskers (most extreme values inside the 1.5·IQR fences) and outliers."""
-    x = F.col(column).cast("double")
-    valid = df.where(~_missing(df, column))
+    """Quartiles, IQR, whiskers (most extreme values inside the 1.5·IQR fences) and outliers.
+
+    A NULL class is a class.  One pass over the rows: quartiles and whiskers come from the table of
+    distinct values, which is written while the plan is built.
+    """
     groups = [by] if by else []
-    quart = valid.groupBy(*groups).agg(
-        F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-        F.count(F.lit(1)).alias("n"),
-    ).select(*groups, F.col("n").cast("long").alias("n"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    if by:
-        from stratus.operators.joins import join_small
-
-        rows = join_small(valid.select(by, x.alias("__x")), quart, on=[by])
-    else:
-        rows = valid.select(x.alias("__x")).withColumns(
-            {
-                "q1": column_stat(quart, F.first("q1")),
-                "q3": column_stat(quart, F.first("q3")),
-            }
-        )
+    values = value_table(df, [column], groups)
+    quart = quantiles(values, [0.25, 0.5, 0.75], groups).where("count > 0")
+    quart = quart.select(*groups, "column", F.col("count").cast("long").alias("n_all"), F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
+    rows = join_lookup(values.where(F.col("value").isNotNull()), quart, [*groups, "column"], "inner")
     iqr = F.col("q3") - F.col("q1")
     lo_f = F.col("q1") - F.lit(1.5) * iqr
     hi_f = F.col("q3") + F.lit(1.5) * iqr
-    whisk = rows.groupBy(*groups).agg(
-        F.min(F.when(F.col("__x") >= lo_f, F.col("__x"))).alias("whisker_low"),
-        F.max(F.when(F.col("__x") <= hi_f, F.col("__x"))).alias("whisker_high"),
-        F.count_if((F.col("__x") < lo_f) | (F.col("__x") > hi_f)).cast("long").alias("n_outliers"),
+    return rows.groupBy(*groups, F.col("n_all").alias("n"), "q1", "median", "q3").agg(
+        F.first(iqr).alias("iqr"),
+        F.min(F.when(F.col("value") >= lo_f, F.col("value"))).alias("whisker_low"),
+        F.max(F.when(F.col("value") <= hi_f, F.col("value"))).alias("whisker_high"),
+        F.coalesce(F.sum(F.when((F.col("value") < lo_f) | (F.col("value") > hi_f), rows["n"])), F.lit(0)).cast("long").alias("n_outliers"),
     )
-    if by:
-        out = quart.join(whisk, on=groups, how="inner")
-    else:  # both sides are single rows: attach the quartile row as scalar subqueries
-        out = whisk.select(
-            "*", *[column_stat(quart, F.first(c)).alias(c) for c in ("n", "q1", "median", "q3")]
-        )
-    return out.select(*groups, "n", "q1", "median", "q3", (F.col("q3") - F.col("q1")).alias("iqr"), "whisker_low", "whisker_high", "n_outliers")
 
 
 def mean_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    aggs = []
-    for i, c in enumerate(columns):
-        x = F.when(~_missing(df, c), F.col(c).cast("double"))
-        aggs += [F.avg(x).alias(f"m{i}"), F.median(x).alias(f"d{i}")]
-    return _long(
-        df.agg(*aggs),
-        [F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("mean"), F.col(f"d{i}").cast("double").alias("median")) for i, c in enumerate(columns)],
+    """Mean and exact median per column, from the table of distinct values."""
+    values = value_table(df, columns)
+    medians = quantiles(values, [0.5]).select("column", F.col("q0").alias("median"))
+    means = _long(
+        df.agg(*[F.avg(F.when(~_missing(df, c), F.col(c).cast("double"))).alias(f"m{i}") for i, c in enumerate(columns)]),
+        [F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("mean")) for i, c in enumerate(columns)],
     )
+    return means.join(medians, "column", "left").select("column", "mean", "median")
 
 
 def _pair_stats(df: DataFrame, a: str, b: str) -> tuple[Column, Column]:

@@ -14,9 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratus.operators import series as S
-from stratus.operators.stats import column_stat
 
-HASH_BUCKET_BITS = 16
+HASH_BUCKET_BITS = 14
 
 
 def sort_by_time(df: DataFrame, ts: str = "datetime", tiebreak: Sequence[str] = ()) -> DataFrame:
@@ -43,39 +42,36 @@ def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataF
     return df.orderBy(hash_order(key, seed), *key).limit(n)
 
 
-def _hash_rank(df: DataFrame, key: Sequence[str], group: Sequence[str], seed: int, bits: int, out: str) -> DataFrame:
-    tmp = df.withColumn("__h", hash_order(key, seed))
-    grp = list(group) if group else []
-    if not grp:
-        tmp = tmp.withColumn("__all", F.lit(0))
-        grp = ["__all"]
+def _hash_rank(df: DataFrame, key: Sequence[str], group: Sequence[str], seed: int, bits: int) -> DataFrame:
+    """``__rank`` of each row in hash order within its group (a NULL group value is a group), and the
+    group's ``__total``."""
+    h = hash_order(key, seed)
     # arithmetic shift keeps the signed hash order, so the bucket is monotone in it
-    ranked = S.sequence(tmp, grp, ["__h", *key], bucket=F.shiftright(F.col("__h"), 64 - bits), out=out)
-    helpers = [c for c in ranked.columns if c.startswith("__k")] + ["__h"] + (["__all"] if "__all" in ranked.columns else [])
-    return ranked.drop(*helpers)
+    tmp = df.withColumns({"__h": h, "__all": F.lit(0)})
+    ranked = S.sequence(tmp, [*group, "__all"], ["__h", *key], bucket=F.shiftright(F.col("__h"), 64 - bits), out="__rank", total="__total")
+    return ranked.drop("__h", "__all")
 
 
 def random_split(df: DataFrame, key: Sequence[str], test_fraction: float = 0.2, seed: int = 42, bits: int = HASH_BUCKET_BITS, out: str = "is_test") -> DataFrame:
     """Exactly ``ceil(test_fraction · n)`` rows flagged ``is_test`` (the lowest hashes)."""
-    ranked = _hash_rank(df, key, (), seed, bits, "__rank")
-    n_test = F.ceil(column_stat(df, F.count(F.lit(1))) * F.lit(test_fraction))
-    return ranked.withColumn(out, F.col("__rank") <= n_test).drop("__rank")
+    ranked = _hash_rank(df, key, (), seed, bits)
+    return ranked.withColumn(out, F.col("__rank") <= F.ceil(F.col("__total") * F.lit(test_fraction))).drop("__rank", "__total")
 
 
 def stratified_split(
     df: DataFrame, key: Sequence[str], label: str, test_fraction: float = 0.2, seed: int = 42, bits: int = HASH_BUCKET_BITS, out: str = "is_test"
 ) -> DataFrame:
     """``ceil(test_fraction · n_c)`` test rows per class; falls back to :func:`random_split`
-    when a class has fewer than two rows (the case a stratified split cannot serve)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    smallest = counts.agg(F.min("n")).first()[0]
+    when a class has fewer than two rows (the case a stratified split cannot serve).
+
+    Rows with a NULL label are a class of their own.  The class counts are read while the
+    plan is built (one aggregate over the label column).
+    """
+    smallest = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
     if smallest is None or smallest < 2:
         return random_split(df, key, test_fraction, seed, bits, out)
-    ranked = _hash_rank(df, key, [label], seed, bits, "__rank")
-    from stratus.operators.joins import join_small
-
-    withn = join_small(ranked, counts, on=[label])
-    return withn.withColumn(out, F.col("__rank") <= F.ceil(F.col("n") * F.lit(test_fraction))).drop("__rank", "n")
+    ranked = _hash_rank(df, key, [label], seed, bits)
+    return ranked.withColumn(out, F.col("__rank") <= F.ceil(F.col("__total") * F.lit(test_fraction))).drop("__rank", "__total")
 
 
 def kfold(
@@ -96,18 +92,15 @@ def kfold(
       as an unshuffled K-fold does.
     """
     if label is not None:
-        ranked = _hash_rank(df, key, [label], seed, bits, "__rank")
-        return ranked.withColumn(out, ((F.col("__rank") - 1) % k).cast("int")).drop("__rank")
-    tmp = df.withColumn("__all", F.lit(0))
+        ranked = _hash_rank(df, key, [label], seed, bits)
+        return ranked.withColumn(out, ((F.col("__rank") - 1) % k).cast("int")).drop("__rank", "__total")
     if bucket is None:
-        # one global order: keep first-level tasks small with minute buckets (the per-bucket
-        # count table stays small enough for its single running-sum window)
+        # one global order: minute buckets keep the ranking tasks small, and one row per
+        # minute is a short table for the running sum
         bucket = S.time_bucket(order[0], 60) if isinstance(order[0], str) else None
-    ranked = S.sequence(tmp, ["__all"], list(order), bucket=bucket, out="__rank")
-    n = column_stat(df, F.count(F.lit(1)))
-    q = F.floor(n / k)
-    r = n - q * k
+    ranked = S.sequence(df.withColumn("__all", F.lit(0)), ["__all"], list(order), bucket=bucket, out="__rank", total="__total")
+    q = F.floor(F.col("__total") / k)
+    r = F.col("__total") - q * k
     g = F.col("__rank") - 1
     fold = F.when(g < r * (q + 1), F.floor(g / (q + 1))).otherwise(r + F.floor((g - r * (q + 1)) / q))
-    drop = [c for c in ranked.columns if c.startswith("__k")] + ["__all", "__rank"]
-    return ranked.withColumn(out, fold.cast("int")).drop(*drop)
+    return ranked.withColumn(out, fold.cast("int")).drop("__all", "__rank", "__total")

@@ -3,37 +3,38 @@
 The reference shifts and rolls by *row position* inside a station's time order.  The
 plain Spark form, ``Window.partitionBy(station).orderBy(ts)``, sends every row of a
 station to one task; with one station holding a third of all rows that task would sort
-a third of the data.  Instead:
-
-1. :func:`sequence` numbers the rows of each station 1..n.  Rows are first ranked inside
-   ``(station, time bucket)`` groups (bounded by the sampling rate, not by the data
-   volume), bucket sizes are counted with a map-side-combined ``groupBy``, and a running
-   sum over that small per-bucket table gives each bucket's offset.
-2. :func:`with_halo` cuts each station into chunks of ``chunk_rows`` consecutive
-   positions and copies the few rows a window needs from the neighbouring chunk
-   (``before`` rows from the previous chunk, ``after`` rows from the next one).
-3. Windows then run over ``partitionBy(station, chunk).orderBy(position)``; the copied
-   rows are dropped afterwards.  Results equal the per-station window exactly.
-
-Unbounded look-back / look-ahead (interpolation endpoints) carries one summary row per
-chunk across chunks instead of copying rows (see ``stratus.operators.fill``).
+a third of the data.  Instead rows are ranked inside ``(station, time bucket)`` groups,
+and one summary row per bucket (:func:`bucket_summary`) carries what crosses buckets:
+
+* :func:`sequence` adds each bucket's offset, a running sum over the bucket table;
+* :func:`bucket_windows` (lags, rolling stats, forward and backward fill) carries the last
+  and first few values of each bucket as bounded arrays to the buckets that look at them;
+* interpolation carries the nearest valid points (see ``stratus.operators.fill``).
+
+The rows are shuffled once.  Task size is the rows of one bucket: the bucket width is a
+parameter (``bucket=``, default ``DEFAULT_BUCKET_SECONDS``), to be far above the longest
+look-back in rows and low enough for one bucket of the busiest station to fit a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
-DEFAULT_BUCKET_SECONDS = 86_400
-DEFAULT_CHUNK_ROWS = 500_000
+#: ten days: 240 rows of an hourly station
+DEFAULT_BUCKET_SECONDS = 864_000
 SEQ = "__seq"
-CHUNK = "__chunk"
 HALO = "__halo"
-_BUCKET = "__bucket"
-_LAST_BUCKET = 2**62
+RANK = "__r"
+BUCKET = "__bucket"
+#: rows without an order value come last, spread by a hash over this many buckets
+NULL_BUCKETS = 1024
+_FIRST_NULL_BUCKET = 2**62
+ROW = "__row"
 
 
 def time_bucket(ts: str | Column, seconds: int = DEFAULT_BUCKET_SECONDS) -> Column:
@@ -93,168 +94,126 @@ def default_bucket(df: DataFrame, order: Sequence[str | Column]) -> Column:
 
 
 def bucket_ranks(df: DataFrame, key: Sequence[str], order: Sequence[str | Column], bucket: Column | None = None):
-    """First level of :func:`sequence`: rows ranked 1..m inside ``(key, bucket)`` as ``__r``.
+    """Rows ranked 1..m inside ``(key, bucket)``: the key helpers, ``BUCKET``, ``RANK`` and the row as one struct ``ROW``.
+
+    ``bucket`` must not decrease along ``order``.  Rows whose bucket is NULL follow all
+    others, in an order of their own: by a hash of the order columns, then by these.
 
-    Returns ``(df with key helpers, helper names, bucketed rows, ranked rows)``.
+    The ranked rows are read twice, by the bucket summary and as rows.  Both read the whole struct
+    (see :func:`whole_row`), so that Spark plans one scan and one shuffle for them; with columns of
+    their own they would be pruned to different plans.  Returns ``(helper names, ranked rows)``.
     """
+    original = list(df.columns)
     df, kcols = key_columns(df, key)
     bucket = default_bucket(df, order) if bucket is None else bucket
-    keyed = df.withColumn(_BUCKET, F.coalesce(bucket, F.lit(_LAST_BUCKET).cast("long")))
-    ranked = keyed.withColumn(
-        "__r", F.row_number().over(Window.partitionBy(*kcols, _BUCKET).orderBy(*_order_cols(order)))
-    )
-    return df, kcols, keyed, ranked
-
-
-BUCKET = _BUCKET
-
-
-def sequence(
-    df: DataFrame,
-    key: Sequence[str],
-    order: Sequence[str | Column],
-    bucket: Column | None = None,
-    out: str = SEQ,
-) -> DataFrame:
-    """Add ``out``: 1-based position of each row inside its ``key`` in ``order``.
-
-    ``bucket`` must be non-decreasing along ``order`` (default: day of the first order
-    column).  Task size is bounded by the rows of one ``(key, bucket)``.
-    """
-    if out in df.columns:
-        return df
-    df, kcols, keyed, ranked = bucket_ranks(df, key, order, bucket)
-    counts = keyed.groupBy(*kcols, _BUCKET).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*kcols).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*kcols, _BUCKET, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    return ranked.join(offsets, on=[*kcols, _BUCKET], how="inner").select(
-        *df.columns, (F.col("__o") + F.col("__r")).cast("long").alias(out)
-    )
-
+    plain = [F.col(o) if isinstance(o, str) else o for o in order]
+    spread = F.lit(_FIRST_NULL_BUCKET) + F.pmod(F.xxhash64(*plain), F.lit(NULL_BUCKETS))
+    # never NULL, and Spark can tell: otherwise a join would filter one of the two readers only
+    placed = df.withColumn(BUCKET, F.coalesce(bucket.cast("long"), spread.cast("long"), F.lit(_FIRST_NULL_BUCKET)))
+    by = Window.partitionBy(*kcols, BUCKET).orderBy(*_order_cols(order))
+    packed = placed.withColumn(ROW, F.struct(*[F.col(f"`{c}`") for c in original]))
+    return kcols, packed.withColumn(RANK, F.row_number().over(by)).select(*kcols, BUCKET, RANK, ROW)
 
-def with_halo(
-    df: DataFrame,
-    key: Sequence[str],
-    before: int = 0,
-    after: int = 0,
-    chunk_rows: int = DEFAULT_CHUNK_ROWS,
-    seq: str = SEQ,
-) -> DataFrame:
-    """Assign chunk ids and copy ``before``/``after`` neighbour rows into adjacent chunks.
 
-    Copies carry ``__halo = true``; drop them with :func:`drop_halo` after the windows.
-    """
-    if chunk_rows < max(before, after, 1):
-        raise ValueError("chunk_rows must be at least the halo width")
-    df, kcols = key_columns(df, key)
-    idx = F.col(seq) - F.lit(1)
-    chunk = F.floor(idx / F.lit(chunk_rows)).cast("long")
-    pos = idx - chunk * F.lit(chunk_rows)
-    targets = [F.struct(chunk.alias(CHUNK), F.lit(False).alias(HALO))]
-    if before > 0:
-        targets.append(F.when(pos >= chunk_rows - before, F.struct((chunk + 1).alias(CHUNK), F.lit(True).alias(HALO))))
-    if after > 0:
-        targets.append(
-            F.when((pos < after) & (chunk > 0), F.struct((chunk - 1).alias(CHUNK), F.lit(True).alias(HALO)))
-        )
-    arr = F.array(*targets) if len(targets) == 1 else F.filter(F.array(*targets), lambda x: x.isNotNull())
-    return df.select("*", F.inline(arr))
+def _hashable(dt: T.DataType) -> bool:
+    return not isinstance(dt, (T.MapType, T.VariantType))
 
 
-def chunk_window(key_helpers: Sequence[str], seq: str = SEQ) -> Window:
-    return Window.partitionBy(*key_helpers, CHUNK).orderBy(seq)
+def whole_row(ranked: DataFrame) -> Column:
+    """True for every row; reads the whole struct.  (A type without a hash is left out.)"""
+    fields = ranked.schema[ROW].dataType.fields
+    whole = F.col(ROW) if all(_hashable(f.dataType) for f in fields) else F.col(f"{ROW}.`{fields[0].name}`")
+    return F.pmod(F.xxhash64(whole), F.lit(2)) < 2
 
 
-def helper_names(key: Sequence[str]) -> list[str]:
-    return [n for i in range(len(key)) for n in (f"__k{i}", f"__k{i}n")]
+def unpacked(ranked: DataFrame) -> list[Column]:
+    """The columns of the rows."""
+    return [F.col(f"{ROW}.`{c}`").alias(c) for c in ranked.schema[ROW].dataType.names]
 
 
-def drop_halo(df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    return df.where(~F.col(HALO)).select(*keep)
+def bucket_summary(ranked: DataFrame, kcols: Sequence[str], *aggs: Column) -> DataFrame:
+    """One row per ``(key, bucket)``: row count ``__n`` and ``aggs``, inside the ranking's partitions."""
+    return ranked.where(whole_row(ranked)).groupBy(*kcols, BUCKET).agg(F.max(RANK).cast("long").alias("__n"), *aggs)
 
 
-def chunk_of(seq: str = SEQ, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> Column:
-    return F.floor((F.col(seq) - F.lit(1)) / F.lit(chunk_rows)).cast("long")
+def bucket_offsets(summary: DataFrame, kcols: Sequence[str]) -> DataFrame:
+    """Adds ``__o``, the rows of the key before each bucket, and ``__total``, all its rows."""
+    before = Window.partitionBy(*kcols).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    return summary.withColumns({"__o": F.coalesce(F.sum("__n").over(before), F.lit(0)), "__total": F.sum("__n").over(Window.partitionBy(*kcols))})
 
 
-def series_windows(
+def sequence(
     df: DataFrame,
     key: Sequence[str],
     order: Sequence[str | Column],
-    columns: dict[str, callable],
-    before: int,
-    after: int = 0,
-    chunk_rows: int = DEFAULT_CHUNK_ROWS,
     bucket: Column | None = None,
-    keep_seq: bool = False,
+    out: str = SEQ,
+    total: str | None = None,
 ) -> DataFrame:
-    """Add window columns ``name -> fn(window)`` computed per station in row order.
+    """Add ``out``: 1-based position of each row inside its ``key`` in ``order`` (and ``total``: the
+    key's number of rows).
 
-    ``fn`` receives the chunk window spec and returns a Column; frames must reach at
-    most ``before`` rows back and ``after`` rows ahead.
+    ``bucket`` must not decrease along ``order`` (default: ten days of the first order column).
+    Task size is bounded by the rows of one ``(key, bucket)``.
     """
-    original = [c for c in df.columns if c != SEQ] + ([SEQ] if keep_seq or SEQ in df.columns else [])
-    seqd = sequence(df, key, order, bucket)
-    halo = with_halo(seqd, key, before=before, after=after, chunk_rows=chunk_rows)
-    w = chunk_window(helper_names(key))
-    out = halo.withColumns({name: fn(w) for name, fn in columns.items()})
-    return drop_halo(out, original + list(columns))
+    if out in df.columns:
+        return df
+    kcols, ranked = bucket_ranks(df, key, order, bucket)
+    offsets = bucket_offsets(bucket_summary(ranked, kcols), kcols).drop("__n")
+    rows = ranked.where(whole_row(ranked)).join(offsets, on=[*kcols, BUCKET], how="inner")
+    extra = [F.col("__total").cast("long").alias(total)] if total else []
+    return rows.select(*unpacked(ranked), (F.col("__o") + F.col(RANK)).cast("long").alias(out), *extra)
 
 
 def bucket_windows(
     df: DataFrame,
     key: Sequence[str],
     order: Sequence[str | Column],
-    columns: dict[str, callable],
-    before: int,
-    bucket: Column | None = None,
+    columns: dict[str, Callable[[WindowSpec], Column]],
+    values: Sequence[str],
+    before: int = 0,
     after: int = 0,
+    bucket: Column | None = None,
 ) -> DataFrame:
-    """Like :func:`series_windows`, with one large exchange.
-
-    Rows stay in the ``(station, bucket)`` partitions of the first ranking level.  The
-    last ``before`` rows of each bucket are copied into the following buckets whose start
-    lies within ``before`` positions (at most ``before`` buckets, found from the small
-    per-bucket offsets table); only those copies are shuffled, hash-partitioned exactly
-    like the ranked rows, so the union keeps the partitioning and the windows run
-    without another exchange of the rows.
+    """Add window columns ``name -> fn(window)`` computed per key in row order.
+
+    Frames reach at most ``before`` rows back and ``after`` ahead, and look at ``values`` only.
+    The rows are shuffled once.  Each bucket's last ``before`` and first ``after`` rows (``values``
+    only) travel as arrays over the bucket table to the buckets next to it (as many as hold that
+    many rows), where they stand before and after the bucket's own rows.
     """
-    original = list(df.columns)
-    df, kcols, keyed, ranked = bucket_ranks(df, key, order, bucket)
-    spark = df.sparkSession
-    counts = keyed.groupBy(*kcols, _BUCKET).agg(F.count(F.lit(1)).alias("__n"))
-    by_key = Window.partitionBy(*kcols).orderBy(_BUCKET)
-    offs = counts.withColumn("__o", F.coalesce(F.sum("__n").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # the next `before` buckets (each holds at least one row) with their start offsets
-    # the next `before` / previous `after` buckets (each holds at least one row) with their
-    # start / end offsets
-    nxt = offs.select(
-        *kcols,
-        _BUCKET,
-        "__o",
-        "__n",
-        F.collect_list(F.struct(F.col(_BUCKET).alias("b"), F.col("__o").alias("o"))).over(by_key.rowsBetween(1, max(before, 1))).alias("__next"),
-        F.collect_list(F.struct(F.col(_BUCKET).alias("b"), (F.col("__o") + F.col("__n")).alias("e"))).over(by_key.rowsBetween(-max(after, 1), -1)).alias("__prev"),
-    )
-    rows = ranked.join(nxt, on=[*kcols, _BUCKET], how="inner").withColumn(SEQ, F.col("__o") + F.col("__r"))
-    main = rows.withColumn(HALO, F.lit(False))
-    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    copies = []
-    if before > 0:
-        tail = rows.where(F.col("__r") > F.col("__n") - F.lit(before))
-        copies.append(tail.select("*", F.explode(F.filter("__next", lambda t: t["o"] < F.col(SEQ) + F.lit(before))).alias("__t")))
-    if after > 0:
-        head = rows.where(F.col("__r") <= F.lit(after))
-        copies.append(head.select("*", F.explode(F.filter("__prev", lambda t: F.col(SEQ) - t["e"] <= F.lit(after))).alias("__t")))
-    both = main
-    for c in copies:
-        halo = (
-            c.withColumn(_BUCKET, F.col("__t")["b"])
-            .drop("__t")
-            .withColumn(HALO, F.lit(True))
-            .repartition(nparts, *kcols, _BUCKET)
-        )
-        both = both.unionByName(halo)
-    w = Window.partitionBy(*kcols, _BUCKET).orderBy(SEQ)
+    kcols, ranked = bucket_ranks(df, key, order, bucket)
+    nparts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rank = F.col(RANK)
+    held = F.struct(rank.cast("long").alias("r"), *[F.col(f"{ROW}.`{c}`").alias(c) for c in values])
+    size = F.count(F.lit(1)).over(Window.partitionBy(*kcols, BUCKET))
+    sized = ranked.withColumn("__size", size) if before else ranked
+    ends = [F.sort_array(F.collect_list(F.when(rank > F.col("__size") - before, held))).alias("__tail")] if before else []
+    ends += [F.sort_array(F.collect_list(F.when(rank <= after, held))).alias("__head")] if after else []
+    offsets = bucket_offsets(bucket_summary(sized, kcols, *ends), kcols)
+    by_key = Window.partitionBy(*kcols).orderBy(BUCKET)
+
+    def placed(array: str) -> Column:
+        """The rows of an array with their position in the key."""
+        return F.transform(array, lambda t: t.withField("r", t["r"] + F.col("__o")))
+
+    near = []
+    if before:
+        earlier = F.flatten(F.collect_list("__tails").over(by_key.rowsBetween(-before, -1)))
+        near.append(F.slice(earlier, F.greatest(F.size(earlier) - before + 1, F.lit(1)), F.lit(before)))
+        offsets = offsets.withColumn("__tails", placed("__tail"))
+    if after:
+        later = F.flatten(F.collect_list("__heads").over(by_key.rowsBetween(1, after)))
+        near.append(F.slice(later, F.lit(1), F.lit(after)))
+        offsets = offsets.withColumn("__heads", placed("__head"))
+    names = [f"__near{i}" for i in range(len(near))]
+    carried = offsets.withColumns(dict(zip(names, near)))
+    carried = carried.withColumn("__near", F.concat(*names)).where(F.size("__near") > 0)
+    # one row per bucket is shuffled, to where the bucket's rows are, and unfolded there
+    halo = carried.select(*kcols, BUCKET, "__o", "__near").repartition(nparts, *kcols, BUCKET).select(*kcols, BUCKET, "__o", F.explode("__near").alias("__t"))
+    halo = halo.select(*kcols, BUCKET, (F.col("__t.r") - F.col("__o")).alias(RANK), F.lit(True).alias(HALO), *[F.col(f"__t.`{c}`").alias(c) for c in values])
+    rows = ranked.where(whole_row(ranked)).select(*kcols, BUCKET, rank.cast("long").alias(RANK), F.lit(False).alias(HALO), *unpacked(ranked))
+    both = rows.unionByName(halo, allowMissingColumns=True)
+    w = Window.partitionBy(*kcols, BUCKET).orderBy(RANK)
     out = both.withColumns({name: fn(w) for name, fn in columns.items()})
-    return out.where(~F.col(HALO)).select(*original, *columns)
+    return out.where(~F.col(HALO)).select(*df.columns, *columns)

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 from stratus.functions.calendar import build_timestamp, day_period, season
 from stratus.functions.numeric import parse_number, rain_flag
-from stratus.operators import clean, encode, features, fill, metrics, profile
+from stratus.operators import clean, encode, features, fill, metrics, profile, sampling
+from stratus.operators.ranges import quantiles, value_table
+from stratus.operators.series import time_bucket
+from stratus.session import clear_scratch, scratch_path, wide_plans
+from tests.work import work
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -18,8 +22,8 @@ def series(spark, values, station=1):
     return spark.createDataFrame(rows, "station_id long, ts timestamp_ntz, rid long, v double")
 
 
-def filled(spark, values, limit=3, chunk=1000):
-    out = fill.fill_interpolate(series(spark, values), ["v"], limit=limit, chunk_rows=chunk)
+def filled(spark, values, limit=3, hours=240):
+    out = fill.fill_interpolate(series(spark, values), ["v"], limit=limit, bucket=time_bucket("ts", 3600 * hours))
     return [r["v"] for r in out.orderBy("rid").collect()]
 
 
@@ -39,9 +43,9 @@ def test_interpolation_leading_trailing(spark):
     assert got[7:10] == [20.0] * 3 and got[10:] == [None, None]
 
 
-def test_interpolation_chunked_equals_whole(spark):
+def test_interpolation_over_buckets_equals_whole(spark):
     vals = [None, 1.0, None, None, None, None, None, None, None, 9.0, None, 11.0, None, None]
-    assert filled(spark, vals, chunk=2) == filled(spark, vals, chunk=1000)
+    assert filled(spark, vals, hours=2) == filled(spark, vals, hours=1) == filled(spark, vals)
 
 
 def test_one_row_window(spark):
@@ -115,3 +119,92 @@ def test_stratified_split_sizes(spark):
     s = stratified_split(df, ["id"], "y", 0.2, bits=4)
     got = {(r["y"], r["is_test"]): r["count"] for r in s.groupBy("y", "is_test").count().collect()}
     assert got == {(0, True): 180, (0, False): 720, (1, True): 20, (1, False): 80}
+
+
+# --- NULL classes are classes
+
+
+def with_null_label(spark):
+    rows = [(i, None if i % 10 == 0 else i % 2, float(i)) for i in range(100)]
+    return spark.createDataFrame(rows, "id long, y int, x double")
+
+
+def test_null_label_rows_are_split(spark):
+    out = sampling.stratified_split(with_null_label(spark), ["id"], "y", 0.2).collect()
+    assert len(out) == 100 and sum(r["is_test"] for r in out if r["y"] is None) == 2
+    folds = sampling.kfold(with_null_label(spark), 5, key=["id"], label="y").collect()
+    assert len(folds) == 100 and sorted(r["fold"] for r in folds if r["y"] is None) == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
+
+
+def test_null_label_rows_are_counted(spark):
+    df = with_null_label(spark)
+    hist = profile.histogram(df, "x", 5, by="y").collect()
+    assert sum(r["count"] for r in hist) == 100 and sum(r["count"] for r in hist if r["y"] is None) == 10
+    box = {r["y"]: r for r in profile.box_stats(df, "x", by="y").collect()}
+    assert box[None]["n"] == 10 and box[None]["median"] == 45.0 and box[None]["whisker_high"] == 90.0
+    assert encode.with_class_weight(df, "y").where("weight is null").count() == 0
+
+
+def test_quantiles_equal_pandas(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    a = np.where(rng.random(3000) < 0.4, 7.0, np.round(rng.normal(size=3000), 2))
+    b = np.where(rng.random(3000) < 0.1, np.nan, rng.normal(size=3000))
+    frame = pd.DataFrame({"a": a, "b": b, "none": [None] * 3000, "g": rng.integers(0, 3, 3000)}).astype({"none": "float64"})
+    df = spark.createDataFrame(frame)
+    found = {r["column"]: r for r in quantiles(value_table(df, ["a", "b", "none"]), [0, 0.25, 0.5, 0.9, 1]).collect()}
+    for c in ("a", "b"):
+        want = frame[c].quantile([0, 0.25, 0.5, 0.9, 1]).tolist()
+        assert all(math.isclose(found[c][f"q{i}"], w, abs_tol=1e-12) for i, w in enumerate(want))
+    assert found["none"]["count"] == 0 and found["none"]["q2"] is None
+    by = {r["g"]: r["q0"] for r in quantiles(value_table(df, ["a"], ["g"]), [0.5], ["g"]).collect()}
+    assert by == frame.groupby("g").a.median().to_dict()
+
+
+def test_quantiles_of_no_rows(spark):
+    empty = spark.createDataFrame([], "a double")
+    assert quantiles(value_table(empty, ["a"]), [0.5]).count() == 0
+    assert fill.fill_median_or_zero(empty, ["a"]).count() == 0
+
+
+def test_no_percentile_over_a_column():
+    import pathlib
+
+    for path in pathlib.Path(profile.__file__).parents[1].rglob("*.py"):
+        text = path.read_text()
+        assert "F.percentile(" not in text and "F.median(" not in text, path
+
+
+def test_profile_reads_do_not_grow_with_columns(spark):
+    path = scratch_path(spark, "profile")
+    spark.range(500).selectExpr(*[f"id * {i} % 97 AS c{i}" for i in range(12)]).write.parquet(path)
+    df = spark.read.parquet(path)
+    for columns in (["c1"], [f"c{i}" for i in range(12)]):
+        out = profile.profile_columns(df, columns, samples=3)
+        assert work(out)[0] <= 2 * 500  # the smallest values took three aggregates before
+        assert out.count() == len(columns)
+    assert len(str(profile.distinct_samples(df.selectExpr("cast(c1 as string) a", "cast(c2 as string) b"), n=5)._jdf.queryExecution().optimizedPlan())) < 3000
+
+
+# --- session hygiene
+
+
+def test_constraint_propagation_is_restored(spark):
+    conf = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(conf)
+    with wide_plans(spark):
+        assert spark.conf.get(conf) == "false"
+    assert spark.conf.get(conf) == before
+
+
+def test_scratch_is_removed_by_its_owner(spark, monkeypatch):
+    from stratus import session
+
+    monkeypatch.setattr(session, "_SCRATCH", [])
+    path = scratch_path(spark, "mine")
+    spark.range(3).write.parquet(path)
+    assert clear_scratch(spark) == 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

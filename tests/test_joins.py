@@ -1,27 +1,28 @@
-"""Lookup joins broadcast only below their row bound."""
+"""Lookup joins carry no hint and keep NULL keys."""
 
 from pyspark.sql import functions as F
 
-from stratus.operators.joins import join_small
+from stratus.operators.joins import join_lookup
 
 
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_small_lookup_is_broadcast(spark):
+def test_spark_chooses_the_join_by_size(spark):
     big = spark.range(1000).withColumn("k", F.col("id") % 3)
     small = spark.range(3).withColumnRenamed("id", "k").withColumn("w", F.col("k") * 2)
-    out = join_small(big, small, ["k"], max_rows=10)
-    assert out.count() == 1000 and "BroadcastHashJoin" in _plan(out)
-
-
-def test_large_lookup_is_not_hinted(spark):
+    assert "BroadcastHashJoin" in _plan(join_lookup(big, small, ["k"]))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        big = spark.range(1000).withColumn("k", F.col("id") % 50)
-        small = spark.range(50).withColumnRenamed("id", "k").withColumn("w", F.col("k") * 2)
-        out = join_small(big, small, ["k"], max_rows=10)
+        out = join_lookup(big, small, ["k"])
         assert out.count() == 1000 and "BroadcastHashJoin" not in _plan(out)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_null_keys_meet(spark):
+    rows = spark.createDataFrame([(1,), (None,), (3,)], "k int")
+    lookup = spark.createDataFrame([(1, "a"), (None, "b")], "k int, w string")
+    assert {(r.k, r.w) for r in join_lookup(rows, lookup, ["k"]).collect()} == {(1, "a"), (None, "b"), (3, None)}
+    assert {(r.k, r.w) for r in join_lookup(rows, lookup, ["k"], "inner").collect()} == {(1, "a"), (None, "b")}

@@ -3,7 +3,7 @@
 * no Cartesian product / nested-loop join anywhere (stats travel as scalar subqueries,
   lookups as equi-joins);
 * series windows are never partitioned by the station alone (hot stations would land
-  in one task): their partitioning includes a day bucket or a chunk id;
+  in one task): their partitioning includes a time bucket;
 * scans read only the needed columns.
 """
 
@@ -11,7 +11,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from stratus import bindings
 
 SF = "/root/testdata/sf0.001"
 SKIP = {
@@ -22,7 +22,8 @@ SKIP = {
     "feature_importance", "score_classifier", "score_regressor", "score_batch", "score_scenarios", "test_models",
     "save_model", "load_model", "save_metadata", "sink_training_report", "select_complete_columns",
 }
-NAMES = [n for n in E.queries() if n not in SKIP]
+bindings.load_all()
+NAMES = [n for n in bindings.QUERIES if n not in SKIP]
 
 
 def plan_text(df):
@@ -31,13 +32,13 @@ def plan_text(df):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_no_cartesian(spark, name):
-    text = plan_text(E.queries()[name](spark, SF))
+    text = plan_text(bindings.QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
 @pytest.mark.parametrize("name", ["lag_features", "rolling_mean", "rolling_std", "fill_interpolate", "fill_forward", "fill_backward"])
 def test_series_windows_are_split(spark, name):
-    text = plan_text(E.queries()[name](spark, SF))
+    text = plan_text(bindings.QUERIES[name](spark, SF))
     windows = re.findall(r"Window \[.*?\], \[([^\]]*)\], \[([^\]]*)\]", text)
     assert windows, text
     for part, order in windows:
@@ -47,6 +48,6 @@ def test_series_windows_are_split(spark, name):
 
 
 def test_scan_prunes_columns(spark):
-    text = plan_text(E.queries()["lag_features"](spark, SF))
+    text = plan_text(bindings.QUERIES["lag_features"](spark, SF))
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", text)
     assert schemas and all("props" not in s and "event_type" not in s for s in schemas)

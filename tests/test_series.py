@@ -1,4 +1,4 @@
-"""Chunked per-station windows equal the plain per-station window (brute force)."""
+"""Bucketed per-station windows equal the plain per-station window (brute force), whatever the bucket width."""
 
 import math
 
@@ -6,9 +6,12 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from stratus.operators import features as FE
 from stratus.operators import fill as FL
+from stratus.operators import sampling
 from stratus.operators import series as S
+from tests.work import work
 
 KEY = ["user_id"]
 ORDER = ["ts", "event_id"]
@@ -34,19 +37,23 @@ def compare(df_a, df_b, cols):
     assert not bad, bad[:5]
 
 
-@pytest.mark.parametrize("chunk", [5, 1000])
-def test_sequence_matches_row_number(events, chunk):
-    seqd = S.sequence(events, KEY, ORDER, bucket=S.time_bucket("ts", 3600))
+#: seconds of a bucket: most hold no or one row of a station, a few rows, many, all
+WIDTHS = [600, 7200, 86_400, S.DEFAULT_BUCKET_SECONDS]
+
+
+@pytest.mark.parametrize("width", WIDTHS)
+def test_sequence_matches_row_number(events, width):
+    seqd = S.sequence(events, KEY, ORDER, bucket=S.time_bucket("ts", width))
     ref = events.withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     got = {r["event_id"]: r[S.SEQ] for r in seqd.select("event_id", S.SEQ).collect()}
     exp = {r["event_id"]: r["rn"] for r in ref.select("event_id", "rn").collect()}
     assert got == exp
 
 
-@pytest.mark.parametrize("chunk", [13, 100000])
-def test_lag_rolling_match(events, chunk):
+@pytest.mark.parametrize("width", WIDTHS)
+def test_lag_rolling_match(events, width):
     df = gappy(events)
-    got = FE.lag_and_rolling(df, ["value"], [1, 3, 6], ["value"], [3, 6, 12], key=KEY, order=ORDER, chunk_rows=chunk)
+    got = FE.lag_and_rolling(df, ["value"], [1, 3, 6], ["value"], [3, 6, 12], key=KEY, order=ORDER, bucket=S.time_bucket("ts", width))
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     exp = df.withColumns(
         {
@@ -81,10 +88,10 @@ def brute_interpolate(values, limit):
     return out
 
 
-@pytest.mark.parametrize("chunk,limit", [(4, 3), (9, None), (100000, 3)])
-def test_interpolate_matches_brute(events, chunk, limit):
+@pytest.mark.parametrize("width,limit", [(600, 3), (7200, None), (86_400, 3), (S.DEFAULT_BUCKET_SECONDS, None)])
+def test_interpolate_matches_brute(events, width, limit):
     df = gappy(events)
-    got = FL.fill_interpolate(df, ["value"], key=KEY, order=ORDER, limit=limit, chunk_rows=chunk)
+    got = FL.fill_interpolate(df, ["value"], key=KEY, order=ORDER, limit=limit, bucket=S.time_bucket("ts", width))
     rows = df.orderBy("user_id", "ts", "event_id").collect()
     exp = {}
     by_user = {}
@@ -99,14 +106,14 @@ def test_interpolate_matches_brute(events, chunk, limit):
     assert not bad, bad[:5]
 
 
-@pytest.mark.parametrize("chunk", [3, 100000])
-def test_ffill_bfill_match(events, chunk):
+@pytest.mark.parametrize("width", WIDTHS)
+def test_ffill_bfill_match(events, width):
     df = gappy(events)
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    f = FL.fill_forward(df, ["value"], key=KEY, order=ORDER, limit=3, chunk_rows=chunk)
+    f = FL.fill_forward(df, ["value"], key=KEY, order=ORDER, limit=3, bucket=S.time_bucket("ts", width))
     fe = df.withColumn("value", F.last("value", True).over(w.rowsBetween(-3, 0)))
     compare(f, fe, ["value"])
-    b = FL.fill_backward(df, ["value"], key=KEY, order=ORDER, limit=3, chunk_rows=chunk)
+    b = FL.fill_backward(df, ["value"], key=KEY, order=ORDER, limit=3, bucket=S.time_bucket("ts", width))
     be = df.withColumn("value", F.first("value", True).over(w.rowsBetween(0, 3)))
     compare(b, be, ["value"])
 
@@ -116,7 +123,76 @@ def test_null_station_is_its_own_series(spark):
 
     rows = [(None if i % 2 else 1, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), i, float(i)) for i in range(10)]
     df = spark.createDataFrame(rows, "station_id long, ts timestamp_ntz, rid long, v double")
-    out = FE.lag_features(df, ["v"], [1], key=["station_id"], order=["ts"], chunk_rows=2)
+    out = FE.lag_features(df, ["v"], [1], key=["station_id"], order=["ts"], bucket=S.time_bucket("ts", 7200))
     got = {r["rid"]: r["v_lag_1h"] for r in out.collect()}
     # even rows belong to station 1, odd rows to the NULL station; each lags within its own series
     assert got == {0: None, 2: 0.0, 4: 2.0, 6: 4.0, 8: 6.0, 1: None, 3: 1.0, 5: 3.0, 7: 5.0, 9: 7.0}
+
+
+def hourly(spark, path, stations=3, hours=400):
+    import datetime as dt
+
+    rows = [(s, dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), s * 1000 + h, None if h % 5 == 0 else float(h * s), f"x{h}") for s in range(stations) for h in range(hours)]
+    spark.createDataFrame(rows, "station_id long, ts timestamp_ntz, rid long, v double, other string").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("rows", [1, 3, 24, 240])
+def test_hourly_lag_24_for_any_rows_per_bucket(spark, tmp_path, rows):
+    df = hourly(spark, f"file://{tmp_path}/hourly")
+    bucket = S.time_bucket("ts", 3600 * rows)
+    got = {r["rid"]: r for r in FE.lag_and_rolling(df, ["v"], [1, 24], ["v"], [24], bucket=bucket).collect()}
+    back = {r["rid"]: r["v"] for r in FL.fill_backward(df, ["v"], bucket=bucket, limit=3).collect()}
+    value = {r["rid"]: r["v"] for r in df.collect()}
+    assert set(got) == set(back) == set(value)
+    for rid, r in got.items():
+        start = rid // 1000 * 1000
+        assert r["v_lag_1h"] == value.get(rid - 1) and r["v_lag_24h"] == (value[rid - 24] if rid - 24 >= start else None)
+        seen = [value[k] for k in range(max(start, rid - 23), rid + 1) if value[k] is not None]
+        assert close(r["v_rolling_mean_24h"], sum(seen) / len(seen) if seen else None)
+        assert back[rid] == next((value[k] for k in range(rid, rid + 4) if value.get(k) is not None), None)
+
+
+def test_rows_without_a_time_come_last_in_an_order_of_their_own(spark):
+    import datetime as dt
+
+    rows = [(1, None if i >= 5 else dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), i) for i in range(60)]
+    df = spark.createDataFrame(rows, "station_id long, ts timestamp_ntz, rid long")
+    seq = {r["rid"]: r[S.SEQ] for r in S.sequence(df, ["station_id"], ["ts", "rid"]).collect()}
+    assert [seq[i] for i in range(5)] == [1, 2, 3, 4, 5] and sorted(seq.values()) == list(range(1, 61))
+
+
+OPERATORS = {
+    "lag": lambda df: FE.lag_features(df, ["v"], [1, 24]),
+    "rolling": lambda df: FE.rolling_features(df, ["v"], [12]),
+    "forward": lambda df: FL.fill_forward(df, ["v"]),
+    "backward": lambda df: FL.fill_backward(df, ["v"]),
+    "interpolate": lambda df: FL.fill_interpolate(df, ["v"]),
+    "sequence": lambda df: S.sequence(df, ["station_id"], ["ts"]),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_one_scan_and_one_shuffle_of_the_rows(spark, tmp_path, name):
+    df = hourly(spark, f"file://{tmp_path}/hourly", 10, 2000)
+    n = df.count()
+    for out in (OPERATORS[name](df), OPERATORS[name](df).drop("other", "station_id")):
+        read, shuffled = work(out)
+        assert read == n and shuffled <= 1.5 * n
+
+
+@pytest.mark.parametrize("name", ["lag_features", "rolling_mean", "rolling_std", "fill_forward", "fill_backward", "fill_interpolate", "kfold"])
+def test_queries_read_once(spark, name):
+    sf = "/root/testdata/sf0.1"
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    read, shuffled = work(E.queries()[name](spark, sf))
+    assert read == n and shuffled <= 1.5 * n
+
+
+def test_splits_read_the_rows_once(spark):
+    ev = spark.read.parquet("/root/testdata/sf0.1/events.parquet")
+    n = ev.count()
+    read, shuffled = work(sampling.random_split(ev, ["event_id"]))
+    assert read == n and shuffled <= 1.5 * n
+    read, shuffled = work(sampling.stratified_split(ev.withColumn("y", (F.col("value") > 60).cast("int")), ["event_id"], "y"))
+    assert read == n and shuffled <= 1.5 * n
