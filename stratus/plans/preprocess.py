@@ -18,13 +18,22 @@ from stratus.functions.roles import (
     resolve_time_columns,
 )
 from stratus.operators import clean, features, fill
-from stratus.operators import series as S
 from stratus.operators.stats import numeric_columns
-from stratus.session import tune_for_wide_plans
 from stratus.sources.files import sink_csv
-from stratus.sources.station_csv import scan_station_csv
+from stratus.sources.station_csv import STATION_PATTERN, scan_station_csv
 
 TS = "datetime"
+STATION = "station"
+
+
+def lag_candidates(columns: Sequence[str]) -> list[str]:
+    """Columns that lags may be made of, in column order."""
+    return columns_with_keywords(columns, LAG_KEYWORDS)
+
+
+def rolling_candidates(columns: Sequence[str]) -> list[str]:
+    """Columns that rolling stats may be made of, in column order."""
+    return columns_with_keywords(columns, ROLLING_KEYWORDS)
 
 
 def fit_transform(
@@ -37,18 +46,23 @@ def fit_transform(
     sigma: float = 10.0,
     sigma_exclude: Sequence[str] = (),
     interpolate_limit: int | None = 3,
-    chunk_rows: int = S.DEFAULT_CHUNK_ROWS,
+    lag_columns: Sequence[str] | None = None,
+    rolling_columns: Sequence[str] | None = None,
+    tie_break: Sequence[str] | None = None,
 ) -> DataFrame:
     """Raw station rows -> cleaned, filled, labelled and feature-enriched rows.
 
     Steps: numeric coercion (time texts kept) -> 10σ outliers -> timestamp -> per-station
     interpolation in time order -> rain label -> calendar and weather features ->
     optional lags / rolling stats -> rows with missing generated values dropped.
-    ``key`` names the station column(s); default ``source_file`` when present.
+    ``key`` names the station column(s); default ``station``, else ``source_file``, when present.
+    ``lag_columns`` default to the first three temperature / humidity / pressure measures and
+    ``rolling_columns`` to the first two (reference choice; :func:`lag_candidates` and
+    :func:`rolling_candidates` list them all).  Rows of one station and time are in the order of
+    ``tie_break`` (default: a hash of the whole row).
     """
-    tune_for_wide_plans(df.sparkSession)
     if key is None:
-        key = ["source_file"] if "source_file" in df.columns else []
+        key = next(([c] for c in (STATION, "source_file") if c in df.columns), [])
     key = list(key)
     times = resolve_time_columns(df.columns)
     keep_text = list(TIME_COLUMN_NAMES) + list(times.values()) + key
@@ -61,10 +75,11 @@ def fit_transform(
     skey = key or ["__series"]
     if not key:
         out = out.withColumn("__series", F.lit(0))
-    order = [TS, F.xxhash64(*[F.col(c) for c in df.columns])] if TS in out.columns else None
+    ties = list(tie_break) if tie_break is not None else [F.xxhash64(*[F.col(c) for c in df.columns])]
+    order = [TS, *ties] if TS in out.columns else None
     if order is None:
         raise ValueError("no date column found; cannot order the series")
-    out = fill.fill_interpolate(out, measures, key=skey, order=order, limit=interpolate_limit, chunk_rows=chunk_rows)
+    out = fill.fill_interpolate(out, measures, key=skey, order=order, limit=interpolate_limit)
     if create_target:
         rain = rain_column or next(iter(columns_with_keywords(out.columns, RAIN_KEYWORDS)), None)
         if rain is not None:
@@ -73,10 +88,10 @@ def fit_transform(
     out = features.weather_features(out, resolve_measure_columns(out.columns))
     generated: list[str] = []
     if create_lags or create_rolling:
-        lag_cols = columns_with_keywords(measures, LAG_KEYWORDS)[:3] if create_lags else []
-        roll_cols = columns_with_keywords(measures, ROLLING_KEYWORDS)[:2] if create_rolling else []
+        lag_cols = list(lag_columns if lag_columns is not None else lag_candidates(measures)[:3]) if create_lags else []
+        roll_cols = list(rolling_columns if rolling_columns is not None else rolling_candidates(measures)[:2]) if create_rolling else []
         before = set(out.columns)
-        out = features.lag_and_rolling(out, lag_cols, [1, 3, 6], roll_cols, [3, 6, 12], key=skey, order=order, chunk_rows=chunk_rows)
+        out = features.lag_and_rolling(out, lag_cols, [1, 3, 6], roll_cols, [3, 6, 12], key=skey, order=order)
         generated = [c for c in out.columns if c not in before]
         out = out.na.drop(how="any", subset=generated) if generated else out
     if not key:
@@ -90,10 +105,16 @@ def preprocess_file(
     save_path: str | None = None,
     create_lags: bool = False,
     create_rolling: bool = False,
+    station_pattern: str = STATION_PATTERN,
+    recursive: bool = False,
+    **options,
 ) -> DataFrame:
-    """Read station file(s), run :func:`fit_transform`, optionally write CSV."""
-    raw = scan_station_csv(spark, path)
-    out = fit_transform(raw, create_lags=create_lags, create_rolling=create_rolling)
+    """Read station file(s), run :func:`fit_transform`, optionally write CSV.
+
+    Files of one station (``station_pattern`` in the file name) make one series.
+    """
+    raw = scan_station_csv(spark, path, station_column=STATION, station_pattern=station_pattern, recursive=recursive)
+    out = fit_transform(raw, create_lags=create_lags, create_rolling=create_rolling, **options)
     if save_path:
         sink_csv(out, save_path)
     return out

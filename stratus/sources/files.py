@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from stratus.sources.station_csv import FILE_PATTERN, scan_station_csv
+
 # microsecond timestamps survive a CSV round trip (the default keeps milliseconds)
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
@@ -30,18 +31,22 @@ def scan_csv(
 
 def scan_glob_union(
     spark: SparkSession,
-    paths: Sequence[str],
-    reader=None,
+    paths: str | Sequence[str],
+    path_glob: str | None = FILE_PATTERN,
+    recursive: bool = True,
+    on_bad_file: str = "skip",
+    **options,
 ) -> DataFrame:
-    """Read each path with ``reader`` (default: station files) and stack them by column
-    name; columns missing from a file are NULL.  Paths are de-duplicated and sorted."""
-    from stratus.sources.station_csv import scan_station_csv
+    """All station files below the given folders or patterns, stacked by column name in one scan.
 
-    reader = reader or (lambda p: scan_station_csv(spark, p))
-    frames = [reader(p) for p in sorted(set(paths))]
-    if not frames:
+    ``path_glob`` matches file names in any case; paths are de-duplicated and sorted.  Columns that
+    a file lacks are NULL.  Files that cannot be read, or have no header, are left out
+    (``station_csv.station_files`` lists those without a header); it is an error if none is left.
+    """
+    paths = sorted({paths} if isinstance(paths, str) else set(paths))
+    if not paths:
         raise ValueError("no input files")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return scan_station_csv(spark, paths, path_glob=path_glob, recursive=recursive, on_bad_file=on_bad_file, **options)
 
 
 def sink_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",") -> str:

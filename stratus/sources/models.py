@@ -9,14 +9,16 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-BUNDLE_VERSION = "1.0"
+BUNDLE_VERSION = "1.1"
+#: in a split's bounds: the bound of rows of any label
+ANY_LABEL = "*"
 
 
 @dataclass
 class ModelBundle:
-    """Everything scoring needs: both models, feature order, medians and encoders."""
+    """Everything scoring needs: both models, feature order, medians and encoders; and how the rows
+    were split (``key``, ``seed``, ``fraction``, ``label`` and the largest test hash per label)."""
 
     features: list[str]
     medians: dict[str, float]
@@ -25,6 +27,7 @@ class ModelBundle:
     classifier: PipelineModel | None = None
     regressor: PipelineModel | None = None
     metrics: dict = field(default_factory=dict)
+    split: dict = field(default_factory=dict)
     created_at: str = field(default_factory=lambda: _dt.datetime.now().isoformat())
 
     def metadata(self) -> dict:
@@ -36,6 +39,7 @@ class ModelBundle:
             "n_features": len(self.features),
             "label_encoders_cols": self.encoded_columns,
             "metrics": self.metrics,
+            "split": self.split,
         }
 
 
@@ -68,8 +72,8 @@ def load_bundle(spark: SparkSession, path: str) -> ModelBundle:
         raise FileNotFoundError(f"no model metadata under {path}")
     meta = json.loads(meta_rows[0][0])
     encoder = spark.read.parquet(os.path.join(path, "encoders"))
-    clf = _load_optional(os.path.join(path, "classifier"))
-    reg = _load_optional(os.path.join(path, "regressor"))
+    clf = _load_if_there(spark, os.path.join(path, "classifier"))
+    reg = _load_if_there(spark, os.path.join(path, "regressor"))
     if clf is None and reg is None:
         raise FileNotFoundError(f"no model under {path}")
     return ModelBundle(
@@ -80,21 +84,25 @@ def load_bundle(spark: SparkSession, path: str) -> ModelBundle:
         classifier=clf,
         regressor=reg,
         metrics=meta.get("metrics") or {},
+        split=meta.get("split") or {},
         created_at=meta.get("created_at", ""),
     )
 
 
-def _load_optional(path: str) -> PipelineModel | None:
-    try:
-        return PipelineModel.load(path)
-    except Exception:  # noqa: BLE001 - absent model folder
-        return None
+def _load_if_there(spark: SparkSession, path: str) -> PipelineModel | None:
+    """The model under ``path``, None where there is no such folder; a broken model is an error."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    return PipelineModel.load(path) if there else None
 
 
 def metadata_frame(spark: SparkSession, bundle: ModelBundle) -> DataFrame:
-    """Metadata as a one-row DataFrame (scalar metrics only)."""
+    """Metadata as a one-row DataFrame: names, medians, split and the scalar metrics of both models."""
     m = bundle.metadata()
+    scalars = [{k: float(v) for k, v in (m["metrics"].get(model) or {}).items() if v is not None} for model in ("classification", "regression")]
+    row = (m["version"], m["created_at"], m["feature_names"], m["n_features"], m["label_encoders_cols"], json.dumps(m["feature_medians"]), json.dumps(m["split"]))
     return spark.createDataFrame(
-        [(m["version"], m["created_at"], m["feature_names"], m["n_features"], m["label_encoders_cols"])],
-        "version string, created_at string, feature_names array<string>, n_features int, label_encoders_cols array<string>",
-    ).withColumn("feature_medians", F.lit(json.dumps(m["feature_medians"])))
+        [(*row, *scalars)],
+        "version string, created_at string, feature_names array<string>, n_features int, label_encoders_cols array<string>, "
+        "feature_medians string, split string, classification_metrics map<string,double>, regression_metrics map<string,double>",
+    )

@@ -1,29 +1,73 @@
 """Station files: Latin-1, ``;``-separated, a metadata preamble, then a header line.
 
-All files are read in one ``spark.read.csv`` (every column as string, positional names
-``_c0.._cN``).  Per file, the header is the row holding both ``Data`` and ``Hora``; data
-rows are the rows whose first field is a ``yyyy/MM/dd`` or ``yyyy-MM-dd`` date, so the
-result does not depend on line order or on how files are split into tasks.  Files may
-order their columns differently: the per-file header table (one row per file) is
-joined back by ``_metadata.file_path`` and each named column is picked from whichever
-position holds it in that file — an ``unionByName`` of all files in one projection.
+All files are read as lines in one scan, whatever their number, and split without a limit of
+fields.  The header of a file is its first line that holds both ``Data`` and ``Hora``; every line
+after it is a row.  A line's place is the start of its file block and its number within the task,
+so large files stay splittable.  Files may order their columns differently: the table of headers
+(one row per file, written once) gives each named column's position, and the rows of all files
+are picked by name in one projection.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from stratus.operators.joins import join_small
+from stratus.session import shared_table
 
-# How station files mark their header and dates.
+# How station files mark their header, and the station code in their names.
 HEADER_MARKERS = ("Data", "Hora")
-DATE_PATTERN = r"^\d{4}[/-]\d{2}[/-]\d{2}$"
 ENCODING = "ISO-8859-1"
-MAX_FIELDS = 40
+FILE_PATTERN = "*inmet*.csv"
+STATION_PATTERN = r"_([A-Za-z]\d{3})_[^/]*$"
+
+
+def any_case(pattern: str) -> str:
+    """A file-name pattern that matches letters in either case."""
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in pattern)
+
+
+def _lines(spark: SparkSession, paths: Sequence[str], encoding: str, path_glob: str | None, recursive: bool, skip: bool) -> DataFrame:
+    """``(file, at, line)`` of every line that is not blank; ``at`` grows along a file."""
+    # one field per line: a separator and quotes that no text file holds
+    reader = spark.read.schema("line string").option("sep", "\x01").option("quote", "\x00").option("escape", "\x00")
+    reader = reader.option("encoding", encoding).option("header", "false").option("mode", "PERMISSIVE").option("ignoreCorruptFiles", str(skip).lower())
+    if path_glob:
+        reader = reader.option("pathGlobFilter", any_case(path_glob))
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true")
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    return reader.csv(list(paths)).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), F.regexp_replace("line", "\r$", "").alias("line"))
+
+
+def _names(fields: Column) -> Column:
+    """Header texts: trimmed, a repeated name numbered, an unnamed one ``Unnamed: i``, and the one
+    after a trailing separator left out (NULL)."""
+    trimmed = F.transform(fields, lambda x: F.trim(x))
+
+    def name(x: Column, i: Column) -> Column:
+        before = F.size(F.filter(F.slice(trimmed, F.lit(1), i), lambda y: y == x))
+        unnamed = F.when(i < F.size(trimmed) - 1, F.concat(F.lit("Unnamed: "), i.cast("string")))
+        return F.when(x == "", unnamed).when(before > 0, F.concat(x, F.lit("."), before.cast("string"))).otherwise(x)
+
+    return F.transform(trimmed, name)
+
+
+def station_files(
+    spark: SparkSession, paths: str | Sequence[str], sep: str = ";", encoding: str = ENCODING, path_glob: str | None = None, recursive: bool = False, skip_unreadable: bool = False
+) -> DataFrame:
+    """``(file, n_lines, header_at, names)`` per file that has lines; NULL ``header_at`` and ``names``
+    where no line is a header.  Written to the shared folder (one scan)."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    lines = _lines(spark, paths, encoding, path_glob, recursive, skip_unreadable)
+    is_header = F.col("line").contains(HEADER_MARKERS[0]) & F.col("line").contains(HEADER_MARKERS[1])
+    first = F.min(F.when(is_header, F.struct("at", "line"))).alias("first")
+    found = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n_lines"), first)
+    names = F.when(F.col("first").isNotNull(), _names(F.split("first.line", re.escape(sep))))
+    return shared_table(found.select("file", "n_lines", F.col("first.at").alias("header_at"), names.alias("names")), "station-files")
 
 
 def scan_station_csv(
@@ -31,43 +75,44 @@ def scan_station_csv(
     paths: str | Sequence[str],
     sep: str = ";",
     encoding: str = ENCODING,
-    max_fields: int = MAX_FIELDS,
     path_glob: str | None = None,
     recursive: bool = False,
     file_column: str | None = "source_file",
+    station_column: str | None = None,
+    station_pattern: str = STATION_PATTERN,
+    on_bad_file: str = "raise",
 ) -> DataFrame:
     """Read station files; every measure stays a string until ``to_numeric``.
 
-    Raises ``ValueError`` when no file has a header line.  A trailing ``;`` produces an
-    unnamed empty column, which is dropped.
+    Every line after a file's header is a row, as it stands; a line with fewer fields has NULLs.
+    ``path_glob`` matches file names in any case.  ``station_column`` takes the station from the
+    file name by ``station_pattern`` (else the file), so that several files make one series.
+
+    A file without a header raises ``ValueError`` that names it, and an unreadable file fails the scan;
+    ``on_bad_file="skip"`` leaves such files out, and :func:`station_files` lists those without a header.  It is an error if no file has a header.
     """
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(max_fields)])
-    reader = spark.read.schema(schema).option("sep", sep).option("encoding", encoding).option("header", "false").option("mode", "PERMISSIVE")
-    if path_glob:
-        reader = reader.option("pathGlobFilter", path_glob)
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    raw = reader.csv(list(paths) if not isinstance(paths, str) else paths).select("*", F.col("_metadata.file_path").alias("__file"))
-    fields = [f"_c{i}" for i in range(max_fields)]
-    joined_line = F.concat_ws(sep, *[F.col(c) for c in fields])
-    is_header = joined_line.contains(HEADER_MARKERS[0]) & joined_line.contains(HEADER_MARKERS[1]) & ~F.col("_c0").rlike(DATE_PATTERN)
-    # first header line per file (one row per file)
-    headers = raw.where(is_header).groupBy("__file").agg(F.min(F.struct(*[F.col(c).alias(f"h{i}") for i, c in enumerate(fields)])).alias("__h"))
-    headers = headers.select("__file", *[F.trim(F.col(f"__h.h{i}")).alias(f"__h{i}") for i in range(max_fields)])
-    # distinct header names with their earliest position (bounded by the number of names)
-    named = headers.select(F.posexplode(F.array(*[F.col(f"__h{i}") for i in range(max_fields)])).alias("pos", "name"))
-    found = named.where(F.col("name").isNotNull() & (F.col("name") != "")).groupBy("name").agg(F.min("pos").alias("pos")).collect()
+    if on_bad_file not in ("raise", "skip"):
+        raise ValueError("on_bad_file is 'raise' or 'skip'")
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    skip = on_bad_file == "skip"
+    files = station_files(spark, paths, sep, encoding, path_glob, recursive, skip)
+    bad = [r[0] for r in files.where("header_at is null").select("file").orderBy("file").limit(5).collect()]
+    if bad and not skip:
+        raise ValueError(f"no header line containing 'Data' and 'Hora' in {', '.join(bad)}")
+    headers = files.where("header_at is not null")
+    # the vocabulary of headers, in the order of their earliest position
+    found = headers.select(F.posexplode("names").alias("pos", "name")).where("name is not null").groupBy("name").agg(F.min("pos").alias("pos")).collect()
     names = [r["name"] for r in sorted(found, key=lambda r: (r["pos"], r["name"]))]
     if not names:
         raise ValueError("no header line containing 'Data' and 'Hora' found")
-    data = raw.where(F.trim(F.col("_c0")).rlike(DATE_PATTERN))
-    rows = join_small(data, headers, on=["__file"], how="inner")
-    cols = []
-    for name in names:
-        pick = F.lit(None).cast("string")
-        for i in reversed(range(max_fields)):
-            pick = F.when(F.col(f"__h{i}") == F.lit(name), F.col(f"_c{i}")).otherwise(pick)
-        cols.append(F.trim(pick).alias(name))
-    out = rows.select(*cols, *([F.col("__file").alias(file_column)] if file_column else []))
-    return out
-
+    at = F.array(*[F.array_position("names", n) for n in names])  # 0: not in this file
+    placed = headers.select(F.col("file").alias("__file"), "header_at", at.alias("__at"))
+    rows = _lines(spark, paths, encoding, path_glob, recursive, skip).join(placed, F.col("file") == F.col("__file")).where(F.col("at") > F.col("header_at"))
+    rows = rows.select("file", "__at", F.split("line", re.escape(sep)).alias("__fields"))
+    cols = [F.trim(F.get("__fields", (F.get("__at", F.lit(i)) - 1).cast("int"))).alias(n) for i, n in enumerate(names)]
+    # pandas reads an empty field as missing
+    cols = [F.when(c != "", c).alias(n) for c, n in zip(cols, names, strict=True)]
+    if station_column:
+        code = F.regexp_extract("file", station_pattern, 1)
+        cols.append(F.when(code != "", F.upper(code)).otherwise(F.col("file")).alias(station_column))
+    return rows.select(*cols, *([F.col("file").alias(file_column)] if file_column else []))

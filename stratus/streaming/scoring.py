@@ -9,6 +9,7 @@ executor-lost query resumes without rescoring or skipping files.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import SparkSession
@@ -34,7 +35,9 @@ def score_files_stream(
     """Start a query that scores every new file in ``source_dir`` into ``sink_dir``."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).format(fmt).load(source_dir)
     scored = score_batch(bundle, stream)
-    location = checkpoint_location or os.path.join(checkpoint_dir(spark), "stratus-score-stream", os.path.basename(sink_dir.rstrip("/")))
+    # named after the whole path: two sinks of one name keep their progress apart
+    name = hashlib.sha256(sink_dir.rstrip("/").encode()).hexdigest()[:24]
+    location = checkpoint_location or os.path.join(checkpoint_dir(spark), "stratus-score-stream", name)
     writer = scored.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", location).outputMode("append")
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()

@@ -66,3 +66,39 @@ def test_unknown_category_scores(spark, bundle, data):
     b, _ = bundle
     odd = data.withColumn("event_type", F.lit("never-seen"))
     assert scoring.score_batch(b, odd).where(F.col("previsao_chuva").isNull()).count() == 0
+
+
+def test_medians_come_from_training_rows(data):
+    odd = data.withColumn("signal", F.when(F.col("event_id") % 3 == 0, None).otherwise(F.col("signal")))
+    fair = training.prepare_training(odd, "Chuva", "rain_mm", key=["event_id"])
+    legacy = training.prepare_training(odd, "Chuva", "rain_mm", key=["event_id"], legacy=True)
+    train = fair.data.where("not is_test").join(odd.select("event_id", F.col("signal").alias("own")), "event_id").where("own is not null")
+    everything = odd.where("signal is not null")
+    for rows, column, prep in ((train, "own", fair), (everything, "signal", legacy)):
+        assert math.isclose(rows.agg(F.expr(f"percentile({column}, 0.5)")).first()[0], prep.medians["signal"])
+    assert fair.medians["signal"] != legacy.medians["signal"]
+
+
+def test_held_out_rows_are_those_of_the_split(spark, bundle, data):
+    b, report = bundle
+    held = {r["event_id"] for r in scoring.held_out_rows(b, data).collect()}
+    prep = training.prepare_training(data, "Chuva", "rain_mm", key=["event_id"])
+    assert held == {r["event_id"] for r in prep.data.where("is_test").collect()} and 0 < len(held) < data.count() / 4
+    path = scratch_path(spark, "split-bundle")
+    persist.save_bundle(b, path)
+    assert persist.load_bundle(spark, path).split == b.split
+    scored, out = scoring.test_models(b, data, "Chuva", "rain_mm")
+    assert {r["event_id"] for r in scored.collect()} == held
+    found = {r["metric"]: r["value"] for r in report.collect() if r["model"] == "classification"}
+    assert math.isclose(out["classification"].first()["accuracy"], found["accuracy"])
+
+
+def test_threshold_in_scoring(bundle, data):
+    b, _ = bundle
+    rows = scoring.score_batch(b, data, threshold=0.2).collect()
+    assert all(r["vai_chover"] == int(r["prob_chuva"] >= 0.2) for r in rows)
+
+
+def test_metadata_holds_the_scalar_metrics(spark, bundle):
+    row = persist.metadata_frame(spark, bundle[0]).first()
+    assert 0 <= row["classification_metrics"]["accuracy"] <= 1 and row["regression_metrics"]["rmse"] >= 0
