@@ -3,7 +3,8 @@
 Station files are derived from ``events`` (station = ``user_id % 3``): Latin-1 text, a
 three-line preamble, a ``Data``/``Hora`` header with accented measure names and a
 trailing ``;``, decimal commas, ``'HHmm UTC'`` hours, one junk line per file, an empty
-temperature cell every 20 rows; file 1 swaps two columns and file 2 has no humidity.
+temperature cell every 20 rows; layout 1 swaps two columns, layout 2 has no humidity, and one
+file has no header.
 """
 
 from __future__ import annotations
@@ -38,8 +39,13 @@ def _comma(c):
     return F.regexp_replace(c.cast("string"), r"\.", ",")
 
 
-def write_station_files(spark: SparkSession, sf: str) -> str:
-    """Write one station file per ``user_id % 3`` under a fresh shared folder."""
+def write_station_files(spark: SparkSession, sf: str, junk: bool = True) -> str:
+    """Station files (``user_id % 3`` gives the layout) under a fresh shared folder.
+
+    Every partition of ``events`` is written as files of its own, each with the preamble and the
+    header of its layout, so the writing is spread.  With ``junk`` each file ends with a line that
+    is no observation, and one more file has no header at all.
+    """
     path = scratch_path(spark, "stations")
     ev = table(spark, sf, "events")
     values = {
@@ -47,31 +53,25 @@ def write_station_files(spark: SparkSession, sf: str) -> str:
         H_TEMP: F.when(F.col("event_id") % 20 == 0, F.lit("")).otherwise(_comma(F.expr("15 + value / 20"))),
         H_HUM: _comma(F.expr("CAST(40 + (event_id * 13) % 60 AS DOUBLE)")),
     }
-    file_id = (F.col("user_id") % 3).cast("int")
-    parts = []
-    for f, layout in FILE_LAYOUT.items():
+    part, layout = F.spark_partition_id(), (F.col("user_id") % 3).cast("int")
+    heads, lines = [], []
+    for f, columns in FILE_LAYOUT.items():
         fields = [F.date_format("ts", "yyyy/MM/dd"), F.concat(F.date_format("ts", "HHmm"), F.lit(" UTC")), F.col("event_id").cast("string")]
-        fields += [values[h] for h in layout]
-        line = F.concat(F.concat_ws(";", *fields), F.lit(";"))
-        parts.append(ev.where(file_id == f).select(F.lit(f).alias("file"), F.lit(100).alias("line_no"), line.alias("line")))
-        head = [p.format(f=f"STATION {f}") for p in PREAMBLE] + [";".join([H_DATE, H_HOUR, H_ID, *layout]) + ";", "fim do arquivo;;;x"]
-        meta = spark.createDataFrame([(f, i if i < 4 else 1000, t) for i, t in enumerate(head)], "file int, line_no int, line string")
-        parts.append(meta)
-    lines = parts[0]
-    for p in parts[1:]:
-        lines = lines.unionByName(p)
-    (
-        lines.repartition("file")
-        .sortWithinPartitions("file", "line_no")
-        .select("file", "line")
-        .write.mode("overwrite")
-        .partitionBy("file")
-        .option("sep", "\t")
-        .option("quote", "")
-        .option("escape", "")
-        .option("encoding", "ISO-8859-1")
-        .csv(path)
-    )
+        lines.append(F.when(layout == f, F.concat(F.concat_ws(";", *fields, *[values[h] for h in columns]), F.lit(";"))))
+        head = [*[p.format(f=f"STATION {f}") for p in PREAMBLE], ";".join([H_DATE, H_HOUR, H_ID, *columns]) + ";"]
+        heads.append(F.when(F.col("layout") == f, F.array(*map(F.lit, head))))
+    rows = ev.select(part.alias("part"), layout.alias("layout"), F.lit(100).alias("no"), F.coalesce(*lines).alias("line"))
+    each = rows.select("part", "layout").distinct()
+    extra = [each.select("part", "layout", F.posexplode(F.coalesce(*heads)).alias("no", "line"))]
+    if junk:
+        extra.append(each.select("part", "layout", F.lit(200).alias("no"), F.lit("fim do arquivo;;;x").alias("line")))
+        extra.append(spark.range(1).select(F.lit(-1).alias("part"), F.lit(9).alias("layout"), F.lit(0).alias("no"), F.lit("2024/01/01;0000 UTC;-1;1;2;3;").alias("line")))
+    for e in extra:
+        rows = rows.unionByName(e)
+    # one file per (part, layout): the header first, the junk last
+    ordered = rows.repartition("part", "layout").sortWithinPartitions("layout", "part", "no")
+    writer = ordered.select("layout", "part", "line").write.partitionBy("layout", "part").option("sep", "\x01").option("quote", "").option("escape", "")
+    writer.option("encoding", "ISO-8859-1").csv(path)
     return path
 
 
@@ -81,12 +81,12 @@ def _engine_view(raw: DataFrame) -> DataFrame:
     roles = resolve_measure_columns(raw.columns)
     num = clean.to_numeric(raw, exclude=[times["data"], times["hora"], "source_file"])
     cols = [
-        F.col(H_ID).cast("long").alias("event_id"),
+        F.col(H_ID).cast("long").alias("event_id"),  # the junk line has none
         build_timestamp(F.col(times["data"]), F.col(times["hora"])).alias("datetime"),
     ]
     for role in ("rain_mm", "temp", "humidity"):
         cols.append((F.col(roles[role]) if role in roles else F.lit(None).cast("double")).alias(role))
-    return num.select(*cols)
+    return num.select(*cols).where("event_id is not null")
 
 
 STATION_SQL = f"""SELECT event_id, date_trunc('minute', ts) AS datetime,
@@ -98,18 +98,16 @@ FROM events"""
 
 @query("scan_station_csv", STATION_SQL)
 def q_scan_station_csv(spark, sf):
-    """Write three station files, read them back in one scan (per-file headers merged)."""
+    """Station files of three layouts, read back in one scan (per-file headers merged)."""
     path = write_station_files(spark, sf)
-    return _engine_view(scan_station_csv(spark, path, recursive=True))
+    return _engine_view(scan_station_csv(spark, path, recursive=True, on_bad_file="skip"))
 
 
 @query("scan_glob_union", STATION_SQL)
 def q_scan_glob_union(spark, sf):
-    """Read each station file separately and stack them by column name."""
+    """Every station file below the folder, the one without a header left out, stacked by column name."""
     path = write_station_files(spark, sf)
-    dirs = [os.path.join(path, f"file={f}") for f in FILE_LAYOUT]
-    raw = files.scan_glob_union(spark, dirs, reader=lambda p: scan_station_csv(spark, p, recursive=True))
-    return _engine_view(raw)
+    return _engine_view(files.scan_glob_union(spark, path, path_glob="PART-*.CSV"))
 
 
 @query(
@@ -118,7 +116,7 @@ def q_scan_glob_union(spark, sf):
 )
 def q_resolve_time_columns(spark, sf):
     """Date / hour columns found by keyword in the scanned headers, with the rows read."""
-    raw = scan_station_csv(spark, write_station_files(spark, sf), recursive=True)
+    raw = scan_station_csv(spark, write_station_files(spark, sf, junk=False), recursive=True)
     found = resolve_time_columns(raw.columns)
     n = raw.agg(F.count(F.lit(1)).alias("n_rows"))
     return n.select(F.inline(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(c).alias("column")) for r, c in found.items()])), F.col("n_rows").cast("long"))
@@ -133,36 +131,94 @@ def q_resolve_time_columns(spark, sf):
 )
 def q_resolve_measure_columns(spark, sf):
     """Measure roles found by accent-insensitive keywords in the scanned headers."""
-    raw = scan_station_csv(spark, write_station_files(spark, sf), recursive=True)
+    raw = scan_station_csv(spark, write_station_files(spark, sf, junk=False), recursive=True)
     found = resolve_measure_columns(raw.columns)
     n = raw.agg(F.count(F.lit(1)).alias("n_rows"))
     return n.select(F.inline(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(c).alias("column")) for r, c in found.items()])), F.col("n_rows").cast("long"))
 
 
-@query("fit_transform")
+STATION_PATTERN = r"layout=(\d+)"
+FEATURE_LAGS, FEATURE_WINDOWS = [1, 3, 6], [3, 6, 12]
+
+
+def _processed_sql():
+    """The processed table of the station files: station = ``user_id % 3``, whole minutes, order (time, ID).
+
+    Humidity is missing at station 2, so all its rows lack lags and go; no value lies 10 sigma out."""
+    measures = {H_ID: "id", H_RAIN: "rain", H_TEMP: "temp", H_HUM: "hum"}
+    base = """SELECT CAST(event_id AS DOUBLE) AS id, user_id % 3 AS st, date_trunc('minute', ts) AS dt,
+       CASE WHEN value > 60 THEN (value - 60) / 10 ELSE 0.0 END AS rain, CASE WHEN event_id % 20 = 0 THEN NULL ELSE 15 + value / 20 END AS temp0,
+       CASE WHEN user_id % 3 = 2 THEN NULL ELSE CAST(40 + (event_id * 13) % 60 AS DOUBLE) END AS hum FROM events"""
+    numbered = f"SELECT *, row_number() OVER (PARTITION BY st ORDER BY dt, id) AS rn FROM ({base}) b"
+    near = """SELECT *, last_value(CASE WHEN temp0 IS NOT NULL THEN rn END IGNORE NULLS) OVER back AS pr, last_value(temp0 IGNORE NULLS) OVER back AS pv,
+       first_value(CASE WHEN temp0 IS NOT NULL THEN rn END IGNORE NULLS) OVER ahead AS nr, first_value(temp0 IGNORE NULLS) OVER ahead AS nv
+       FROM numbered WINDOW back AS (PARTITION BY st ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+       ahead AS (PARTITION BY st ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"""
+    filled = """SELECT * EXCLUDE (temp0), CASE WHEN temp0 IS NOT NULL THEN temp0
+       WHEN pr IS NOT NULL AND nr IS NOT NULL AND (rn - pr <= 3 OR nr - rn <= 3) THEN pv + (nv - pv) * (rn - pr) / (nr - pr)
+       WHEN nr IS NULL AND rn - pr <= 3 THEN pv WHEN pr IS NULL AND nr - rn <= 3 THEN nv END AS temp FROM near"""
+    made = {}
+    for h, c in ((H_TEMP, "temp"), (H_HUM, "hum")):
+        made |= {f"{h}_lag_{n}h": f"lag({c}, {n}) OVER (PARTITION BY st ORDER BY rn)" for n in FEATURE_LAGS}
+        for n in FEATURE_WINDOWS:
+            frame = f"OVER (PARTITION BY st ORDER BY rn ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+            made |= {f"{h}_rolling_mean_{n}h": f"avg({c}) {frame}", f"{h}_rolling_std_{n}h": f"stddev_samp({c}) {frame}"}
+    windowed = "SELECT *, " + ", ".join(f"{e} AS w{i}" for i, e in enumerate(made.values())) + " FROM filled"
+    season = "CASE WHEN month(dt) IN (12, 1, 2) THEN 'verao' WHEN month(dt) IN (3, 4, 5) THEN 'outono' WHEN month(dt) IN (6, 7, 8) THEN 'inverno' ELSE 'primavera' END"
+    period = "CASE WHEN hour(dt) >= 6 AND hour(dt) < 12 THEN 'manha' WHEN hour(dt) >= 12 AND hour(dt) < 18 THEN 'tarde' WHEN hour(dt) >= 18 THEN 'noite' ELSE 'madrugada' END"
+    out = {
+        "Data": "strftime(dt, '%Y/%m/%d')", "Hora UTC": "strftime(dt, '%H%M UTC')", "station": "CAST(st AS VARCHAR)", "datetime": "dt",
+        **{h: R(c) for h, c in measures.items()}, "Chuva": "CAST(CASE WHEN rain > 0 THEN 1 ELSE 0 END AS BIGINT)",
+        **{n: f"CAST({e} AS BIGINT)" for n, e in [("ano", "year(dt)"), ("mes", "month(dt)"), ("dia", "day(dt)"), ("hora", "hour(dt)"), ("dia_semana", "isodow(dt) - 1"),
+            ("dia_ano", "dayofyear(dt)"), ("semana_ano", "week(dt)"), ("fim_semana", "CASE WHEN isodow(dt) >= 6 THEN 1 ELSE 0 END")]},
+        **{f"hora_{f}": R(f"{f}(2 * pi() * hour(dt) / 24)") for f in ("sin", "cos")}, **{f"mes_{f}": R(f"{f}(2 * pi() * month(dt) / 12)") for f in ("sin", "cos")},
+        "estacao": season, "periodo_dia": period, "indice_desconforto": R("temp - 0.55 * (1.0 - 0.01 * hum) * (temp - 14.5)"), **{n: R(f"w{i}") for i, n in enumerate(made)},
+    }
+    present = " AND ".join(f"w{i} IS NOT NULL" for i in range(len(made)))
+    cols = ", ".join(f'{e} AS "{n}"' for n, e in out.items())
+    return f"WITH numbered AS ({numbered}), near AS ({near}), filled AS ({filled}), windowed AS ({windowed}) SELECT {cols} FROM windowed WHERE {present}"
+
+
+PROCESSED_SQL = _processed_sql()
+
+
+def _processed(spark, sf):
+    return preprocess.preprocess_file(
+        spark, write_station_files(spark, sf, junk=False), create_lags=True, create_rolling=True, station_pattern=STATION_PATTERN, recursive=True, tie_break=[H_ID]
+    ).drop("source_file")
+
+
+@query("fit_transform", PROCESSED_SQL)
 def q_fit_transform(spark, sf):
     """Station files -> cleaned, interpolated, labelled, feature-enriched rows with lags and rolling stats."""
-    raw = scan_station_csv(spark, write_station_files(spark, sf), recursive=True)
-    return preprocess.fit_transform(raw, create_lags=True, create_rolling=True)
+    raw = scan_station_csv(spark, write_station_files(spark, sf, junk=False), recursive=True, station_column="station", station_pattern=STATION_PATTERN)
+    return preprocess.fit_transform(raw, create_lags=True, create_rolling=True, tie_break=[H_ID]).drop("source_file")
 
 
-@query("preprocess_file")
+@query("preprocess_file", PROCESSED_SQL)
 def q_preprocess_file(spark, sf):
-    """Read, preprocess and write the processed table as CSV; returns the processed rows."""
+    """Read, preprocess and write the processed table as CSV; returns the processed rows read back."""
     out_path = scratch_path(spark, "processed")
-    df = preprocess.preprocess_file(spark, write_station_files(spark, sf), save_path=None)
+    df = _processed(spark, sf)
     files.sink_csv(df, out_path)
     return files.scan_csv(spark, out_path, schema=df.schema)
 
 
-@query("feature_diff")
+ADDED = [
+    "datetime", "Chuva", "ano", "mes", "dia", "hora", "dia_semana", "dia_ano", "semana_ano", "hora_sin", "hora_cos", "mes_sin", "mes_cos", "estacao", "periodo_dia", "fim_semana",
+    "indice_desconforto", *[f"{h}_lag_{n}h" for h in (H_TEMP, H_HUM) for n in FEATURE_LAGS],
+    *[f"{h}_rolling_{k}_{n}h" for h in (H_TEMP, H_HUM) for n in FEATURE_WINDOWS for k in ("mean", "std")],
+]
+
+
+@query("feature_diff", f"SELECT feature, CAST(n AS BIGINT) AS n_rows FROM (SELECT count(*) AS n FROM ({PROCESSED_SQL}) p) c, (VALUES " + ", ".join(f"('{c}')" for c in ADDED) + ") v(feature)")
 def q_feature_diff(spark, sf):
-    """Columns the preprocessing adds to the raw station columns."""
-    raw = scan_station_csv(spark, write_station_files(spark, sf), recursive=True)
-    out = preprocess.fit_transform(raw, create_lags=True, create_rolling=True)
+    """Columns the preprocessing adds to the raw station columns, with the rows that have them."""
+    raw = scan_station_csv(spark, write_station_files(spark, sf, junk=False), recursive=True, station_column="station", station_pattern=STATION_PATTERN)
+    out = preprocess.fit_transform(raw, create_lags=True, create_rolling=True, tie_break=[H_ID])
     added = feature_diff(raw.columns, out.columns)
     n = out.agg(F.count(F.lit(1)).alias("n_rows"))
-    return n.select(F.posexplode(F.array(*[F.lit(c) for c in added])).alias("pos", "feature"), "n_rows")
+    return n.select(F.explode(F.array(*[F.lit(c) for c in added])).alias("feature"), "n_rows")
 
 
 OBS_SCHEMA = (

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from stratus.bindings import R, query
 from stratus.bindings.fixtures import obs, scores, scores_sql, table
+from stratus.bindings.fixtures import obs_sql as _obs_sql
 from stratus.bindings.profiling import labelled, labelled_sql
 from stratus.bindings.temporal import SCENARIO_YEAR, scenarios
 from stratus.operators import encode, features, metrics, models, profile, sampling
 from stratus.plans import scoring, training
-from stratus.session import scratch_path
+from stratus.session import reliable_checkpoint, scratch_path
 from stratus.sources import models as persist
 
 PERIOD_SQL = (
@@ -161,10 +162,12 @@ def q_actual_vs_predicted(spark, sf):
     return metrics.actual_vs_predicted(scores(spark, sf), "amount", "amount_pred")
 
 
-# --- forests (checked by row counts and property tests) --------------------------------
+# --- forests: their values have no SQL form; what must hold of them row by row has ---------
 
 TREES, DEPTH = 100, 10
-_TRAINED: dict[str, tuple] = {}
+#: forests of the queries that are about scoring, saving and loading, not about the fit
+SMALL = {"num_trees": 10, "max_depth": 5, "cv_folds": 0}
+KEY = ["event_id"]
 
 
 def training_table(spark, sf):
@@ -174,12 +177,9 @@ def training_table(spark, sf):
     return features.weather_features(o).drop("ts")
 
 
-def _trained(spark, sf):
-    if sf not in _TRAINED:
-        data = training_table(spark, sf)
-        bundle, report = training.train_models(data, ["event_id"], "Chuva", "rain_mm", TREES, DEPTH, exclude=["station_id"])
-        _TRAINED[sf] = (bundle, report)
-    return _TRAINED[sf]
+def _train(spark, sf, **options):
+    """Bundle and report of forests trained on the observation rows; every query trains its own."""
+    return training.train_models(training_table(spark, sf), KEY, "Chuva", "rain_mm", exclude=["station_id"], **options)
 
 
 def _prepare_sql():
@@ -216,118 +216,233 @@ def q_prepare_training(spark, sf):
     return p.data
 
 
-@query("train_models")
+# the split takes the lowest hashes of each class; 20 % of each, rounded up
+_CLASSES = "(SELECT CASE WHEN value > 60 THEN 1 ELSE 0 END AS y, count(*) AS n FROM events GROUP BY 1)"
+_TEST_ROWS = f"(SELECT sum(ceil(0.2 * n)) FROM {_CLASSES} c)"
+
+
+def _unit(c):
+    return (F.col(c) >= 0) & (F.col(c) <= 1)
+
+
+def _checked(scored):
+    """What must hold of every scored row."""
+    out = {}
+    if "prob_chuva" in scored.columns:
+        out["prob_ok"] = F.coalesce(_unit("prob_chuva"), F.lit(False))
+        out["label_ok"] = F.col("previsao_chuva") == (F.col("prob_chuva") > 0.5).cast("int")
+    if "quantidade_chuva_prevista_mm" in scored.columns:
+        out["amount_ok"] = F.coalesce(F.col("quantidade_chuva_prevista_mm") >= 0, F.lit(False))
+    return scored.select("event_id", *[v.alias(k) for k, v in out.items()])
+
+
+CLASS_METRICS = ["accuracy", "precision", "recall", "f1", "tn", "fp", "fn", "tp"]
+REG_METRICS = ["rmse", "mae", "r2", "n"]
+
+
+def _metric_checks(report):
+    """Per metric: rates in [0, 1], errors not negative, R² at most 1; counts and folds are NULL here."""
+    m, v = F.col("metric"), F.col("value")
+    rate = m.isin("accuracy", "precision", "recall", "f1", "roc_auc") | m.startswith("cv_f1")
+    ok = F.when(rate, (v >= 0) & (v <= 1)).when(m.isin("rmse", "mae") | m.endswith("_std"), v >= 0).when(m.startswith("r2") | m.startswith("cv_r2"), v <= 1)
+    return report.select("model", "metric", F.coalesce(ok, v >= 0).alias("ok"), F.when(m.isin("tn", "fp", "fn", "tp"), v).alias("cell"))
+
+
+def _metrics_sql(folds):
+    names = [("classification", m) for m in CLASS_METRICS] + [("regression", m) for m in REG_METRICS]
+    for model, prefix in (("classification", "cv_f1"), ("regression", "cv_r2")):
+        if folds:
+            names += [(model, f"{prefix}_fold{i}") for i in range(folds)] + [(model, f"{prefix}_mean"), (model, f"{prefix}_std")]
+    values = ", ".join(f"('{a}', '{b}')" for a, b in names)
+    return f"SELECT model, metric, TRUE AS ok, CAST({_TEST_ROWS} AS DOUBLE) AS n_test FROM (VALUES {values}) v(model, metric)"
+
+
+def _with_test_rows(checks):
+    """The four cells of the confusion matrix add up to the test rows."""
+    n = checks.agg(F.sum("cell").alias("n_test"))
+    return checks.drop("cell").withColumn("n_test", n.scalar())
+
+
+@query("train_models", _metrics_sql(5))
 def q_train_models(spark, sf):
-    """Training report (metrics, CV scores) of both forests."""
-    return _trained(spark, sf)[1]
+    """Training report (metrics, CV scores) of both forests: every metric in its range, and the test rows."""
+    return _with_test_rows(_metric_checks(_train(spark, sf, num_trees=TREES, max_depth=DEPTH)[1]))
 
 
-@query("rf_classifier")
-def q_rf_classifier(spark, sf):
-    """Test-part predictions of the event forest (100 trees, depth 10, balanced)."""
-    bundle, _ = _trained(spark, sf)
-    split = sampling.stratified_split(training_table(spark, sf), ["event_id"], "Chuva", 0.2, 42)
-    return scoring.score_batch(bundle, split.where("is_test")).select("event_id", "Chuva", "previsao_chuva", "prob_chuva")
+def _split(spark, sf):
+    prep = training.prepare_training(training_table(spark, sf), "Chuva", "rain_mm", exclude=["station_id"], key=KEY)
+    data = encode.with_class_weight(prep.data, "Chuva")
+    return prep, data.where(~F.col("is_test")), data.where(F.col("is_test"))
 
 
-@query("rf_regressor")
-def q_rf_regressor(spark, sf):
-    bundle, _ = _trained(spark, sf)
-    split = sampling.random_split(training_table(spark, sf), ["event_id"], 0.2, 42)
-    return scoring.score_batch(bundle, split.where("is_test")).select("event_id", "rain_mm", "quantidade_chuva_prevista_mm")
+@query("rf_classifier", f"SELECT y AS \"Chuva\", CAST(ceil(0.2 * n) AS BIGINT) AS n_rows, CAST(ceil(0.2 * n) AS BIGINT) AS n_ok FROM {_CLASSES} c")
+def q_rf_classifier(spark, sf):
+    """The event forest (100 trees, depth 10, balanced) on the held-out rows: per class, rows whose
+    probabilities lie in [0, 1] and add up to 1 and whose label is the likelier class."""
+    prep, train, test = _split(spark, sf)
+    scored = models.score_classifier(models.rf_classifier(prep.features, "Chuva", "weight", TREES, DEPTH).fit(train), test)
+    ok = _unit("prob_chuva") & _unit("prob_sem_chuva") & (F.abs(F.col("prob_chuva") + F.col("prob_sem_chuva") - 1) < 1e-9)
+    ok = ok & (F.col("previsao_chuva") == (F.col("prob_chuva") > 0.5).cast("int"))
+    return scored.groupBy("Chuva").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(ok).alias("n_ok"))
 
 
-def _cv(spark, sf, prefix):
-    """Per-fold scores recorded while training (5 folds of the training part)."""
-    _, report = _trained(spark, sf)
-    folds = report.where(F.col("metric").startswith(prefix))
-    return folds.select(F.regexp_extract("metric", r"(\d+)$", 1).cast("int").alias("fold"), F.col("value").alias("score"))
+@query("rf_regressor", f"SELECT CAST({_TEST_ROWS} AS BIGINT) AS n_rows, CAST({_TEST_ROWS} AS BIGINT) AS n_ok, TRUE AS within_training_range")
+def q_rf_regressor(spark, sf):
+    """The amount forest on the held-out rows: amounts that are not negative, none above the training maximum."""
+    prep, train, test = _split(spark, sf)
+    scored = models.score_regressor(models.rf_regressor(prep.features, "rain_mm", TREES, DEPTH).fit(train), test)
+    amount = F.col("quantidade_chuva_prevista_mm")
+    top = train.agg(F.max("rain_mm")).scalar()
+    return scored.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(amount >= 0).alias("n_ok"), F.bool_and(amount <= top + 1e-9).alias("within_training_range"))
+
+
+def _cv(spark, sf, kind):
+    prep, train, _ = _split(spark, sf)
+    train = reliable_checkpoint(train)
+    if kind == "classification":
+        folds = sampling.kfold(train, 5, key=KEY, label="Chuva")
+        pipe, label = models.rf_classifier(prep.features, "Chuva", "weight", 20, DEPTH), "Chuva"
+    else:
+        h = sampling.hash_order(KEY)
+        folds = sampling.kfold(train, 5, order=[h, *KEY], bucket=F.shiftright(h, 64 - sampling.HASH_BUCKET_BITS))
+        pipe, label = models.rf_regressor(prep.features, "rain_mm", 20, DEPTH), "rain_mm"
+    folds = reliable_checkpoint(folds)
+    scores = models.cross_validate(folds, pipe, "fold", label, kind, 5)
+    low = 0.0 if kind == "classification" else float("-inf")
+    sizes = folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n_test"))
+    return scores.join(sizes, "fold").select("fold", "n_test", ((F.col("score") >= low) & (F.col("score") <= 1)).alias("score_ok"))
 
 
-@query("cross_val_f1")
+@query(
+    "cross_val_f1",
+    f"""SELECT CAST(f AS BIGINT) AS fold, CAST(sum(t // 5 + CASE WHEN f < t % 5 THEN 1 ELSE 0 END) AS BIGINT) AS n_test, TRUE AS score_ok
+FROM (SELECT CAST(n - ceil(0.2 * n) AS BIGINT) AS t FROM {_CLASSES} c) s, range(0, 5) r(f) GROUP BY f""",
+)
 def q_cross_val_f1(spark, sf):
-    """F1 of the event class on each of 5 stratified folds."""
-    return _cv(spark, sf, "cv_f1_fold")
+    """F1 of the event class on each of 5 stratified folds: the fold's rows, and a score in [0, 1]."""
+    return _cv(spark, sf, "classification")
 
 
-@query("cross_val_r2")
+@query(
+    "cross_val_r2",
+    f"""SELECT CAST(f AS BIGINT) AS fold, CAST(t // 5 + CASE WHEN f < t % 5 THEN 1 ELSE 0 END AS BIGINT) AS n_test, TRUE AS score_ok
+FROM (SELECT CAST(sum(n - ceil(0.2 * n)) AS BIGINT) AS t FROM {_CLASSES} c) s, range(0, 5) r(f)""",
+)
 def q_cross_val_r2(spark, sf):
-    """R² of the amount forest on each of 5 folds."""
-    return _cv(spark, sf, "cv_r2_fold")
+    """R² of the amount forest on each of 5 contiguous folds: the fold's rows, and a score of at most 1."""
+    return _cv(spark, sf, "regression")
+
+
+FEATURES = [
+    "event_type", "temp", "humidity", "pressure", "radiation", "wind_speed", "temp_max", "temp_min", "dew_point", "humidity_max", "humidity_min",
+    "pressure_max", "pressure_min", "ano", "mes", "dia", "hora", "dia_semana", "dia_ano", "semana_ano", "hora_sin", "hora_cos", "mes_sin", "mes_cos",
+    "estacao", "periodo_dia", "fim_semana", "amplitude_termica", "spread_temp_orvalho", "variacao_pressao", "variacao_umidade", "indice_desconforto", "radiacao_norm",
+]
 
 
-@query("feature_importance")
+@query("feature_importance", "SELECT feature, TRUE AS importance_ok, TRUE AS adds_up FROM (VALUES " + ", ".join(f"('{f}')" for f in FEATURES) + ") v(feature)")
 def q_feature_importance(spark, sf):
-    bundle, _ = _trained(spark, sf)
-    return models.feature_importance(bundle.classifier, bundle.features, top=15)
+    """Every feature once; importances lie in [0, 1] and add up to 1."""
+    bundle, _ = _train(spark, sf, **SMALL)
+    found = models.feature_importance(bundle.classifier, bundle.features)
+    total = found.agg(F.sum("importance")).scalar()
+    return found.select("feature", _unit("importance").alias("importance_ok"), (F.abs(total - 1) < 1e-9).alias("adds_up"))
 
 
-@query("score_classifier")
+@query("score_classifier", "SELECT event_id, TRUE AS prob_ok, TRUE AS label_ok FROM events")
 def q_score_classifier(spark, sf):
-    bundle, _ = _trained(spark, sf)
-    return scoring.score_batch(bundle, training_table(spark, sf)).select("event_id", "previsao_chuva", "prob_chuva")
+    """Every row scored once: a probability in [0, 1] and the label it stands for."""
+    bundle, _ = _train(spark, sf, **SMALL)
+    return _checked(scoring.score_batch(bundle, training_table(spark, sf)).drop("quantidade_chuva_prevista_mm"))
 
 
-@query("score_regressor")
+@query("score_regressor", "SELECT event_id, TRUE AS amount_ok FROM events")
 def q_score_regressor(spark, sf):
-    bundle, _ = _trained(spark, sf)
-    return scoring.score_batch(bundle, training_table(spark, sf)).select("event_id", "quantidade_chuva_prevista_mm")
+    """Every row scored once: an amount that is not negative."""
+    bundle, _ = _train(spark, sf, **SMALL)
+    return _checked(scoring.score_batch(bundle, training_table(spark, sf)).drop("prob_chuva"))
 
 
-@query("score_batch")
+@query("score_batch", f"SELECT event_id, TRUE AS prob_ok, TRUE AS label_ok, TRUE AS amount_ok, TRUE AS decision_ok, {R('temp')} AS temp FROM {_obs_sql()} o")
 def q_score_batch(spark, sf):
-    """Input rows + predicted event, probability and amount."""
-    bundle, _ = _trained(spark, sf)
-    return scoring.score_batch(bundle, training_table(spark, sf))
+    """Input rows + predicted event, probability, amount and the decision at a threshold of 0.3."""
+    bundle, _ = _train(spark, sf, **SMALL)
+    scored = scoring.score_batch(bundle, training_table(spark, sf), threshold=0.3)
+    decision = (F.col("vai_chover") == (F.col("prob_chuva") >= 0.3).cast("int")) & (F.abs(F.col("delta_pp") - (F.col("prob_chuva") - 0.3) * 100) < 1e-9)
+    return _checked(scored).join(scored.select("event_id", decision.alias("decision_ok"), "temp"), "event_id")
 
 
-@query("score_scenarios")
+@query("score_scenarios", "SELECT event_id, TRUE AS prob_ok, TRUE AS label_ok, TRUE AS amount_ok FROM events")
 def q_score_scenarios(spark, sf):
-    bundle, _ = _trained(spark, sf)
-    return scoring.score_scenarios(bundle, scenarios(spark, sf), SCENARIO_YEAR).select("event_id", "previsao_chuva", "prob_chuva", "quantidade_chuva_prevista_mm")
+    """Every scenario row scored once."""
+    bundle, _ = _train(spark, sf, **SMALL)
+    return _checked(scoring.score_scenarios(bundle, scenarios(spark, sf), SCENARIO_YEAR))
 
 
-@query("test_models")
+@query(
+    "test_models",
+    "SELECT model, metric, TRUE AS ok, CAST("
+    + _TEST_ROWS
+    + " AS DOUBLE) AS n_test FROM (VALUES "
+    + ", ".join(f"('classification', '{m}')" for m in [*CLASS_METRICS, "roc_auc"])
+    + ", "
+    + ", ".join(f"('regression', '{m}')" for m in REG_METRICS)
+    + ") v(model, metric)",
+)
 def q_test_models(spark, sf):
-    """Evaluation of a saved bundle on a labelled table (one row per metric)."""
-    bundle, _ = _trained(spark, sf)
+    """Evaluation of a bundle on the rows that its training left out (one row per metric)."""
+    bundle, _ = _train(spark, sf, **SMALL)
     _, out = scoring.test_models(bundle, training_table(spark, sf), "Chuva", "rain_mm")
-    c = out["classification"].select(F.lit("classification").alias("model"), F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("value")) for k in out["classification"].columns])))
-    a = out["roc_auc"].select(F.lit("classification").alias("model"), F.lit("roc_auc").alias("metric"), F.col("auc").alias("value"))
-    r = out["regression"].select(F.lit("regression").alias("model"), F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("value")) for k in out["regression"].columns])))
-    return c.unionByName(a).unionByName(r)
+
+    def long(model, frame):
+        return frame.select(F.lit(model).alias("model"), F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("value")) for k in frame.columns])))
+
+    auc = out["roc_auc"].select(F.lit("classification").alias("model"), F.lit("roc_auc").alias("metric"), F.col("auc").alias("value"))
+    return _with_test_rows(_metric_checks(long("classification", out["classification"]).unionByName(auc).unionByName(long("regression", out["regression"]))))
 
 
-@query("save_model")
+@query("save_model", "SELECT event_id, TRUE AS same_label, TRUE AS same_prob, TRUE AS same_amount FROM events")
 def q_save_model(spark, sf):
-    """Save the bundle, load it back and score: predictions from the reloaded models."""
-    bundle, _ = _trained(spark, sf)
-    path = scratch_path(spark, "bundle")
-    persist.save_bundle(bundle, path)
-    again = persist.load_bundle(spark, path)
-    return scoring.score_batch(again, training_table(spark, sf)).select("event_id", "previsao_chuva", "prob_chuva", "quantidade_chuva_prevista_mm")
+    """Save the bundle, load it back and score with both: no difference in any row."""
+    bundle, _ = _train(spark, sf, **SMALL)
+    again = persist.load_bundle(spark, persist.save_bundle(bundle, scratch_path(spark, "bundle")))
+    rows = training_table(spark, sf)
+    a, b = (scoring.score_batch(x, rows).select("event_id", F.struct("previsao_chuva", "prob_chuva", "quantidade_chuva_prevista_mm").alias(n)) for x, n in ((bundle, "a"), (again, "b")))
+    same = {"same_label": "previsao_chuva", "same_prob": "prob_chuva", "same_amount": "quantidade_chuva_prevista_mm"}
+    return a.join(b, "event_id").select("event_id", *[(F.col(f"a.{c}") == F.col(f"b.{c}")).alias(n) for n, c in same.items()])
+
+
+_META_SQL = f"SELECT '{persist.BUNDLE_VERSION}' AS version, CAST({len(FEATURES)} AS BIGINT) AS n_features, 'event_type,estacao,periodo_dia' AS encoded, CAST({_TEST_ROWS} AS DOUBLE) AS n_test, CAST(4 AS BIGINT) AS n_reg_metrics, 'event_id' AS split_key"
+
+
+def _meta_row(meta):
+    cells = [F.element_at("classification_metrics", k) for k in ("tn", "fp", "fn", "tp")]
+    return meta.select(
+        "version", F.col("n_features").cast("long").alias("n_features"), F.array_join("label_encoders_cols", ",").alias("encoded"), sum(cells[1:], cells[0]).alias("n_test"),
+        F.size("regression_metrics").cast("long").alias("n_reg_metrics"), F.get_json_object("split", "$.key[0]").alias("split_key"),
+    )
 
 
-@query("load_model")
+@query("load_model", _META_SQL)
 def q_load_model(spark, sf):
-    """A loaded bundle's metadata (feature count, encoded columns)."""
-    bundle, _ = _trained(spark, sf)
-    path = scratch_path(spark, "bundle")
-    persist.save_bundle(bundle, path)
-    return persist.metadata_frame(spark, persist.load_bundle(spark, path))
+    """A loaded bundle's metadata (feature count, encoded columns, metrics, split)."""
+    bundle, _ = _train(spark, sf, **SMALL)
+    return _meta_row(persist.metadata_frame(spark, persist.load_bundle(spark, persist.save_bundle(bundle, scratch_path(spark, "bundle")))))
 
 
-@query("save_metadata")
+@query("save_metadata", _META_SQL)
 def q_save_metadata(spark, sf):
-    bundle, _ = _trained(spark, sf)
+    """The metadata table written as JSON and read back."""
+    bundle, _ = _train(spark, sf, **SMALL)
     path = os.path.join(scratch_path(spark, "meta"), "metadata")
-    persist.metadata_frame(spark, bundle).write.mode("overwrite").json(path)
-    return spark.read.json(path)
+    meta = persist.metadata_frame(spark, bundle)
+    meta.write.mode("overwrite").json(path)
+    return _meta_row(spark.read.schema(meta.schema).json(path))
 
 
-@query("sink_training_report")
+@query("sink_training_report", _metrics_sql(0))
 def q_sink_training_report(spark, sf):
-    _, report = _trained(spark, sf)
+    """The training report written as JSON and read back."""
     path = scratch_path(spark, "report")
-    report.write.mode("overwrite").json(path)
-    return spark.read.schema("model string, metric string, value double").json(path)
+    _train(spark, sf, **SMALL)[1].write.mode("overwrite").json(path)
+    return _with_test_rows(_metric_checks(spark.read.schema("model string, metric string, value double").json(path)))
