@@ -38,6 +38,19 @@ def chunk_count(df: DataFrame, column: str, chunk_bytes: int = CHUNK_BYTES) -> i
     return max(1, -(-total // chunk_bytes))
 
 
+#: rows of an Arrow batch; Spark's own default of 10,000 would be hundreds of MB of documents
+BATCH_ROWS = 1000
+_BATCH_CONF, _SPARK_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """Keeps the session's Arrow batches at ``BATCH_ROWS`` rows, unless the user has set a size."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF, _SPARK_DEFAULT) == _SPARK_DEFAULT:
+        conf.set(_BATCH_CONF, str(BATCH_ROWS))
+    return df
+
+
 #: rows that :func:`map_rows` turns into Python values together
 SLICE_ROWS = 256
 
@@ -58,7 +71,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], list]], sc
                 arrays = [c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, out, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=out)
 
-    return df.mapInArrow(run, schema)
+    return bound_batches(df).mapInArrow(run, schema)
 
 
 def add_columns(df: DataFrame, column: str, make: Callable[[], Callable[[list], list]], schema: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -85,4 +98,4 @@ def add_columns(df: DataFrame, column: str, make: Callable[[], Callable[[list],
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=full.names)
 
     rows = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{column}`").cast("string").alias("string of the map"))
-    return rows.mapInArrow(run, full)
+    return bound_batches(rows).mapInArrow(run, full)

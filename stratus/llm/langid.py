@@ -32,7 +32,7 @@ SWITCH_PENALTY = 10.0
 ORDER = 4
 BUCKET_BITS = 16
 BACKOFF = 4.0
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 SEGMENT_WORDS = 128
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")

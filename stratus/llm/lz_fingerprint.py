@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratus.llm.common import SLICE_ROWS, chunk_count, map_rows, ship_by_value
+from stratus.llm.common import SLICE_ROWS, bound_batches, chunk_count, map_rows, ship_by_value
 
 ship_by_value(__name__)
 
@@ -159,4 +159,4 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     placed = rows.select(F.explode(chunks_of("key")).alias("code"), "doc_id", "key", "text").withColumn("chunk", F.shiftright("code", 1))
     ordered = placed.repartition(max(1, chunks), "chunk").sortWithinPartitions("code", "key", "text")
-    return ordered.select("code", "doc_id", "text").mapInArrow(run, schema)
+    return bound_batches(ordered.select("code", "doc_id", "text")).mapInArrow(run, schema)

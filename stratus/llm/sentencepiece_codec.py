@@ -23,7 +23,7 @@ from stratus.llm.pieces import DEFAULT_MODEL, SPACE, Pieces, load_pieces
 
 ship_by_value(__name__)
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 #: longer pre-tokens are not kept
 CACHE_CHARS = 48
 

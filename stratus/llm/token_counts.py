@@ -19,7 +19,7 @@ from stratus.llm.pieces import DEFAULT_MODEL, SPACE, Pieces, load_pieces
 
 ship_by_value(__name__)
 
-TRIE_NODES = 1_000_000
+TRIE_NODES = 500_000
 
 
 class CountTrie:
