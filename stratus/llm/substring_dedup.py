@@ -69,7 +69,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("min_words must be 1 at least: empty units are not repeats")
     units = shared_table(units_of(docs, id_col, text_col, unit, min_words), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "unit", "text_key", "start")
-    first = units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # a table of its own, so that the join below may split a frequent digest
+    first = shared_table(units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
     later = units.join(first, "digest").where(rank != F.col("first"))
     kept = [F.col(f"first.{c}").alias(f"kept_{c}") for c in ("doc_id", "unit", "start")]
     return later.select("doc_id", "unit", "start", "end", "n_words", *kept, "text_key")
