@@ -5,6 +5,7 @@ its group within the class given the same, times its share of the group.  Both s
 maximum-entropy models over hashed features: n-grams of words and of classes, and skip features.
 The share within a group is the smoothed count of the word, the maximum-entropy solution for
 word indicators.  Class and group come from the ends of a word, so that an unseen word has them.
+A word is named by 128 bits of hashes, computed for all words of many texts at once.
 
 Training is distributed gradient descent: in every round the tasks start from the same weights,
 take gradient steps over their documents, and what they changed is summed by Spark and averaged.
@@ -19,28 +20,29 @@ is scored against them.  A frequent word has one row per chunk at most.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratus.llm.common import SLICE_ROWS, chunk_count, shared_table, ship_by_value
+from stratus.llm.common import SLICE_ROWS, bound_batches, chunk_count, shared_table, ship_by_value
 
 ship_by_value(__name__)
 
 CLASSES = 16
-GROUPS = 16
+GROUPS = 8
 #: 16 at most
 HASH_BITS = 15
-ROUNDS = 3
+ROUNDS = 2
 RATE = 0.1
 BATCH_TOKENS = 1 << 14
-CACHE_WORDS = 400_000
-#: the end of a text; no word is empty
-END = b""
+#: tokens whose distinct words a task sends together
+COUNT_TOKENS = 1 << 21
+#: the longest word whose hash is a sum over its bytes
+LONG_WORD = 64
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -48,41 +50,68 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 1, F.lit(False))
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case, and one end."""
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
+def class_of(end: bytes) -> int:
+    """Class of a word from its last two bytes (the end of a text, an empty word, is class 0)."""
+    return 1 + zlib.crc32(end) % (CLASSES - 1) if end else 0
 
 
-def class_of(word: bytes) -> int:
-    return 1 + zlib.crc32(word[-2:]) % (CLASSES - 1) if word else 0
+def group_of(start: bytes) -> int:
+    """Group of a word from its first two bytes."""
+    return zlib.crc32(start) // 7 % GROUPS if start else 0
 
 
-def group_of(word: bytes) -> int:
-    return zlib.crc32(word[:2]) // 7 % GROUPS if word else 0
+def _by_two_bytes(name: Callable[[bytes], int]) -> np.ndarray:
+    """``name`` of all two bytes, then of all single ones."""
+    return np.array([name(bytes(divmod(i, 256))) for i in range(1 << 16)] + [name(bytes([i])) for i in range(256)], dtype=np.int16)
 
 
-class _Numbers(dict):
-    """Numbers words in the order in which they are met; hash, class and group by number."""
+CLASS, GROUP = _by_two_bytes(class_of), _by_two_bytes(group_of)
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_RNG = np.random.default_rng(71)
+#: two independent hashes of a word: random values of its bytes times powers of an odd number
+BYTE_VALUES = np.where(SPACE, np.uint64(0), _RNG.integers(1 << 63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+with np.errstate(over="ignore"):
+    POWERS = np.cumprod(np.repeat(_RNG.integers(1 << 60, size=(2, 1), dtype=np.uint64) * np.uint64(8) + np.uint64(5), LONG_WORD, axis=1), axis=1)
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.clear_all()
 
-    def clear_all(self) -> None:
-        self.clear()
-        self.rows: list[tuple[int, int, int]] = []
-        self.done = np.zeros((0, 3), dtype=np.int64)
+class Tokens:
+    """The tokens of texts in a row: words between ASCII white space, A-Z in lower case, and one end each.
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self.done) + len(self.rows)
-        self.rows.append((zlib.crc32(word), class_of(word), group_of(word)))
-        return number
+    ``word`` and ``check`` are 64-bit hashes (0 for an end); together they stand for the word, and
+    ``check`` is made on demand only.  ``sizes`` are the tokens of each text.  A null text counts as empty.
+    """
 
-    def facts(self) -> np.ndarray:
-        if self.rows:
-            self.done = np.concatenate([self.done, np.array(self.rows, dtype=np.int64)])
-            self.rows = []
-        return self.done
+    def __init__(self, texts: Sequence[str | None], check: bool = False):
+        raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+        data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+        turns = np.flatnonzero(np.diff(~SPACE[data], prepend=False))
+        start, end = turns[::2], turns[1::2]  # the last byte is white space
+        size = end - start
+        text = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), start, side="right")
+        self.sizes = np.bincount(text, minlength=len(raw)) + 1
+        total = len(start) + len(raw)
+        place = np.arange(len(start)) + text  # an end follows the words of each text
+        self.word, self.check = np.zeros(total, dtype=np.uint64), np.zeros(total if check else 0, dtype=np.uint64)
+        self.classes, self.groups = np.zeros((2, total), dtype=np.int64)
+        if not len(start):
+            return
+        # from each word's start to the next: white space adds nothing to the sums
+        body = data[start[0] :]
+        begin = (start - start[0]).astype(np.int32)
+        offset = np.arange(len(body), dtype=np.int32) - np.repeat(begin, np.diff(begin, append=np.int32(len(body))))
+        np.minimum(offset, LONG_WORD - 1, out=offset)
+        long = [(k, xxhash.xxh3_128_intdigest(data[start[k] : end[k]].tobytes())) for k in np.flatnonzero(size > LONG_WORD).tolist()]
+        for i, into in enumerate((self.word, self.check)[: 1 + check]):
+            found = np.add.reduceat(BYTE_VALUES[i][body] * POWERS[i][offset], begin)
+            for k, digest in long:
+                found[k] = digest >> 64 * i & 0xFFFFFFFFFFFFFFFF
+            found ^= found >> np.uint64(32)
+            found *= np.uint64(0xD6E8FEB86659FD93)
+            into[place] = (found ^ (found >> np.uint64(29))) | np.uint64(1)  # never an end's
+        one = size == 1
+        first, last = data[start].astype(np.int64), data[end - 1].astype(np.int64)
+        self.classes[place] = CLASS[np.where(one, 65536 + first, data[end - 2].astype(np.int64) * 256 + last)]
+        self.groups[place] = GROUP[np.where(one, 65536 + first, first * 256 + data[start + 1 - one])]
 
 
 def _mix(parts: list[np.ndarray | int]) -> np.ndarray:
@@ -99,33 +128,33 @@ def _class_contexts() -> tuple[np.ndarray, np.ndarray]:
     """Rows of the class features for every context of classes: three before (for the class), two
     before and the class itself (for the group)."""
     a, b, c = (x.ravel() for x in np.indices((CLASSES + 1,) * 3))
-    of_class = np.stack([_mix([1, a]), _mix([2, a, b]), _mix([3, a, b, c]), _mix([4, b, c])])
+    of_class = np.stack([_mix([2, a, b]), _mix([3, a, b, c]), _mix([4, b, c])])
     a, b, c = (x.ravel() for x in np.indices((CLASSES + 1, CLASSES + 1, CLASSES)))
-    return of_class, np.stack([_mix([5, c]), _mix([6, a, c]), _mix([7, a, b, c])])
+    return of_class, np.stack([_mix([6, a, c]), _mix([7, a, b, c])])
 
 
 def sum_by(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct numbers (under 65,536) and the sum of their rows."""
+    """Distinct numbers (under 65,536) and the sum of their rows; ``values`` repeat for a longer index."""
     order = np.argsort(index.astype(np.uint16), kind="stable")  # a radix sort
     ordered = index[order]
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    return ordered[first], np.add.reduceat(values[order], first, axis=0)
+    return ordered[first], np.add.reduceat(values[order % len(values)], first, axis=0)
 
 
 class Batch:
     """Features of many tokens: for each softmax a context of classes and rows of word features."""
 
-    def __init__(self, facts: np.ndarray, sizes: np.ndarray):
-        hashes, classes, groups = facts.T
+    def __init__(self, tokens: Tokens):
+        hashes, classes, groups, sizes = tokens.word, tokens.classes, tokens.groups, tokens.sizes
         place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         before = [place < back for back in (1, 2, 3)]  # the context would lie before the text
-        w1, w2 = (np.where(e, 1, np.roll(hashes, i + 1)) for i, e in enumerate(before[:2]))
+        w1, w2 = (np.where(e, np.uint64(1), np.roll(hashes, i + 1)) for i, e in enumerate(before[:2]))
         k1, k2, k3 = (np.where(e, CLASSES, np.roll(classes, i + 1)) for i, e in enumerate(before))
         side = CLASSES + 1
-        # n-grams w1 and w2 w1, and the skip of one word
+        # the word before, and the one before it (a skip), beside the n-grams and skips of classes
         self.softmaxes = (
-            ((k1 * side + k2) * side + k3, [_mix([11, w1]), _mix([12, w1, w2]), _mix([13, w2])], classes),
-            ((k1 * side + k2) * CLASSES + classes, [_mix([14, w1, classes]), _mix([15, w1, w2, classes])], groups),
+            ((k1 * side + k2) * side + k3, [_mix([11, w1]), _mix([13, w2])], classes),
+            ((k1 * side + k2) * CLASSES + classes, [_mix([14, w1, classes])], groups),
         )
 
 
@@ -135,63 +164,58 @@ class Model:
     def __init__(self, weights: list[np.ndarray] | None = None):
         size = 1 << HASH_BITS
         self.weights = weights or [np.zeros((size, CLASSES), np.float32), np.zeros((size, GROUPS), np.float32)]
-        self.squares = [np.ones_like(w) for w in self.weights]
+        self.squares = [np.ones(size, np.float32) for _ in self.weights]
         self.contexts = _class_contexts()
 
-    def log_softmax(self, which: int, context: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    def exponentials(self, which: int, context: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token's outcomes, and their sum."""
         weights = self.weights[which]
         logits = sum(weights[r] for r in self.contexts[which])[context]  # once for each context, not for each token
         for r in rows:
             logits += weights[r]
-        np.clip(logits, -40, 40, out=logits)
-        logits -= np.log(np.exp(logits) @ np.ones((logits.shape[1], 1), np.float32))
-        return logits
+        np.exp(logits, out=logits)
+        return logits, logits @ np.ones((logits.shape[1], 1), np.float32)
+
+    def update(self, which: int, rows: np.ndarray, gradient: np.ndarray) -> None:
+        """Change distinct ``rows``; each row's rate falls with the gradients it has met."""
+        squares = self.squares[which][rows] + np.einsum("ij,ij->i", gradient, gradient) / np.float32(gradient.shape[1])
+        self.squares[which][rows] = squares
+        gradient *= (np.float32(RATE) / np.sqrt(squares))[:, None]
+        # the clip is far from what single precision holds in an exponential
+        self.weights[which][rows] = np.clip(self.weights[which][rows] - gradient, -8, 8)
 
     def step(self, batch: Batch) -> None:
-        """A gradient step of both softmaxes; each weight's rate falls with the gradients it has met."""
+        """A gradient step of both softmaxes."""
         for which, (context, rows, target) in enumerate(batch.softmaxes):
-            error = np.exp(self.log_softmax(which, context, rows))
+            error, total = self.exponentials(which, context, rows)
+            error /= total
             error[np.arange(len(target)), target] -= 1
             used, summed = sum_by(context, error)
-            pairs = [(r[used], summed) for r in self.contexts[which]] + [(r, error) for r in rows]
-            touched = [sum_by(r, e) for r, e in pairs]
-            weights, squares = self.weights[which], self.squares[which]
-            gradient = np.zeros_like(weights)
-            for r, e in touched:
-                gradient[r] += e
-            changed = np.flatnonzero(np.bincount(np.concatenate([r for r, _ in touched]), minlength=len(weights)))
-            g = gradient[changed]
-            squares[changed] += g * g
-            weights[changed] -= np.float32(RATE) * g / np.sqrt(squares[changed])
+            self.update(which, *sum_by(np.concatenate([r[used] for r in self.contexts[which]]), summed))
+            self.update(which, *sum_by(np.concatenate(rows), error))
 
     def log10(self, batch: Batch) -> np.ndarray:
         """Log10 probability of each token's class and group."""
         total = np.zeros(len(batch.softmaxes[0][2]))
         for which, (context, rows, target) in enumerate(batch.softmaxes):
-            total += self.log_softmax(which, context, rows)[np.arange(len(target)), target]
-        return total / np.log(10)
+            outcomes, normal = self.exponentials(which, context, rows)
+            total += np.log10(outcomes[np.arange(len(target)), target] / normal[:, 0])
+        return total
 
 
-def _batches(texts: Iterator[str | None], table: _Numbers) -> Iterator[tuple[np.ndarray, np.ndarray, Batch]]:
-    """Word numbers, tokens of each text, and features, for batches of ``BATCH_TOKENS`` tokens or one longer text."""
-    held: list[list[bytes]] = []
+def _batches(texts: Iterator[str | None], check: bool = False, most_bytes: int = 6 * BATCH_TOKENS) -> Iterator[Tokens]:
+    """Tokens of about ``most_bytes`` bytes of texts at a time, or of one longer text."""
+    held: list[str | None] = []
     size = 0
-
-    def pack() -> tuple[np.ndarray, np.ndarray, Batch]:
-        flat = [w for tokens in held for w in tokens]
-        numbers = np.fromiter(map(table.__getitem__, flat), np.int64, len(flat))
-        sizes = np.array([len(tokens) for tokens in held])
-        return numbers, sizes, Batch(table.facts()[numbers], sizes)
-
     for text in texts:
-        tokens = tokens_of(text)
-        if held and size + len(tokens) > BATCH_TOKENS:
-            yield pack()
+        n = len(text or "") + 1
+        if held and size + n > most_bytes:
+            yield Tokens(held, check)
             held, size = [], 0
-        held.append(tokens)
-        size += len(tokens)
+        held.append(text)
+        size += n
     if held:
-        yield pack()
+        yield Tokens(held, check)
 
 
 def _strings(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[str | None]:
@@ -213,62 +237,64 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     names = [f"w{i}" for i in range(max(CLASSES, GROUPS))]
 
     def gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table, seen = Model([w.copy() for w in model.weights]), _Numbers(), 0
-        for numbers, _, batch in _batches(_strings(batches), table):
-            own.step(batch)
-            seen += len(numbers)
-            if len(table) > CACHE_WORDS:
-                table.clear_all()
+        own, seen = Model([w.copy() for w in model.weights]), 0
+        for tokens in _batches(_strings(batches)):
+            own.step(Batch(tokens))
+            seen += len(tokens.word)
         for which, (before, after) in enumerate(zip(model.weights, own.weights, strict=True)):
             change = after - before
             row = np.flatnonzero(change.any(axis=1))
             width = change.shape[1]
-            columns = [change[row, i].astype(np.float64) * seen if i < width else np.zeros(len(row)) for i in range(len(names))]
+            columns = [change[row, i] if i < width else np.zeros(len(row), np.float32) for i in range(len(names))]
             fixed = [np.full(len(row), which, np.int32), row.astype(np.int32), np.full(len(row), seen, np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in fixed + columns], names=["which", "row", "n", *names])
 
     for number in range(rounds):
         part = rows.where(F.col("round") == number).select("text").coalesce(tasks)
-        changes = part.mapInArrow(gradients, "which int, row int, n long, " + ", ".join(f"{c} double" for c in names))
-        mean = changes.groupBy("which", "row").agg(*[(F.sum(c) / F.sum("n")).alias(c) for c in names]).toPandas()  # two tables of fixed size at most
+        changes = bound_batches(part).mapInArrow(gradients, "which int, row int, n long, " + ", ".join(f"{c} float" for c in names))
+        mean = changes.groupBy("which", "row").agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in names]).toPandas()  # two tables of fixed size at most
         for which, weights in enumerate(model.weights):
             own = mean[mean["which"] == which]
             weights[own["row"].to_numpy()] += own[names[: weights.shape[1]]].to_numpy(np.float32)
     return model
 
 
+def distinct_words(tokens: Iterable[Tokens]) -> dict[str, np.ndarray]:
+    """``word, check, cell, n`` of the distinct words; a cell is a class and group."""
+    words, checks, cells = (
+        np.concatenate(x)
+        for x in zip(*((t.word, t.check, (t.classes * GROUPS + t.groups).astype(np.int32)) for t in tokens), strict=True)
+    )
+    order = np.argsort(words)
+    ordered = words[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    kept = order[first]
+    n = np.diff(np.append(first, len(ordered)))
+    return {"word": ordered[first].view(np.int64), "check": checks[kept].view(np.int64), "cell": cells[kept], "n": n}
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(word binary, n long)`` over all texts; the end of a text is the empty word."""
+    """``(word, check, cell, n)`` over all texts: how often each word, named by its two hashes, occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
-        for text in _strings(batches):
-            found.update(tokens_of(text))
-            if len(found) > CACHE_WORDS:
-                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], names=["word", "n"])
-                found.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], names=["word", "n"])
+        held: list[Tokens] = []
+        for tokens in _batches(_strings(batches), check=True):
+            held.append(tokens)
+            if sum(len(t.word) for t in held) >= COUNT_TOKENS:
+                yield pa.RecordBatch.from_pydict(distinct_words(held))
+                held = []
+        if held:
+            yield pa.RecordBatch.from_pydict(distinct_words(held))
 
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = bound_batches(rows).mapInArrow(count, "word long, check long, cell int, n long")
+    return found.groupBy("word", "check").agg(F.min("cell").alias("cell"), F.sum("n").alias("n"))
 
 
 def group_totals(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and distinct words of every (class, group)."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, distinct = np.zeros((2, CLASSES * GROUPS), dtype=np.int64)
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            cell = np.fromiter((class_of(w) * GROUPS + group_of(w) for w in words), np.int64, len(words))
-            tokens += np.bincount(cell, weights=batch.column(1).to_numpy(), minlength=len(tokens)).astype(np.int64)
-            distinct += np.bincount(cell, minlength=len(distinct))
-        used = np.flatnonzero(distinct)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(tokens[used]), pa.array(distinct[used])], names=["cell", "n", "v"])
-
-    summed = counts.select("word", "n").mapInArrow(add, "cell long, n long, v long").groupBy("cell").agg(F.sum("n"), F.sum("v"))
     tokens, distinct = np.zeros((2, CLASSES * GROUPS), dtype=np.int64)
-    for cell, n, v in summed.collect():  # one row per cell at most
+    for cell, n, v in counts.groupBy("cell").agg(F.sum("n"), F.count(F.lit(1))).collect():  # one row per cell at most
         tokens[cell], distinct[cell] = n, v
     return tokens, distinct
 
@@ -292,35 +318,47 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition(chunks, "chunk")
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, set[bytes]] = {}
+        """Distinct words of every chunk; a chunk's texts may come in several runs."""
+        held: dict[int, list[Tokens]] = {}
+
+        def pack() -> Iterator[pa.RecordBatch]:
+            for chunk, tokens in held.items():
+                found = distinct_words(tokens)
+                yield pa.RecordBatch.from_pydict({"chunk": np.full(len(found["word"]), chunk), "word": found["word"], "check": found["check"]})
+            held.clear()
+
+        size = 0
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
-                for chunk, text in zip(part.column("chunk").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    found.setdefault(chunk, set()).update(tokens_of(text))
-        for chunk, words in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), chunk)), pa.array(list(words), pa.binary())], names=["chunk", "word"])
+                chunks, strings = part.column("chunk").to_numpy(), part.column("text").to_pylist()
+                for chunk in np.unique(chunks).tolist():
+                    tokens = Tokens([t for t, c in zip(strings, chunks, strict=True) if c == chunk], check=True)
+                    held.setdefault(chunk, []).append(tokens)
+                    size += len(tokens.word)
+                if size >= 2 * COUNT_TOKENS:
+                    yield from pack()
+                    size = 0
+        yield from pack()
 
     # the whole of `dealt`, so that both sides read the same exchange
-    known = dealt.mapInArrow(words_of, "chunk long, word binary").join(counts, "word").select("chunk", "word", "n")
+    words = bound_batches(dealt).mapInArrow(words_of, "chunk long, word long, check long")
+    known = words.join(counts, ["word", "check"]).select("chunk", "word", "n").distinct()
 
     def score(texts: pa.Table, words: pa.Table) -> pa.Table:
-        table = _Numbers()
-        counted = np.zeros(0, dtype=np.int64)
-        if words.num_rows:
-            order = [table[w] for w in words.column("word").to_pylist()]
-            counted = np.zeros(len(order), dtype=np.int64)
-            counted[order] = words.column("n").to_numpy()
+        known_words, known_counts = words.column("word").to_numpy().view(np.uint64), words.column("n").to_numpy()
+        order = np.argsort(known_words)
+        known_words, known_counts = np.append(known_words[order], np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(known_counts[order], 0)
         sizes_, known_, base_, score_ = [], [], [], []
-        for numbers, sizes, batch in _batches(_strings(texts.select(["text"]).to_batches()), table):
-            c = np.append(counted, 0)[np.minimum(numbers, len(counted))]  # later numbers are words without a count
-            doc = np.repeat(np.arange(len(sizes)), sizes)
+        for tokens in _batches(_strings(texts.select(["text"]).to_batches())):
+            at = np.searchsorted(known_words, tokens.word)
+            c = np.where(known_words[at] == tokens.word, known_counts[at], 0)
+            doc = np.repeat(np.arange(len(tokens.sizes)), tokens.sizes)
             share = np.log10(c + 0.5)
-            cell = batch.softmaxes[0][2] * GROUPS + batch.softmaxes[1][2]
-            sizes_.append(sizes)
+            sizes_.append(tokens.sizes)
             known_.append(np.bincount(doc, weights=c > 0))
             base_.append(np.bincount(doc, weights=share - base_norm))
-            score_.append(np.bincount(doc, weights=share - cell_norm[cell] + model.log10(batch)))
+            score_.append(np.bincount(doc, weights=share - cell_norm[tokens.classes * GROUPS + tokens.groups] + model.log10(Batch(tokens))))
         columns = [np.concatenate(x) if x else np.zeros(0) for x in (sizes_, known_, base_, score_)]
         n = len(columns[0])
         arrays = [texts.column("doc_id"), columns[0].astype(np.int64), columns[1].astype(np.int64), np.full(n, total, np.int64), columns[2], columns[3]]

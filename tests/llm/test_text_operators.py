@@ -235,21 +235,34 @@ def test_language_model_query(spark, documents, texts):
 def test_model_probabilities_sum_to_one():
     rng = np.random.default_rng(2)
     model = maxent_lm.Model([rng.normal(size=(1 << maxent_lm.HASH_BITS, n)).astype(np.float32) for n in (maxent_lm.CLASSES, maxent_lm.GROUPS)])
-    table = maxent_lm._Numbers()
-    _, _, batch = next(maxent_lm._batches(iter(["a few words of text", "", None, "more words"]), table))
+    batch = maxent_lm.Batch(maxent_lm.Tokens(["a few words of text", "", None, "more words"]))
     for which, (context, rows, _) in enumerate(batch.softmaxes):
-        assert np.allclose(np.exp(model.log_softmax(which, context, rows)).sum(axis=1), 1, atol=1e-4)
+        outcomes, total = model.exponentials(which, context, rows)
+        assert np.allclose((outcomes / total).sum(axis=1), 1, atol=1e-4) and np.isfinite(total).all()
 
 
 def test_gradient_steps_raise_the_likelihood():
-    model, table = maxent_lm.Model(), maxent_lm._Numbers()
-    texts = ["the cat sat on the mat", "the dog sat on the rug"] * 40
-    batches = list(maxent_lm._batches(iter(texts), table))
-    before = sum(model.log10(b).sum() for _, _, b in batches)
-    for _ in range(20):
-        for _, _, b in batches:
-            model.step(b)
-    assert sum(model.log10(b).sum() for _, _, b in batches) > 0.2 * before
+    model, batch = maxent_lm.Model(), maxent_lm.Batch(maxent_lm.Tokens(["the cat sat on the mat", "the dog sat on the rug"] * 40))
+    before = model.log10(batch).sum()
+    for _ in range(60):
+        model.step(batch)
+    assert model.log10(batch).sum() > 0.3 * before
+
+
+def test_tokens_equal_brute_force():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("aAbzÉé \t\n\x0b\x1c\xa0漢.") for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    texts += [None, "", " \n", "x" * 64, "x" * 65, "x" * 5000 + " " + "x" * 5001, "a", "ab"]
+    tokens = maxent_lm.Tokens(texts, check=True)
+    want = [brute_tokens(t) for t in texts]
+    assert tokens.sizes.tolist() == [len(t) for t in want]
+    names: dict = {}
+    for i, word in enumerate(w for t in want for w in t):
+        raw = (word or "").encode()
+        assert names.setdefault(word, (tokens.word[i], tokens.check[i])) == (tokens.word[i], tokens.check[i])
+        assert (tokens.word[i] == 0) == (word is None)
+        assert (tokens.classes[i], tokens.groups[i]) == (maxent_lm.class_of(raw[-2:]), maxent_lm.group_of(raw[:2]))
+    assert len(set(names.values())) == len(names)
 
 
 def test_language_model_of_odd_rows(odd_docs, no_docs):
