@@ -5,7 +5,7 @@ its group within the class given the same, times its share of the group.  Both s
 maximum-entropy models over hashed features: n-grams of words and of classes, and skip features.
 The share within a group is the smoothed count of the word, the maximum-entropy solution for
 word indicators.  Class and group come from the ends of a word, so that an unseen word has them.
-A word is named by 128 bits of hashes, computed for all words of many texts at once.
+A word is named by 96 bits of hashes, computed for all words of many texts at once.
 
 Training is distributed gradient descent: in every round the tasks start from the same weights,
 take gradient steps over their documents, and what they changed is summed by Spark and averaged.
@@ -39,6 +39,8 @@ HASH_BITS = 15
 ROUNDS = 2
 RATE = 0.1
 BATCH_TOKENS = 1 << 14
+#: raw bytes of a chunk: larger chunks repeat fewer words
+CHUNK_BYTES = 16 << 20
 #: tokens whose distinct words a task sends together
 COUNT_TOKENS = 1 << 21
 #: the longest word whose hash is a sum over its bytes
@@ -260,7 +262,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
 
 
 def distinct_words(tokens: Iterable[Tokens]) -> dict[str, np.ndarray]:
-    """``word, check, cell, n`` of the distinct words; a cell is a class and group."""
+    """``word, check, cell, n`` of the distinct words (32 bits of the second hash do beside 64 of the
+    first); a cell is a class and group."""
     words, checks, cells = (
         np.concatenate(x)
         for x in zip(*((t.word, t.check, (t.classes * GROUPS + t.groups).astype(np.int32)) for t in tokens), strict=True)
@@ -270,7 +273,7 @@ def distinct_words(tokens: Iterable[Tokens]) -> dict[str, np.ndarray]:
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     kept = order[first]
     n = np.diff(np.append(first, len(ordered)))
-    return {"word": ordered[first].view(np.int64), "check": checks[kept].view(np.int64), "cell": cells[kept], "n": n}
+    return {"word": ordered[first].view(np.int64), "check": (checks[kept] >> np.uint64(32)).astype(np.uint32).view(np.int32), "cell": cells[kept], "n": n}
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -287,7 +290,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_pydict(distinct_words(held))
 
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
-    found = bound_batches(rows).mapInArrow(count, "word long, check long, cell int, n long")
+    found = bound_batches(rows).mapInArrow(count, "word long, check int, cell int, n long")
     return found.groupBy("word", "check").agg(F.min("cell").alias("cell"), F.sum("n").alias("n"))
 
 
@@ -314,7 +317,7 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     cell_norm = np.log10(cell_tokens + 0.5 * (cell_words + 1))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chunks = chunk_count(rows, "text")
+    chunks = chunk_count(rows, "text", CHUNK_BYTES)
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition(chunks, "chunk")
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +345,7 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
         yield from pack()
 
     # the whole of `dealt`, so that both sides read the same exchange
-    words = bound_batches(dealt).mapInArrow(words_of, "chunk long, word long, check long")
+    words = bound_batches(dealt).mapInArrow(words_of, "chunk long, word long, check int")
     known = words.join(counts, ["word", "check"]).select("chunk", "word", "n").distinct()
 
     def score(texts: pa.Table, words: pa.Table) -> pa.Table:
