@@ -38,7 +38,7 @@ GROUPS = 8
 HASH_BITS = 15
 ROUNDS = 2
 RATE = 0.1
-BATCH_TOKENS = 1 << 14
+BATCH_TOKENS = 1 << 15
 #: raw bytes of a chunk: larger chunks repeat fewer words
 CHUNK_BYTES = 16 << 20
 #: tokens whose distinct words a task sends together
