@@ -33,12 +33,12 @@ from stratus.llm.common import SLICE_ROWS, bound_batches, chunk_count, shared_ta
 ship_by_value(__name__)
 
 CLASSES = 16
-GROUPS = 8
+GROUPS = 16
 #: 16 at most
 HASH_BITS = 15
-ROUNDS = 2
+ROUNDS = 3
 RATE = 0.1
-BATCH_TOKENS = 1 << 15
+BATCH_TOKENS = 1 << 14
 #: raw bytes of a chunk: larger chunks repeat fewer words
 CHUNK_BYTES = 16 << 20
 #: tokens whose distinct words a task sends together
@@ -130,9 +130,9 @@ def _class_contexts() -> tuple[np.ndarray, np.ndarray]:
     """Rows of the class features for every context of classes: three before (for the class), two
     before and the class itself (for the group)."""
     a, b, c = (x.ravel() for x in np.indices((CLASSES + 1,) * 3))
-    of_class = np.stack([_mix([2, a, b]), _mix([3, a, b, c]), _mix([4, b, c])])
+    of_class = np.stack([_mix([1, a]), _mix([2, a, b]), _mix([3, a, b, c]), _mix([4, b, c])])
     a, b, c = (x.ravel() for x in np.indices((CLASSES + 1, CLASSES + 1, CLASSES)))
-    return of_class, np.stack([_mix([6, a, c]), _mix([7, a, b, c])])
+    return of_class, np.stack([_mix([5, c]), _mix([6, a, c]), _mix([7, a, b, c])])
 
 
 def sum_by(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,10 +153,10 @@ class Batch:
         w1, w2 = (np.where(e, np.uint64(1), np.roll(hashes, i + 1)) for i, e in enumerate(before[:2]))
         k1, k2, k3 = (np.where(e, CLASSES, np.roll(classes, i + 1)) for i, e in enumerate(before))
         side = CLASSES + 1
-        # the word before, and the one before it (a skip), beside the n-grams and skips of classes
+        # n-grams w1 and w2 w1, and the skip of one word, beside the n-grams and skips of classes
         self.softmaxes = (
-            ((k1 * side + k2) * side + k3, [_mix([11, w1]), _mix([13, w2])], classes),
-            ((k1 * side + k2) * CLASSES + classes, [_mix([14, w1, classes])], groups),
+            ((k1 * side + k2) * side + k3, [_mix([11, w1]), _mix([12, w1, w2]), _mix([13, w2])], classes),
+            ((k1 * side + k2) * CLASSES + classes, [_mix([14, w1, classes]), _mix([15, w1, w2, classes])], groups),
         )
 
 
@@ -166,25 +166,28 @@ class Model:
     def __init__(self, weights: list[np.ndarray] | None = None):
         size = 1 << HASH_BITS
         self.weights = weights or [np.zeros((size, CLASSES), np.float32), np.zeros((size, GROUPS), np.float32)]
-        self.squares = [np.ones(size, np.float32) for _ in self.weights]
+        self.squares = [np.ones_like(w) for w in self.weights]
         self.contexts = _class_contexts()
+        self.summed: list[np.ndarray | None] = [None, None]  # logits of the contexts under the present weights
 
     def exponentials(self, which: int, context: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Of each token's outcomes, and their sum."""
         weights = self.weights[which]
-        logits = sum(weights[r] for r in self.contexts[which])[context]  # once for each context, not for each token
+        if self.summed[which] is None:  # once for each context, not for each token
+            self.summed[which] = sum(weights[r] for r in self.contexts[which])
+        logits = self.summed[which][context]
         for r in rows:
             logits += weights[r]
+        np.clip(logits, -40, 40, out=logits)
         np.exp(logits, out=logits)
         return logits, logits @ np.ones((logits.shape[1], 1), np.float32)
 
     def update(self, which: int, rows: np.ndarray, gradient: np.ndarray) -> None:
-        """Change distinct ``rows``; each row's rate falls with the gradients it has met."""
-        squares = self.squares[which][rows] + np.einsum("ij,ij->i", gradient, gradient) / np.float32(gradient.shape[1])
+        """Change distinct ``rows``; each weight's rate falls with the gradients it has met."""
+        squares = self.squares[which][rows] + gradient * gradient
         self.squares[which][rows] = squares
-        gradient *= (np.float32(RATE) / np.sqrt(squares))[:, None]
-        # the clip is far from what single precision holds in an exponential
-        self.weights[which][rows] = np.clip(self.weights[which][rows] - gradient, -8, 8)
+        self.weights[which][rows] -= np.float32(RATE) * gradient / np.sqrt(squares)
+        self.summed[which] = None
 
     def step(self, batch: Batch) -> None:
         """A gradient step of both softmaxes."""
@@ -193,8 +196,9 @@ class Model:
             error /= total
             error[np.arange(len(target)), target] -= 1
             used, summed = sum_by(context, error)
-            self.update(which, *sum_by(np.concatenate([r[used] for r in self.contexts[which]]), summed))
-            self.update(which, *sum_by(np.concatenate(rows), error))
+            of_contexts = sum_by(np.concatenate([r[used] for r in self.contexts[which]]), summed)
+            of_words = sum_by(np.concatenate(rows), error)
+            self.update(which, *sum_by(*(np.concatenate(x) for x in zip(of_contexts, of_words, strict=True))))
 
     def log10(self, batch: Batch) -> np.ndarray:
         """Log10 probability of each token's class and group."""

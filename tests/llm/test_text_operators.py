@@ -249,6 +249,28 @@ def test_gradient_steps_raise_the_likelihood():
     assert model.log10(batch).sum() > 0.3 * before
 
 
+def test_twenty_steps_learn_the_word_pairs():
+    model, batch = maxent_lm.Model(), maxent_lm.Batch(maxent_lm.Tokens(["the cat sat on the mat", "the dog sat on the rug"] * 40))
+    before = model.log10(batch).sum()
+    for _ in range(20):
+        model.step(batch)
+    assert model.log10(batch).sum() > 0.2 * before
+
+
+def test_word_pairs_are_features():
+    """The word after next tells nothing alone, nor the one before: the two together do."""
+    rng = random.Random(8)
+    pairs = [rng.choice(("ab", "ba", "aa", "bb")) for _ in range(4000)]
+    texts = [f"{'q' if x == 'a' else 'r'}xx {'q' if y == 'a' else 'r'}xx {'le' if x == y else 'on'}" for x, y in pairs]
+    model, batch = maxent_lm.Model(), maxent_lm.Batch(maxent_lm.Tokens(texts))
+    assert maxent_lm.class_of(b"le") != maxent_lm.class_of(b"on")
+    for _ in range(60):
+        model.step(batch)
+    outcomes, total = model.exponentials(0, *batch.softmaxes[0][:2])
+    third = np.arange(2, len(total), 4)
+    assert ((outcomes / total)[third, batch.softmaxes[0][2][third]] > 0.8).all()
+
+
 def test_tokens_equal_brute_force():
     rng = random.Random(6)
     texts = ["".join(rng.choice("aAbzÉé \t\n\x0b\x1c\xa0漢.") for _ in range(rng.randint(0, 60))) for _ in range(400)]
