@@ -80,6 +80,21 @@ def test_slots_must_be_consistent(spark):
     assert contaminated(spark, [good, bad], [item]) == {(0, 0)}
 
 
+def test_a_clash_cuts_an_instance_and_leaves_its_parts(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100)]
+    words[40] = words[60] = "12"
+    copy = " ".join(words)
+    edited = " ".join([*words[:60], "13", *words[61:]])
+    start = "we went to the shop on the corner and bought "
+    end = " each before the teacher came in and told everybody in the room to sit down and be quiet"
+    shop = start + "2 pencils at 2 dollars" + end
+    other = start + "3 pencils at 5 dollars" + end
+    merged = shop.replace("2 pencils", "3 pencils").replace("at 2", "at 5")
+    equal = shop.replace("2 pencils", "4 pencils").replace("at 2", "at 4")
+    assert contaminated(spark, [edited, other], [copy, shop]) == {(0, 0), (1, 1)}
+    assert contaminated(spark, [equal], [merged]) == {(0, 0)}
+
+
 def test_benchmark_passages_are_found(spark, documents, texts):
     bench = spark.read.parquet(f"{SF001}/benchmark.parquet")
 
