@@ -95,6 +95,17 @@ def test_a_clash_cuts_an_instance_and_leaves_its_parts(spark):
     assert contaminated(spark, [equal], [merged]) == {(0, 0)}
 
 
+def test_names_that_begin_sentences_and_names_of_other_lengths(spark):
+    item = "Tom has 5 apples. Ann gives him 3 more."
+    changed = "Bob has 7 apples. Sue gives him 4 more."
+    city = "the train from New York to the sea was late again and so we had to wait"
+    assert contaminated(spark, [changed, city.replace("New York", "Paris")], [item, city]) == {(0, 0), (1, 1)}
+    far = "People who moved to Rio de Janeiro said it was warm and that they liked the people they met there"
+    question = "What is the capital of France?"
+    texts = [far.replace("Rio de Janeiro", "Oslo"), "Question 3) What is the capital of France?", "we said nothing"]
+    assert contaminated(spark, texts, [far, question]) == {(0, 0), (1, 1)}
+
+
 def test_benchmark_passages_are_found(spark, documents, texts):
     bench = spark.read.parquet(f"{SF001}/benchmark.parquet")
 
