@@ -106,6 +106,12 @@ def test_names_that_begin_sentences_and_names_of_other_lengths(spark):
     assert contaminated(spark, texts, [far, question]) == {(0, 0), (1, 1)}
 
 
+def test_items_with_few_literals_are_found(spark):
+    items = ["What is 7 times 8?", "3 km 5 kg 7 cm 9 km 4 kg 2 cm 8 km 6 kg", "Anna, Boris, Clara, Diana"]
+    texts = ["so: " + x + " and on" for x in items] + ["What is 6 times 9?", "1 km 5 kg 7 cm 8 km 4 kg 3 cm 8 km 5 kg"]
+    assert contaminated(spark, texts, items) == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_benchmark_passages_are_found(spark, documents, texts):
     bench = spark.read.parquet(f"{SF001}/benchmark.parquet")
 
