@@ -17,9 +17,12 @@ ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fiel
 ENDS_SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table tbody thead select body div section article".split())
 
+#: skipped with what they hold if they are closed; may hold other elements, and one another
+SKIPPED = frozenset("svg template noscript".split())
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|title|iframe|head(?=[\s>]))\b[^>]*>(?:.*?</\1\s*>|.*?(?=<body\b)|.*\Z)"
+    r"|<(script|style|title|iframe)\b[^>]*>(?:.*?</\1\s*>|.*?(?=<body\b)|.*\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z][^<>]*>?"
     r"|<[!?/][^>]*>?",
@@ -38,12 +41,28 @@ def names_of(attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def skips_of(tokens: list[re.Match]) -> dict[int, int]:
+    """Numbers of the tokens that open an element of ``SKIPPED``, with those that close it."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {tag: [] for tag in SKIPPED}
+    for k, m in enumerate(tokens):
+        tag = (m[3] or "").lower()
+        if tag in SKIPPED:
+            if not m[2]:
+                if tag != "svg" or not m[4].endswith("/"):  # only foreign elements close themselves
+                    opened[tag].append(k)
+            elif opened[tag]:
+                ends[opened[tag].pop()] = k
+    return ends
+
+
 def blocks_of(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """``(path, text, linked characters)`` of every leaf block with text, in page order.
 
     A path names the open elements, each tag followed by ``.name`` for its classes, id and role.
-    References are decoded; white space in a block becomes one space.  Scripts, styles, the head and
-    comments give nothing.  Unclosed and unopened tags are borne.
+    References are decoded; white space in a block becomes one space.  Scripts, styles, titles, closed
+    elements of ``SKIPPED`` and comments give nothing; one that is not closed is its tag alone.  The
+    head is no element of a path: its end may be left out.  Unclosed and unopened tags are borne.
     """
     blocks: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []  # element and its path entries
@@ -79,10 +98,20 @@ def blocks_of(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                 linked += len(text)
 
     at, html = 0, html or ""
-    for m in TOKEN.finditer(html):
+    tokens = list(TOKEN.finditer(html))
+    ends, skip_to = skips_of(tokens), -1
+    for k, m in enumerate(tokens):
+        if k <= skip_to:
+            continue
         add(html[at : m.start()])
         at = m.end()
         tag = (m[3] or "").lower()
+        if tag in SKIPPED:
+            parts.append(" ")
+            if k in ends:
+                skip_to = ends[k]
+                at = tokens[skip_to].end()
+            continue
         if not tag:
             if m[1]:
                 parts.append(" ")
@@ -102,6 +131,8 @@ def blocks_of(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             parts.append(" ")
             continue
         flush()
+        if tag == "head":
+            continue
         if m[2]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:

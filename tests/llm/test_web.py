@@ -125,6 +125,21 @@ def test_blocks():
     assert [t for _, t, _ in html_blocks.blocks_of('<p title="a>b">x</p> 1 < 2')] == ["x", "1 < 2"]
 
 
+def test_optional_and_unclosed_tags_lose_no_text():
+    def found(page):
+        return [t for _, t, _ in html_blocks.blocks_of(page)]
+
+    page = "<html><head><title>T</title><meta charset=utf-8><style>a {}</style><article><p>Main</p></article>"
+    assert html_blocks.blocks_of(page) == [(("html", "article", "p"), "Main", 0)]
+    assert found('<p>a</p><svg class="i"/><article>Main</article>') == ["a", "Main"]
+    assert found('<svg class="i"/><article>Main</article><svg><text>no</text></svg><p>b</p>') == ["Main", "b"]
+    for tag in ("svg", "template", "noscript"):
+        assert found(f"<body><{tag}><article>Main</article>") == ["Main"]
+        assert found(f"<body><{tag}><article>Main</article><{tag}>no</{tag}><p>b</p>") == ["Main", "b"]
+    assert found("<p>a<svg>no<svg>no</svg>no</svg> b</p>") == ["a b"]
+    assert found("<svg><script>'</svg>'</script>no</svg><p>b</p>") == ["b"]
+
+
 def article_of(page):
     inner = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S)[1]
     text = re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|h1|br)>", " ", inner))
