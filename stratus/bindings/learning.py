@@ -165,8 +165,8 @@ def q_actual_vs_predicted(spark, sf):
 # --- forests: their values have no SQL form; what must hold of them row by row has ---------
 
 TREES, DEPTH = 100, 10
-#: forests of the queries that are about scoring, saving and loading, not about the fit
-SMALL = {"num_trees": 10, "max_depth": 5, "cv_folds": 0}
+#: forests of the queries that show nothing of cross-validation
+FORESTS = {"num_trees": TREES, "max_depth": DEPTH, "cv_folds": 0}
 KEY = ["event_id"]
 
 
@@ -301,11 +301,11 @@ def _cv(spark, sf, kind):
     train = reliable_checkpoint(train)
     if kind == "classification":
         folds = sampling.kfold(train, 5, key=KEY, label="Chuva")
-        pipe, label = models.rf_classifier(prep.features, "Chuva", "weight", 20, DEPTH), "Chuva"
+        pipe, label = models.rf_classifier(prep.features, "Chuva", "weight", TREES, DEPTH), "Chuva"
     else:
         h = sampling.hash_order(KEY)
         folds = sampling.kfold(train, 5, order=[h, *KEY], bucket=F.shiftright(h, 64 - sampling.HASH_BUCKET_BITS))
-        pipe, label = models.rf_regressor(prep.features, "rain_mm", 20, DEPTH), "rain_mm"
+        pipe, label = models.rf_regressor(prep.features, "rain_mm", TREES, DEPTH), "rain_mm"
     folds = reliable_checkpoint(folds)
     scores = models.cross_validate(folds, pipe, "fold", label, kind, 5)
     low = 0.0 if kind == "classification" else float("-inf")
@@ -343,7 +343,7 @@ FEATURES = [
 @query("feature_importance", "SELECT feature, TRUE AS importance_ok, TRUE AS adds_up FROM (VALUES " + ", ".join(f"('{f}')" for f in FEATURES) + ") v(feature)")
 def q_feature_importance(spark, sf):
     """Every feature once; importances lie in [0, 1] and add up to 1."""
-    bundle, _ = _train(spark, sf, **SMALL)
+    bundle, _ = _train(spark, sf, **FORESTS)
     found = models.feature_importance(bundle.classifier, bundle.features)
     total = found.agg(F.sum("importance")).scalar()
     return found.select("feature", _unit("importance").alias("importance_ok"), (F.abs(total - 1) < 1e-9).alias("adds_up"))
@@ -352,21 +352,21 @@ def q_feature_importance(spark, sf):
 @query("score_classifier", "SELECT event_id, TRUE AS prob_ok, TRUE AS label_ok FROM events")
 def q_score_classifier(spark, sf):
     """Every row scored once: a probability in [0, 1] and the label it stands for."""
-    bundle, _ = _train(spark, sf, **SMALL)
+    bundle, _ = _train(spark, sf, **FORESTS)
     return _checked(scoring.score_batch(bundle, training_table(spark, sf)).drop("quantidade_chuva_prevista_mm"))
 
 
 @query("score_regressor", "SELECT event_id, TRUE AS amount_ok FROM events")
 def q_score_regressor(spark, sf):
     """Every row scored once: an amount that is not negative."""
-    bundle, _ = _train(spark, sf, **SMALL)
+    bundle, _ = _train(spark, sf, **FORESTS)
     return _checked(scoring.score_batch(bundle, training_table(spark, sf)).drop("prob_chuva"))
 
 
 @query("score_batch", f"SELECT event_id, TRUE AS prob_ok, TRUE AS label_ok, TRUE AS amount_ok, TRUE AS decision_ok, {R('temp')} AS temp FROM {_obs_sql()} o")
 def q_score_batch(spark, sf):
     """Input rows + predicted event, probability, amount and the decision at a threshold of 0.3."""
-    bundle, _ = _train(spark, sf, **SMALL)
+    bundle, _ = _train(spark, sf, **FORESTS)
     scored = scoring.score_batch(bundle, training_table(spark, sf), threshold=0.3)
     decision = (F.col("vai_chover") == (F.col("prob_chuva") >= 0.3).cast("int")) & (F.abs(F.col("delta_pp") - (F.col("prob_chuva") - 0.3) * 100) < 1e-9)
     return _checked(scored).join(scored.select("event_id", decision.alias("decision_ok"), "temp"), "event_id")
@@ -375,7 +375,7 @@ def q_score_batch(spark, sf):
 @query("score_scenarios", "SELECT event_id, TRUE AS prob_ok, TRUE AS label_ok, TRUE AS amount_ok FROM events")
 def q_score_scenarios(spark, sf):
     """Every scenario row scored once."""
-    bundle, _ = _train(spark, sf, **SMALL)
+    bundle, _ = _train(spark, sf, **FORESTS)
     return _checked(scoring.score_scenarios(bundle, scenarios(spark, sf), SCENARIO_YEAR))
 
 
@@ -391,7 +391,7 @@ def q_score_scenarios(spark, sf):
 )
 def q_test_models(spark, sf):
     """Evaluation of a bundle on the rows that its training left out (one row per metric)."""
-    bundle, _ = _train(spark, sf, **SMALL)
+    bundle, _ = _train(spark, sf, **FORESTS)
     _, out = scoring.test_models(bundle, training_table(spark, sf), "Chuva", "rain_mm")
 
     def long(model, frame):
@@ -404,7 +404,7 @@ def q_test_models(spark, sf):
 @query("save_model", "SELECT event_id, TRUE AS same_label, TRUE AS same_prob, TRUE AS same_amount FROM events")
 def q_save_model(spark, sf):
     """Save the bundle, load it back and score with both: no difference in any row."""
-    bundle, _ = _train(spark, sf, **SMALL)
+    bundle, _ = _train(spark, sf, **FORESTS)
     again = persist.load_bundle(spark, persist.save_bundle(bundle, scratch_path(spark, "bundle")))
     rows = training_table(spark, sf)
     a, b = (scoring.score_batch(x, rows).select("event_id", F.struct("previsao_chuva", "prob_chuva", "quantidade_chuva_prevista_mm").alias(n)) for x, n in ((bundle, "a"), (again, "b")))
@@ -426,14 +426,14 @@ def _meta_row(meta):
 @query("load_model", _META_SQL)
 def q_load_model(spark, sf):
     """A loaded bundle's metadata (feature count, encoded columns, metrics, split)."""
-    bundle, _ = _train(spark, sf, **SMALL)
+    bundle, _ = _train(spark, sf, **FORESTS)
     return _meta_row(persist.metadata_frame(spark, persist.load_bundle(spark, persist.save_bundle(bundle, scratch_path(spark, "bundle")))))
 
 
 @query("save_metadata", _META_SQL)
 def q_save_metadata(spark, sf):
     """The metadata table written as JSON and read back."""
-    bundle, _ = _train(spark, sf, **SMALL)
+    bundle, _ = _train(spark, sf, **FORESTS)
     path = os.path.join(scratch_path(spark, "meta"), "metadata")
     meta = persist.metadata_frame(spark, bundle)
     meta.write.mode("overwrite").json(path)
@@ -444,5 +444,5 @@ def q_save_metadata(spark, sf):
 def q_sink_training_report(spark, sf):
     """The training report written as JSON and read back."""
     path = scratch_path(spark, "report")
-    _train(spark, sf, **SMALL)[1].write.mode("overwrite").json(path)
+    _train(spark, sf, **FORESTS)[1].write.mode("overwrite").json(path)
     return _with_test_rows(_metric_checks(spark.read.schema("model string, metric string, value double").json(path)))

@@ -102,3 +102,33 @@ def test_threshold_in_scoring(bundle, data):
 def test_metadata_holds_the_scalar_metrics(spark, bundle):
     row = persist.metadata_frame(spark, bundle[0]).first()
     assert 0 <= row["classification_metrics"]["accuracy"] <= 1 and row["regression_metrics"]["rmse"] >= 0
+
+
+class _Stop(Exception):
+    pass
+
+
+def test_queries_train_whole_forests(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from stratus.bindings import learning
+
+    met = []
+
+    def stop(*args, **options):
+        met.append((options["num_trees"], options["max_depth"]) if options else args[-2:])
+        raise _Stop
+
+    monkeypatch.setattr(learning, "training_table", lambda spark, sf: None)
+    monkeypatch.setattr(learning, "_split", lambda spark, sf: (SimpleNamespace(features=[]), None, None))
+    monkeypatch.setattr(learning, "reliable_checkpoint", lambda df: df)
+    monkeypatch.setattr(learning.sampling, "kfold", lambda *a, **k: None)
+    monkeypatch.setattr(learning.training, "train_models", stop)
+    monkeypatch.setattr(learning.models, "rf_classifier", stop)
+    monkeypatch.setattr(learning.models, "rf_regressor", stop)
+    runs = [lambda kind=kind: learning._cv(spark, None, kind) for kind in ("classification", "regression")]
+    runs += [lambda q=q: q(spark, None) for q in (learning.q_feature_importance, learning.q_score_batch, learning.q_load_model, learning.q_sink_training_report)]
+    for run in runs:
+        with pytest.raises(_Stop):
+            run()
+    assert met == [(100, 10)] * len(runs)
