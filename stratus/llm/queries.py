@@ -16,6 +16,7 @@ from stratus.llm import (
     simhash,
     source_audit,
     substring_dedup,
+    token_alignment,
     token_counts,
     warc,
 )
@@ -118,6 +119,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokens(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit_sources(table(spark, sf_dir, "documents"))
