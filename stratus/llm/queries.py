@@ -12,6 +12,7 @@ from stratus.llm import (
     langid,
     lz_fingerprint,
     maxent_lm,
+    minhash_join,
     sentencepiece_codec,
     simhash,
     source_audit,
@@ -163,3 +164,8 @@ WITH d AS (
 )
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """
+
+
+@query
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.minhash_components(table(spark, sf_dir, "documents"))
