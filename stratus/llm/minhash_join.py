@@ -12,9 +12,11 @@ limit itself, lies above it with probability 4e-6, one of 0.85 with 1e-9.
 
 Scale: equal sets are one class before anything is compared.  Classes that share a key are first
 joined as a star (each task does so for its own classes, so that a key many classes share is one
-row per task), the nearest partner of each class is confirmed, and components are formed.  Only keys
-whose classes then lie in several components are looked at again, in parts of bounded size, and
-only pairs across components are compared: links inside a component cannot change it.  Texts of
+row per task), and star pairs are confirmed: the nearest partner of each class first, then those that still lie
+across components.  Signatures also join classes to families: a key whose classes lie in several
+families is searched for near pairs between them.  The components of a family are then compared
+on full sets, in parts of bounded size that emit a spanning forest of links.  Neither step emits all pairs of
+a group, and a pair under the signature distance always has one family.  Texts of
 classes that have a candidate are read a second time for their sets; other sets never move.
 """
 
@@ -214,10 +216,8 @@ def sets_of(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
     return hashed.dropDuplicates(["cls"])  # rows that repeat both id and text
 
 
-def open_parts(classes: DataFrame, part_limit: int = PART_LIMIT) -> DataFrame:
-    """``(cls, component, n, sig)`` -> ``(node, cls, component, n, sig)``: the classes of every key that lie in several
-    components.  A key with over ``part_limit`` classes is cut into parts in which each class meets all
-    those of other components, but not its own largest one again and again."""
+def open_members(classes: DataFrame) -> DataFrame:
+    """``(cls, component, sig)`` -> ``(key, cls)``: the classes of every key that lie in several components."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,9 +228,17 @@ def open_parts(classes: DataFrame, part_limit: int = PART_LIMIT) -> DataFrame:
 
     keys = shared_table(bound_batches(classes.select("cls", "component", "sig")).mapInArrow(keyed, "key long, cls long, component long"), "class-keys")
     spans = keys.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    members = shared_table(keys.join(spans.where("low <> high").select("key"), "key"), "open-keys")
-    sizes = members.groupBy("key", "component").agg(F.count("*").alias("size"))
-    cut = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("all")).select(
+    return keys.join(spans.where("low <> high").select("key"), "key").select("key", "cls")
+
+
+def open_parts(members: DataFrame, classes: DataFrame, part_limit: int = PART_LIMIT) -> DataFrame:
+    """``(key, cls)`` and ``(cls, component, ...)`` -> ``(node, cls, component, ...)`` of the keys whose classes lie in
+    several components.  A key with over ``part_limit`` classes is cut into parts in which each class meets
+    all those of other components, but those of the largest one do not meet each other."""
+    placed = shared_table(members.join(classes.select("cls", "component"), "cls"), "open-keys")
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
+    cut = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("all"), F.count("*").alias("components"))
+    cut = cut.where("components > 1").select(
         "key",
         F.col("main.component").alias("main"),
         F.ceil(F.col("main.size") / part_limit).cast("int").alias("mains"),
@@ -238,44 +246,109 @@ def open_parts(classes: DataFrame, part_limit: int = PART_LIMIT) -> DataFrame:
         (F.col("all") <= part_limit).alias("whole"),
     )
     own = F.when(F.col("component") == F.col("main"), F.pmod(F.xxhash64("cls"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("cls"), F.col("others"))).cast("int")
-    dealt = members.join(cut, "key").withColumn("own", own)
+    dealt = placed.join(cut, "key").withColumn("own", own)
     against_others = F.expr("transform(sequence(0, others - 1), o -> concat(o, 'm', own))")
     other_side = F.expr("concat(transform(sequence(0, mains - 1), m -> concat(own, 'm', m)), transform(sequence(0, others - 1), o -> concat(least(o, own), 'o', greatest(o, own))))")
     parts = F.when(F.col("whole"), F.array(F.lit(""))).when(F.col("component") == F.col("main"), against_others).otherwise(other_side)
-    placed = dealt.select("cls", "key", F.explode(parts).alias("part")).select("cls", F.xxhash64("key", "part").alias("node"))
-    return placed.join(classes, "cls").select("node", "cls", "component", "n", "sig")
+    nodes = dealt.select("cls", "key", F.explode(parts).alias("part")).select("cls", F.xxhash64("key", "part").alias("node"))
+    return nodes.join(classes, "cls").select("node", *classes.columns)
 
 
-def pairs_across(parts: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)`` of one node and different components whose sizes and signatures allow the similarity."""
-
-    def search(cls, component, n, sig) -> pa.RecordBatch:
-        _, label, size = np.unique(component, return_inverse=True, return_counts=True)
-        order = np.lexsort((cls, label, -size[label]))  # the largest component first; its classes never start a search
-        cls, label, n, sig = cls[order], label[order], n[order], sig[order]
-        pairs = [np.empty((0, 2), dtype=np.int64)]
-        for i in range(size.max(), len(cls)):
-            others = np.flatnonzero((label[:i] != label[i]) & (np.minimum(n[:i], n[i]) * 100 >= np.maximum(n[:i], n[i]) * percent))
-            near = others[(sig[others] != sig[i]).sum(1) <= MAX_DISTANCE]
-            pairs.append(np.stack([np.minimum(cls[near], cls[i]), np.maximum(cls[near], cls[i])], 1))
-        both = np.concatenate(pairs)
-        return _batch(["a", "b"], both[:, 0], both[:, 1])
+def _search_nodes(parts: DataFrame, search) -> DataFrame:
+    """``(a, b)`` pairs that ``search(cls, component, payload)`` finds in each node; ``payload`` is the last column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = (*(_numbers(batch.column(i)) for i in range(4)), _signatures(batch.column(4)))
+            new = (*(_numbers(batch.column(i)) for i in range(3)), np.array(batch.column(3).to_pylist(), dtype=object))
             held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
             cuts = [0, *(np.flatnonzero(held[0][1:] != held[0][:-1]) + 1).tolist()]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):  # the last node may go on in the next batch
-                yield search(*(x[lo:hi] for x in held[1:]))
+                yield pairs(*(x[lo:hi] for x in held[1:]))
             held = tuple(x[cuts[-1] :] for x in held)
         if held is not None:
-            yield search(*held[1:])
+            yield pairs(*held[1:])
 
-    return bound_batches(parts.repartition("node").sortWithinPartitions("node")).mapInArrow(run, "a long, b long").distinct()
+    def pairs(cls, component, payload):
+        _, label, size = np.unique(component, return_inverse=True, return_counts=True)
+        order = np.lexsort((cls, label, -size[label]))  # the largest component first; its classes never start a search
+        found = np.array(search(cls[order], label[order], payload[order], int(size.max())), dtype=np.int64).reshape(-1, 2)
+        return _batch(["a", "b"], found.min(1, initial=1 << 62), found.max(1, initial=-1))
+
+    rows = parts.repartition("node").sortWithinPartitions("node")
+    return bound_batches(rows).mapInArrow(run, "a long, b long").distinct()
+
+
+def near_across(parts: DataFrame) -> DataFrame:
+    """``(node, cls, component, sig)`` -> ``(a, b)``: pairs near by signature that connect what is near in a node across
+    components (a class's nearest partner in each component before its own, not all pairs)."""
+
+    def search(cls, label, payload, start):
+        sig = np.frombuffer(b"".join(payload), dtype=np.uint16).reshape(len(payload), SYMBOLS)
+        for i in range(start, len(cls)):
+            others = np.flatnonzero(label[:i] != label[i])
+            distance = (sig[others] != sig[i]).sum(1)
+            near, distance = others[distance <= MAX_DISTANCE], distance[distance <= MAX_DISTANCE]
+            near = near[np.lexsort((distance, label[near]))]
+            for j in near[np.append(True, label[near[1:]] != label[near[:-1]])[: len(near)]]:
+                yield cls[i], cls[j]
+
+    return _search_nodes(parts.select("node", "cls", "component", "sig"), lambda *x: list(search(*x)))
+
+
+#: classes compared at once with all of a node, and elements of the node's sets looked at together
+SET_BLOCK, ELEMENT_BLOCK = 64, 1 << 18
+
+
+def similar_rows(sets: list[np.ndarray], start: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each place ``i`` from ``start``: the earlier places whose sets have the similarity with set ``i``."""
+    size = np.array([len(x) for x in sets])
+    last = np.cumsum(size)
+    for low in range(start, len(sets), SET_BLOCK):
+        block = sets[low : low + SET_BLOCK]
+        words, at = np.unique(np.concatenate(block), return_inverse=True)
+        holds = np.zeros((len(words), len(block)), dtype=np.uint8)
+        holds[at, np.repeat(np.arange(len(block)), [len(x) for x in block])] = 1
+        shared = np.zeros((low + len(block), len(block)), dtype=np.int64)
+        first = 0
+        while first < len(shared):
+            after = max(first + 1, int(np.searchsorted(last, (last[first - 1] if first else 0) + ELEMENT_BLOCK)))
+            rows = sets[first : min(after, len(shared))]
+            values = np.concatenate(rows)
+            place = np.minimum(np.searchsorted(words, values), len(words) - 1)
+            known = words[place] == values
+            owner = np.repeat(np.arange(first, first + len(rows)), [len(x) for x in rows])[known]
+            if len(owner):
+                new = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+                shared[owner[new]] = np.add.reduceat(holds[place[known]], new, axis=0, dtype=np.int64)
+            first += len(rows)
+        for k in range(len(block)):
+            i = low + k
+            yield i, np.flatnonzero(100 * shared[:i, k] >= percent * (size[:i] + size[i] - shared[:i, k]))
+
+
+def links_across(parts: DataFrame, percent: int) -> DataFrame:
+    """``(node, cls, component, hashes)`` -> ``(a, b)``: links by full sets that connect the components of a node as
+    all its links do (a spanning forest, not all pairs)."""
+
+    def search(cls, label, payload, start):
+        label = label.copy()
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in payload]
+        for i, linked in similar_rows(sets, start, percent):
+            while len(other := linked[label[linked] != label[i]]):
+                yield cls[i], cls[other[0]]
+                label[label == label[other[0]]] = label[i]
+
+    return _search_nodes(parts.select("node", "cls", "component", "hashes"), lambda *x: list(search(*x)))
+
+
+def labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` with the ``component`` that links put each in, written to the shared folder."""
+    roots = component_roots(links).withColumnsRenamed({"a": "cls", "root": "component"})
+    out = classes.join(roots, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    return shared_table(out, "labelled")
 
 
 def minhash_components(
@@ -302,17 +375,24 @@ def minhash_components(
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     nodes = shared_table(ends(candidates), "nodes")
     sets = shared_table(sets_of(classes.join(nodes, "cls", "left_semi"), docs, id_col, text_col, shingle), "candidate-sets")
+    # links: the nearest partner of each class, then the star pairs that still lie across components
     by_end = near.select(F.explode(F.array("a", "b")).alias("cls"), "a", "b", "distance")
-    nearest = by_end.groupBy("cls").agg(F.min(F.struct("distance", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
-    nearest = shared_table(nearest, "nearest")
+    nearest = shared_table(by_end.groupBy("cls").agg(F.min(F.struct("distance", "a", "b")).alias("best")).select("best.a", "best.b").distinct(), "nearest")
     links = shared_table(confirm(nearest, sets, percent), "links")
+    component = labelled(nodes, links)
+    of_a, of_b = (component.select(F.col("cls").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b"))
+    rest = near.join(of_a, "a").join(of_b, "b").where("of_a <> of_b").select("a", "b").join(nearest, ["a", "b"], "left_anti")
+    links = links.unionByName(shared_table(confirm(rest, sets, percent), "links"))
+    # families: what is near by signature, also where no star shows it
+    signed = linkable.select("cls", "sig").join(nodes, "cls", "left_semi")
+    family = labelled(signed, near)
+    more = shared_table(near_across(open_parts(open_members(family), family, part_limit)), "near")
+    family = labelled(nodes, near.select("a", "b").unionByName(more))
+    # links between the components of a family
+    component = labelled(sets, links)
+    parts = open_parts(family.select(F.col("component").alias("key"), "cls"), component, part_limit)
+    links = links.unionByName(shared_table(links_across(parts, percent), "links"))
     roots = component_roots(links).withColumnRenamed("a", "cls")
-    labelled = linkable.join(nodes, "cls", "left_semi").join(roots, "cls", "left").withColumn("component", F.coalesce("root", "cls"))
-    labelled = shared_table(labelled.select("cls", "component", "n", "sig"), "labelled")
-    across = pairs_across(open_parts(labelled, part_limit), percent)
-    across = shared_table(across.join(nearest, ["a", "b"], "left_anti"), "across")
-    all_links = links.unionByName(shared_table(confirm(across, sets, percent), "links"))
-    roots = component_roots(all_links).withColumnRenamed("a", "cls")
     rooted = classes.select("cls", "digest", F.col("doc_id").alias("least_id")).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     found = shared_table(rooted.select("digest", "root").join(least, "root").select("digest", "component_id"), "components")

@@ -115,12 +115,27 @@ def test_chains_near_misses_and_small_sets(spark):
 def test_parts_let_all_components_of_a_key_meet(spark):
     draw = random.Random(4)
     sig = mj.signature(mj.shingle_set("one text for all"))
-    rows = [(i, draw.choice([0, 0, 0, 0, 1, 2, 3]), 10, bytearray(sig.tobytes())) for i in range(60)]
-    classes = spark.createDataFrame(rows, "cls long, component long, n long, sig binary")
+    rows = [(i, draw.choice([0, 0, 0, 0, 1, 2, 3]), bytearray(sig.tobytes())) for i in range(60)]
+    classes = spark.createDataFrame(rows, "cls long, component long, sig binary")
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1]}
+    members = mj.open_members(classes)
+    assert members.count() == len(rows) * len(mj.KEYS)
     for limit in (1000, 7, 2):
-        pairs = [tuple(r) for r in mj.pairs_across(mj.open_parts(classes, limit), 80).collect()]
-        assert len(pairs) == len(want) and set(pairs) == want
+        nodes = {}
+        for r in mj.open_parts(members.where(f"key = {mj.key_values(sig[None])[0, 0]}"), classes, limit).collect():
+            nodes.setdefault(r.node, []).append((r.cls, r.component))
+        met = {(a[0], b[0]) for m in nodes.values() for a in m for b in m if a[0] < b[0] and a[1] != b[1]}
+        assert met == want and (limit == 1000) == (len(nodes) == 1)
+        near = {tuple(r) for r in mj.near_across(mj.open_parts(members, classes, limit)).collect()}
+        assert near < want and {i for p in near for i in p} >= {r[0] for r in rows if r[1]}
+
+
+def test_similar_rows_equal_to_pairs():
+    draw = random.Random(8)
+    sets = [np.array(sorted(draw.sample(range(40), draw.randint(1, 30))), dtype=np.uint64) for _ in range(150)]
+    for i, found in mj.similar_rows(sets, 20, 50):
+        x = set(sets[i].tolist())
+        assert found.tolist() == [j for j in range(i) if 100 * len(x & (y := set(sets[j].tolist()))) >= 50 * len(x | y)]
 
 
 def test_odd_and_empty_tables(spark, odd_docs, no_docs):
