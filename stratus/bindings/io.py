@@ -39,12 +39,13 @@ def _comma(c):
     return F.regexp_replace(c.cast("string"), r"\.", ",")
 
 
-def write_station_files(spark: SparkSession, sf: str, junk: bool = True) -> str:
+def write_station_files(spark: SparkSession, sf: str, junk: bool = True, extra: bool = False) -> str:
     """Station files (``user_id % 3`` gives the layout) under a fresh shared folder.
 
     Every partition of ``events`` is written as files of its own, each with the preamble and the
     header of its layout, so the writing is spread.  With ``junk`` each file ends with a line that
-    is no observation, and one more file has no header at all.
+    is no observation, and one more file has no header at all.  With ``extra`` every 50th event's line
+    has a value beyond the header's fields.
     """
     path = scratch_path(spark, "stations")
     ev = table(spark, sf, "events")
@@ -57,7 +58,8 @@ def write_station_files(spark: SparkSession, sf: str, junk: bool = True) -> str:
     heads, lines = [], []
     for f, columns in FILE_LAYOUT.items():
         fields = [F.date_format("ts", "yyyy/MM/dd"), F.concat(F.date_format("ts", "HHmm"), F.lit(" UTC")), F.col("event_id").cast("string")]
-        lines.append(F.when(layout == f, F.concat(F.concat_ws(";", *fields, *[values[h] for h in columns]), F.lit(";"))))
+        more = F.when((F.col("event_id") % 50 == 0) & F.lit(extra), "9;9;").otherwise("")
+        lines.append(F.when(layout == f, F.concat(F.concat_ws(";", *fields, *[values[h] for h in columns]), F.lit(";"), more)))
         head = [*[p.format(f=f"STATION {f}") for p in PREAMBLE], ";".join([H_DATE, H_HOUR, H_ID, *columns]) + ";"]
         heads.append(F.when(F.col("layout") == f, F.array(*map(F.lit, head))))
     rows = ev.select(part.alias("part"), layout.alias("layout"), F.lit(100).alias("no"), F.coalesce(*lines).alias("line"))
@@ -110,6 +112,20 @@ def q_scan_glob_union(spark, sf):
     return _engine_view(files.scan_glob_union(spark, path, path_glob="PART-*.CSV"))
 
 
+@query(
+    "scan_glob_union_quarantine",
+    f"""SELECT event_id, 'extra fields' AS reason, CAST(NULL AS DOUBLE) AS temp FROM events WHERE event_id % 50 = 0
+UNION ALL SELECT -1, 'no header', NULL
+UNION ALL SELECT event_id, 'row', {R("CASE WHEN event_id % 20 = 0 THEN NULL ELSE 15 + value / 20 END")} FROM events WHERE event_id % 50 <> 0""",
+)
+def q_scan_glob_union_quarantine(spark, sf):
+    """Where each line of the stacked files went: a row, or the quarantine with its reason."""
+    read = files.read_glob_union(spark, write_station_files(spark, sf, extra=True), path_glob="PART-*.CSV")
+    rows = _engine_view(read.rows).select("event_id", F.lit("row").alias("reason"), "temp")
+    held = read.quarantine.select(F.split("text", ";")[2].cast("long").alias("event_id"), "reason", F.lit(None).cast("double").alias("temp"))
+    return rows.unionByName(held)
+
+
 @query(
     "resolve_time_columns",
     "SELECT 'data' AS role, 'Data' AS \"column\", CAST(count(*) AS BIGINT) AS n_rows FROM events UNION ALL SELECT 'hora', 'Hora UTC', CAST(count(*) AS BIGINT) FROM events",

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from stratus.sources.station_csv import FILE_PATTERN, scan_station_csv
+from stratus.sources.station_csv import FILE_PATTERN, StationRead, read_station_files
 
 # microsecond timestamps survive a CSV round trip (the default keeps milliseconds)
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -29,24 +29,30 @@ def scan_csv(
     return r.csv(path if isinstance(path, str) else list(path))
 
 
-def scan_glob_union(
+def read_glob_union(
     spark: SparkSession,
     paths: str | Sequence[str],
     path_glob: str | None = FILE_PATTERN,
     recursive: bool = True,
     on_bad_file: str = "skip",
     **options,
-) -> DataFrame:
-    """All station files below the given folders or patterns, stacked by column name in one scan.
+) -> StationRead:
+    """All station files below the given folders or patterns, stacked by column name in one scan, with the
+    quarantine of what could not be read.
 
     ``path_glob`` matches file names in any case; paths are de-duplicated and sorted.  Columns that
-    a file lacks are NULL.  Files that cannot be read, or have no header, are left out
-    (``station_csv.station_files`` lists those without a header); it is an error if none is left.
+    a file lacks are NULL.  Files that cannot be read, or have no header, and lines that do not fit their
+    header are in ``.quarantine``; it is an error if no file is left.
     """
     paths = sorted({paths} if isinstance(paths, str) else set(paths))
     if not paths:
         raise ValueError("no input files")
-    return scan_station_csv(spark, paths, path_glob=path_glob, recursive=recursive, on_bad_file=on_bad_file, **options)
+    return read_station_files(spark, paths, path_glob=path_glob, recursive=recursive, on_bad_file=on_bad_file, **options)
+
+
+def scan_glob_union(spark: SparkSession, paths: str | Sequence[str], **options) -> DataFrame:
+    """The rows of :func:`read_glob_union`, which takes the same options."""
+    return read_glob_union(spark, paths, **options).rows
 
 
 def sink_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",") -> str:

@@ -8,7 +8,7 @@ from stratus.plans import preprocess
 from stratus.session import scratch_path
 from stratus.sources import files
 from stratus.sources import models as persist
-from stratus.sources.station_csv import scan_station_csv, station_files
+from stratus.sources.station_csv import read_station_files, scan_station_csv
 from tests.work import work
 
 
@@ -82,18 +82,102 @@ def test_file_without_header_among_good_ones(spark, tmp_path):
     with pytest.raises(ValueError, match="inmet_bad.csv"):
         scan_station_csv(spark, folder)
     assert files.scan_glob_union(spark, [folder, folder]).count() == 1
-    listed = {os.path.basename(r["file"]): r["header_at"] is not None for r in station_files(spark, folder, path_glob="*INMET*.csv").collect()}
+    listed = {os.path.basename(r["file"]): r["header_at"] is not None for r in read_station_files(spark, folder, path_glob="*INMET*.csv", on_bad_file="skip").files.collect()}
     assert listed == {"INMET_a.CSV": True, "inmet_bad.csv": False}
 
 
-def test_text_is_scanned_twice(spark, tmp_path):
+def test_lines_are_written_once(spark, tmp_path):
     for k in range(3):
         station_file(spark, tmp_path, f"f{k}.csv", [HEADER, *[f"2024/01/01;{h:02d}00 UTC;1;2;" for h in range(20)]])
     df = scan_station_csv(spark, f"file://{tmp_path}")
-    assert work(df)[0] <= 63 + 3  # the lines once more, and the table of headers
+    assert work(df)[0] <= 63 + 3  # the written lines, and the table of headers
     assert df.count() == 60
 
 
+@pytest.fixture
+def replanned(spark):
+    """Sets how many splits Spark plans; put back afterwards."""
+    names = ("spark.sql.files.minPartitionNum", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n, None) for n in names}
+
+    def plan(number, size="128MB"):
+        for n, v in zip(names, (number, size, "1"), strict=True):
+            spark.conf.unset(n) if v is None else spark.conf.set(n, str(v))
+
+    yield plan
+    for n, v in before.items():
+        spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def test_rows_do_not_depend_on_split_planning(spark, tmp_path, replanned):
+    """Six files of 950 rows, planned anew between the call and the action."""
+    for k in range(6):
+        rows = [f"2024/01/{1 + i % 28:02d};{i % 24:02d}00 UTC;{i};{k};" for i in range(950)]
+        station_file(spark, tmp_path, f"f{k}.csv", ["REGIAO:;SE", "ESTACAO:;X", HEADER, *rows])
+    for before, after in ((None, None), (1, 50), (50, 1), (2, 3), (3, 2), (50, 2)):
+        replanned(before)
+        df = scan_station_csv(spark, f"file://{tmp_path}")
+        replanned(after)
+        found = df.groupBy("source_file").count().collect()
+        assert len(found) == 6 and {r["count"] for r in found} == {950}
+
+
+def test_a_file_of_several_splits(spark, tmp_path, replanned):
+    rows = [f"2024/01/{1 + i % 28:02d};{i % 24:02d}00 UTC;{i};7;" for i in range(3000)]
+    station_file(spark, tmp_path, "f.csv", ["REGIAO:;SE", "Aviso", HEADER, *rows])
+    replanned(40, "4KB")
+    read = read_station_files(spark, f"file://{tmp_path}")
+    assert read.lines.select("at.block").distinct().count() > 10
+    replanned(1)
+    values = sorted(int(r[2]) for r in read.rows.collect())
+    assert values == list(range(3000))
+
+
+def test_bad_files_and_lines_are_quarantined(spark, tmp_path):
+    import gzip
+
+    good = [HEADER, *[f"2024/01/01;{h:02d}00 UTC;1;2;" for h in range(20)]]
+    station_file(spark, tmp_path, "inmet_a.csv", ["REGIAO:;SE", *good])
+    station_file(spark, tmp_path, "inmet_wide.csv", [*good, "2024/01/02;0000 UTC;1;2;3;", "2024/01/02;0100 UTC;1;2;;"])
+    station_file(spark, tmp_path, "inmet_bare.csv", ["2024/01/01;0000 UTC;1;2;", "x"])
+    packed = gzip.compress("\r\n".join(good * 50).encode("latin-1"))
+    for name, content in (("inmet_cut.csv.gz", packed[: len(packed) // 2]), ("inmet_noise.csv.gz", b"no gzip at all"), ("inmet_whole.csv.gz", packed), ("inmet_two.csv.gz", gzip.compress(b"") + packed)):
+        (tmp_path / name).write_bytes(content)
+    read = files.read_glob_union(spark, f"file://{tmp_path}", path_glob="*inmet*.csv*")
+    held = {(os.path.basename(r["file"]), r["text"], r["reason"].split(":")[0]) for r in read.quarantine.collect()}
+    assert held == {
+        ("inmet_bare.csv", "2024/01/01;0000 UTC;1;2;", "no header"),
+        ("inmet_bare.csv", "x", "no header"),
+        ("inmet_wide.csv", "2024/01/02;0000 UTC;1;2;3;", "extra fields"),
+        ("inmet_cut.csv.gz", None, "truncated gzip"),
+        ("inmet_noise.csv.gz", None, "broken gzip"),
+    }
+    heads = 2 + 1 + 1 + 1  # preamble and header lines
+    assert read.rows.count() + read.quarantine.where("text is not null").count() + heads == read.lines.count()
+    assert read.rows.count() == 20 + 21 + 2 * (50 * 21 - 1)
+    assert read.quarantine.where("text is not null and address is null").count() == 0
+
+
+def test_lines_that_do_not_fit_are_an_error_unless_skipped(spark, tmp_path):
+    station_file(spark, tmp_path, "f.csv", [HEADER, "2024/01/01;0000 UTC;1;2;3;"])
+    with pytest.raises(Exception, match="more values than header fields"):
+        scan_station_csv(spark, f"file://{tmp_path}").collect()
+
+
+def test_an_unreadable_file_is_found_by_the_scan(spark, tmp_path):
+    """A file whose checksum fails is no broken archive; the scan itself names it."""
+    folder = tmp_path / "checked"
+    spark.createDataFrame([(HEADER,), ("2024/01/01;0000 UTC;1;2;",)], "line string").coalesce(1).write.text(str(folder / "good"))
+    spark.createDataFrame([(HEADER,), ("2024/01/01;0100 UTC;1;2;",)], "line string").coalesce(1).write.text(str(folder / "bad"))
+    part = next((folder / "bad").glob("part-*.txt"))
+    part.write_bytes(part.read_bytes().replace(b"0100", b"0200"))
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        scan_station_csv(spark, f"file://{folder}", recursive=True)
+    read = read_station_files(spark, f"file://{folder}", recursive=True, on_bad_file="skip")
+    assert read.rows.count() == 1
+    assert [(os.path.basename(r["file"]), r["reason"]) for r in read.quarantine.collect()] == [(part.name, "unreadable")]
+
+
 def test_two_yearly_files_of_a_station_are_one_series(spark, tmp_path):
     for year, first in ((2022, "2022/12/31"), (2023, "2023/01/01")):
         rows = [f"{first};{h:02d}00 UTC;{h + 0.5 if year == 2022 else 100 + h};{50 + h};" for h in range(24)]
