@@ -51,29 +51,40 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
-    return found.selectExpr("doc_id", "unit", "start", "end AS stop", "n_words", "kept_doc_id", "kept_unit", "kept_start")
+    return found.selectExpr("doc_id", "unit", "start", "end AS stop", "n_words", "kept_doc_id", "kept_unit", "kept_start", "passage", "passage_words")
 
 
 ORACLE["op3_substring_dedup"] = r"""
 WITH cut AS (
-  SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL
-), units AS (
-  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS unit FROM cut
+  SELECT doc_id, string_split(regexp_replace(text, '([.!?…؟।][ \t]+|\n[ \t\r\f\v]*|[。！？]+[ \t]*)', '\1' || chr(31), 'g'), chr(31)) AS pieces
+  FROM documents WHERE text IS NOT NULL
+), pieced AS (
+  SELECT doc_id, unnest(pieces) AS piece, unnest(range(len(pieces))) AS place FROM cut
 ), placed AS (
-  SELECT doc_id, unit, line,
-         coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-         trim(regexp_replace(lower(line), '[	-
- ]+', ' ', 'g')) AS norm
-  FROM units
+  SELECT doc_id, place, piece,
+         coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+         trim(regexp_replace(lower(piece), '[ \t\r\f\v\n]+', ' ', 'g')) AS norm
+  FROM pieced
 ), counted AS (
-  SELECT *, length(norm) - length(replace(norm, ' ', '')) + 1 AS n_words FROM placed WHERE norm <> ''
+  SELECT *, length(norm) - length(regexp_replace(norm, '[\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]', '', 'g')) AS alone,
+         trim(regexp_replace(norm, '[ \x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]+', ' ', 'g')) AS spaced
+  FROM placed WHERE norm <> ''
+), units AS (
+  SELECT doc_id, norm, start, start + length(regexp_replace(piece, '[ \t\r\f\v\n]+$', '')) AS stop,
+         row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS unit,
+         (alone + 1) // 2 + CASE WHEN spaced = '' THEN 0 ELSE length(spaced) - length(replace(spaced, ' ', '')) + 1 END AS n_words
+  FROM counted
 ), ranked AS (
   SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(unit) OVER w AS kept_unit, first_value(start) OVER w AS kept_start
-  FROM counted WHERE n_words >= 5 WINDOW w AS (PARTITION BY norm ORDER BY doc_id, unit)
+  FROM units WINDOW w AS (PARTITION BY norm ORDER BY doc_id, unit)
+), later AS (
+  SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM ranked WHERE doc_id <> kept_doc_id OR unit <> kept_unit
+), passages AS (
+  SELECT *, min(unit) OVER (PARTITION BY doc_id, run) AS passage, sum(n_words) OVER (PARTITION BY doc_id, run) AS passage_words FROM later
 )
-SELECT doc_id, CAST(unit AS INTEGER) AS unit, CAST(start AS INTEGER) AS start, CAST(start + length(line) AS INTEGER) AS stop,
-       CAST(n_words AS INTEGER) AS n_words, kept_doc_id, CAST(kept_unit AS INTEGER) AS kept_unit, CAST(kept_start AS INTEGER) AS kept_start
-FROM ranked WHERE doc_id <> kept_doc_id OR unit <> kept_unit
+SELECT doc_id, CAST(unit AS INTEGER) AS unit, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, CAST(n_words AS INTEGER) AS n_words,
+       kept_doc_id, CAST(kept_unit AS INTEGER) AS kept_unit, CAST(kept_start AS INTEGER) AS kept_start, CAST(passage AS INTEGER) AS passage, CAST(passage_words AS BIGINT) AS passage_words
+FROM passages WHERE passage_words >= 20
 """
 
 

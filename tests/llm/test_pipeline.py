@@ -3,7 +3,9 @@
 import re
 
 import corpus_pipeline
+from stratus.llm import substring_dedup
 from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_text_operators import brute_passages
 
 SF001 = "/root/testdata/sf0.001"
 
@@ -17,16 +19,11 @@ def by_hand(spark, texts):
     ids = sorted(kept)
     roots = brute_components([brute_fingerprint(kept[i]) for i in ids])
     kept = {i: kept[i] for k, i in enumerate(ids) if roots[k] == k}
-    seen, out = set(), {}
+    gone, out = brute_passages(kept, substring_dedup.MIN_WORDS), {}
     for i in sorted(kept):
-        rest = []
-        for line in kept[i].split("\n"):
-            norm = " ".join(line.lower().split())
-            if len(norm.split()) < 5 or norm not in seen:
-                rest.append(line)
-            seen.add(norm)
-        if "\n".join(rest).strip():
-            out[i] = "\n".join(rest)
+        rest = substring_dedup.without_units(kept[i], "sentence", set(gone.get(i, ())))
+        if rest.strip():
+            out[i] = rest
     items = [words(r.text) for r in spark.read.parquet(f"{SF001}/benchmark.parquet").collect()]
     return {i: t for i, t in out.items() if not any(x in words(t) for x in items)}
 

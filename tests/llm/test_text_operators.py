@@ -27,7 +27,7 @@ def test_substring_query_equals_sql(spark):
 
 
 def test_repeated_spans_of_odd_rows(odd_docs, no_docs):
-    rows = substring_dedup.repeated_spans(odd_docs).collect()
+    rows = substring_dedup.repeated_spans(odd_docs, unit="line", min_words=5).collect()
     texts = {}
     for r in odd_docs.collect():
         texts.setdefault(r.doc_id, []).append(r.text)
@@ -39,7 +39,7 @@ def test_repeated_spans_of_odd_rows(odd_docs, no_docs):
 
 
 def test_drop_repeats_cuts_and_keeps(spark, odd_docs, no_docs):
-    out = substring_dedup.drop_repeats(odd_docs)
+    out = substring_dedup.drop_repeats(odd_docs, min_words=5)
     assert out.columns == odd_docs.columns
     texts = Counter((r.doc_id, r.text) for r in out.collect())
     assert texts[(2, "and a third line of its own here")] == 1
@@ -48,11 +48,113 @@ def test_drop_repeats_cuts_and_keeps(spark, odd_docs, no_docs):
     assert substring_dedup.drop_repeats(no_docs).count() == 0
 
 
+def brute_units(text):
+    """Sentences inside lines, character by character: ``(start, end, normalised)``."""
+    out, start, i = [], 0, 0
+    ends = []
+    while i < len(text):
+        j = i + 1
+        if text[i] == "\n":
+            while j < len(text) and text[j] in " \t\r\f\v":
+                j += 1
+            ends.append(j)
+        elif text[i] in ".!?…؟।" and j < len(text) and text[j] in " \t":
+            while j < len(text) and text[j] in " \t":
+                j += 1
+            ends.append(j)
+        elif text[i] in "。！？":
+            while j < len(text) and text[j] in "。！？":
+                j += 1
+            while j < len(text) and text[j] in " \t":
+                j += 1
+            ends.append(j)
+        i = j
+    for end in [*ends, len(text)]:
+        piece = text[start:end].rstrip(" \t\r\f\v\n")
+        norm = " ".join(w for w in re.split("[ \t\r\f\v\n]+", piece.lower()) if w)
+        if norm:
+            out.append((start, start + len(piece), norm))
+        start = end
+    return out
+
+
+def brute_passages(texts, min_words):
+    """``{doc_id: text}`` -> ``{doc_id: [unit, ...]}`` of the units to remove."""
+    seen, gone = set(), {}
+    for doc_id in sorted(texts):
+        run = []
+        for unit, (_, _, norm) in enumerate([*brute_units(texts[doc_id]), (0, 0, None)]):
+            if norm is not None and norm in seen:
+                run.append((unit, substring_dedup.count_words(norm)))
+                continue
+            if run and sum(n for _, n in run) >= min_words:
+                gone.setdefault(doc_id, []).extend(u for u, _ in run)
+            run = []
+            seen.add(norm)
+    return gone
+
+
+SENTENCES = [f"{'word' * (i % 3 + 1)} {i} is here" + " and more" * (i % 4) for i in range(40)]
+
+
+def made_texts(seed):
+    draw = random.Random(seed)
+    passage = ". ".join(f"Passage part {i} with {' '.join(f'w{i}x{k}' for k in range(draw.randint(1, 9)))}" for i in range(12)) + "."
+    texts = {}
+    for i in range(60):
+        parts = [draw.choice(SENTENCES) + draw.choice([". ", "! ", ".\n", "\n  ", "? \n"]) for _ in range(draw.randint(0, 6))]
+        if draw.random() < 0.4:
+            parts.insert(draw.randint(0, len(parts)), passage + draw.choice([" ", "\n"]))
+        if draw.random() < 0.2:
+            parts.append("漢字の文章がここにあります。とても長い文です。" * draw.randint(1, 3))
+        texts[i] = draw.choice(["", "  "]) + "".join(parts)
+    return texts, passage
+
+
+def test_passages_equal_to_brute_force(spark):
+    texts, passage = made_texts(5)
+    for t in texts.values():
+        assert list(substring_dedup.spans_of(t, "sentence")) == brute_units(t)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    for least in (1, 20, 60):
+        want = brute_passages(texts, least)
+        got = {}
+        for r in substring_dedup.repeated_spans(docs, min_words=least).collect():
+            got.setdefault(r.doc_id, []).append(r.unit)
+            first = brute_units(texts[r.kept_doc_id])[r.kept_unit]
+            assert brute_units(texts[r.doc_id])[r.unit][2] == first[2] and first[0] == r.kept_start and r.passage_words >= least
+        assert {i: sorted(u) for i, u in got.items()} == want
+        out = {r.doc_id: r.text for r in substring_dedup.drop_repeats(docs, min_words=least).collect()}
+        for i, t in texts.items():
+            units = brute_units(t)
+            if i not in want:
+                assert out[i] == t
+            else:
+                rest = "".join(t[a:b] for u, (a, b, _) in enumerate(units) if u not in want[i])
+                assert "".join((out.get(i) or "").split()) == "".join(rest.split())
+        holders = [i for i, t in texts.items() if passage in t]
+        assert holders and all(passage not in out.get(i, "") for i in holders[1:]) and passage in out[holders[0]]
+
+
+def test_line_ends_stay_where_units_go():
+    cut = lambda text, lost: substring_dedup.without_units(text, "sentence", lost)
+    assert cut("A b. C d.\nE f. G h.\n", set()) == "A b. C d.\nE f. G h.\n"
+    assert cut("A b. C d.\nE f. G h.\n", {1}) == "A b.\nE f. G h.\n"
+    assert cut("A b. C d.\nE f. G h.\n", {1, 2}) == "A b.\nG h.\n"
+    assert cut("  A b. C d.", {0}) == "C d." and cut("A b. C d.", {1}) == "A b." and cut("A b.", {0}) == ""
+    assert cut("一二。三四。五六。", {1}) == "一二。五六。"
+
+
+def test_words_of_scripts_without_spaces():
+    assert substring_dedup.count_words("a b c") == 3 and substring_dedup.count_words("漢字の文") == 2
+    assert substring_dedup.count_words("ab 漢字 c") == 3 and substring_dedup.count_words("é") == 1
+
+
 def test_paragraphs(spark):
     docs = spark.createDataFrame([(1, "First  paragraph of five words\n\nOwn paragraph with words in it", 0), (2, "x\n \nFIRST paragraph of five words\n", 0)], "doc_id long, text string, n_chars long")
-    rows = substring_dedup.repeated_spans(docs, unit="paragraph").collect()
+    rows = substring_dedup.repeated_spans(docs, unit="paragraph", min_words=5).collect()
     assert [(r.doc_id, r.unit, r.start, r.kept_doc_id) for r in rows] == [(2, 1, 4, 1)]
-    assert {r.doc_id: (r.text, r.n_chars) for r in substring_dedup.drop_repeats(docs, unit="paragraph").collect()}[2] == ("x", 1)
+    assert {r.doc_id: (r.text, r.n_chars) for r in substring_dedup.drop_repeats(docs, unit="paragraph", min_words=5).collect()}[2] == ("x", 1)
 
 
 # --- decontamination
