@@ -78,9 +78,9 @@ WITH cut AS (
   SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(unit) OVER w AS kept_unit, first_value(start) OVER w AS kept_start
   FROM units WINDOW w AS (PARTITION BY norm ORDER BY doc_id, unit)
 ), later AS (
-  SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM ranked WHERE doc_id <> kept_doc_id OR unit <> kept_unit
+  SELECT *, kept_unit - unit AS shift, unit - row_number() OVER (PARTITION BY doc_id, kept_doc_id, kept_unit - unit ORDER BY unit) AS run FROM ranked WHERE doc_id <> kept_doc_id OR unit <> kept_unit
 ), passages AS (
-  SELECT *, min(unit) OVER (PARTITION BY doc_id, run) AS passage, sum(n_words) OVER (PARTITION BY doc_id, run) AS passage_words FROM later
+  SELECT *, min(unit) OVER w AS passage, sum(n_words) OVER w AS passage_words FROM later WINDOW w AS (PARTITION BY doc_id, kept_doc_id, shift, run)
 )
 SELECT doc_id, CAST(unit AS INTEGER) AS unit, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, CAST(n_words AS INTEGER) AS n_words,
        kept_doc_id, CAST(kept_unit AS INTEGER) AS kept_unit, CAST(kept_start AS INTEGER) AS kept_start, CAST(passage AS INTEGER) AS passage, CAST(passage_words AS BIGINT) AS passage_words

@@ -3,8 +3,8 @@
 Method: texts are cut into units (sentences inside lines, whole lines, or paragraphs between blank
 lines).  A unit is normalised (lower case, runs of ASCII white space as one space, ends trimmed)
 and digested (128 bits).  Digests are grouped over all documents; the occurrence with the lowest rank
-(document id, then position) stays.  Adjacent later occurrences in a document make a passage, and
-every passage of ``min_words`` words or more is removed.  The original offsets of what is removed, and
+(document id, then position) stays.  Adjacent later occurrences in a document whose first occurrences
+follow one another likewise make a passage, and every passage of ``min_words`` words or more is removed.  The original offsets of what is removed, and
 where each unit stays, are the result; texts are rebuilt from it.
 
 The minimum belongs to the passage, not to the unit, so that a repeated passage goes with its short
@@ -81,7 +81,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     passage_words, text_key``.
 
     ``start`` and ``end`` are code points of the original text, ``kept_*`` name the occurrence
-    that stays, ``passage`` is the first unit of the run of later occurrences that the unit is in.  Rows with
+    that stays, ``passage`` is the first unit of the passage that the unit is in.  Rows with
     the same id and text are one document; a null id ranks last.  Null, empty and wordless texts, and passages
     under ``min_words`` words, give no rows.  Other columns are not looked at.
     """
@@ -90,13 +90,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # a table of its own, so that the join below may split a frequent digest
     first = shared_table(units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
     later = units.join(first, "digest").where(rank != F.col("first"))
-    kept = [F.col(f"first.{c}").alias(f"kept_{c}") for c in ("doc_id", "unit", "start")]
+    kept = [F.col(f"first.{c}").alias(f"kept_{c}") for c in ("doc_id", "unit", "start", "text_key")]
     later = later.select("doc_id", "unit", "start", "end", "n_words", *kept, "text_key")
-    # all windows below are of one document
-    own = Window.partitionBy("doc_id", "text_key")
-    once = later.withColumn("before", F.lag("unit").over(own.orderBy("unit"))).where("before is null or before <> unit")  # rows may repeat id and text
-    run = once.withColumn("run", F.col("unit") - F.row_number().over(own.orderBy("unit")))
-    passage = Window.partitionBy("doc_id", "text_key", "run")
+    # all windows below are of one document, less where rows repeat id and text
+    own = Window.partitionBy("doc_id", "text_key").orderBy("unit")
+    once = later.withColumn("before", F.lag("unit").over(own)).where("before is null or before <> unit")
+    source = ["doc_id", "text_key", "kept_doc_id", "kept_text_key", "shift"]
+    run = once.withColumn("shift", F.col("kept_unit") - F.col("unit")).withColumn("run", F.col("unit") - F.row_number().over(Window.partitionBy(*source).orderBy("unit")))
+    passage = Window.partitionBy(*source, "run")
     summed = run.withColumn("passage", F.min("unit").over(passage)).withColumn("passage_words", F.sum("n_words").over(passage))
     columns = ["doc_id", "unit", "start", "end", "n_words", "kept_doc_id", "kept_unit", "kept_start", "passage", "passage_words", "text_key"]
     return summed.where(F.col("passage_words") >= min_words).select(*columns)

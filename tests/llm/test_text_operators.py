@@ -80,17 +80,20 @@ def brute_units(text):
 
 def brute_passages(texts, min_words):
     """``{doc_id: text}`` -> ``{doc_id: [unit, ...]}`` of the units to remove."""
-    seen, gone = set(), {}
+    seen, gone = {}, {}
     for doc_id in sorted(texts):
-        run = []
+        run, last = [], None
         for unit, (_, _, norm) in enumerate([*brute_units(texts[doc_id]), (0, 0, None)]):
-            if norm is not None and norm in seen:
+            at = seen.get(norm)
+            if run and (at is None or at != (last[0], last[1] + 1)):
+                if sum(n for _, n in run) >= min_words:
+                    gone.setdefault(doc_id, []).extend(u for u, _ in run)
+                run = []
+            if at is not None:
                 run.append((unit, substring_dedup.count_words(norm)))
-                continue
-            if run and sum(n for _, n in run) >= min_words:
-                gone.setdefault(doc_id, []).extend(u for u, _ in run)
-            run = []
-            seen.add(norm)
+                last = at
+            elif norm is not None:
+                seen[norm] = (doc_id, unit)
     return gone
 
 
