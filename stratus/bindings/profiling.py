@@ -358,6 +358,15 @@ def q_correlation_matrix(spark, sf):
     return profile.correlation_matrix(gappy(spark, sf), CORR_COLS)
 
 
+WIDE_COLS = [c for c in GAPPY_COLS if c not in ("ts", "event_type")] + ["phase"]
+
+
+@query("correlation_matrix_wide", _corr_sql(WIDE_COLS, f"(SELECT g.*, event_id % 7 AS phase FROM {gappy_sql()} g) w"))
+def q_correlation_matrix_wide(spark, sf):
+    """Sixteen columns: correlated in blocks of column pairs."""
+    return profile.correlation_matrix(gappy(spark, sf).withColumn("phase", F.col("event_id") % 7), WIDE_COLS)
+
+
 @query(
     "top_correlations",
     "SELECT col_a, col_b, r, abs_r FROM (SELECT col_a, col_b, r, "

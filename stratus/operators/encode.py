@@ -37,17 +37,22 @@ def label_encode_fit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return ranked.select("column", "value", (F.col("__pos") - 1).alias("code"))
 
 
-def label_encode_apply(df: DataFrame, encoder: DataFrame, columns: Sequence[str] | None = None, unknown: int = -1) -> DataFrame:
+def label_encode_apply(df: DataFrame, encoder: DataFrame, columns: Sequence[str] | None = None, unknown: int | str = -1) -> DataFrame:
     """Replace each encoded column by its code; values unseen at fit time -> ``unknown``.
 
-    Without ``columns`` the encoder's are read (one row each).
+    With ``unknown="raise"`` the query that meets such a value fails and names the column and the value,
+    in the same pass.  Without ``columns`` the encoder's are read (one row each).
     """
+    if isinstance(unknown, str) and unknown != "raise":
+        raise ValueError("unknown is a code or 'raise'")
     columns = list(columns) if columns is not None else [r[0] for r in encoder.select("column").distinct().collect()]
     out = df
     for i, c in enumerate(columns):
         lookup = encoder.where(F.col("column") == c).select(F.col("value").alias(f"__v{i}"), F.col("code").alias(f"__c{i}"))
         out = join_lookup(out.withColumn(f"__v{i}", category_text(c)), lookup, [f"__v{i}"])
-        out = out.withColumn(c, F.coalesce(F.col(f"__c{i}"), F.lit(unknown)).cast("long")).drop(f"__v{i}", f"__c{i}")
+        refuse = F.raise_error(F.concat(F.lit(f"unknown value in column {c}: "), F.col(f"__v{i}"))).cast("long")
+        other = refuse if unknown == "raise" else F.lit(unknown).cast("long")
+        out = out.withColumn(c, F.when(F.col(f"__c{i}").isNull(), other).otherwise(F.col(f"__c{i}").cast("long"))).drop(f"__v{i}", f"__c{i}")
     return out.select(*df.columns)
 
 

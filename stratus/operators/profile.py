@@ -356,21 +356,36 @@ def mean_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return means.join(medians, "column", "left").select("column", "mean", "median")
 
 
+def _pearson(x: Column, y: Column) -> Column:
+    """Pearson r of two columns that are missing together; NULL where one is constant."""
+    # merged moments of a constant need not be exactly zero
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
 def _pair_stats(df: DataFrame, a: str, b: str) -> tuple[Column, Column]:
     """Pearson r over rows where both are present (NULL for constant input) and the pair count."""
     both = ~_missing(df, a) & ~_missing(df, b)
     xa = F.when(both, F.col(a).cast("double"))
     xb = F.when(both, F.col(b).cast("double"))
-    r = F.try_divide(F.covar_pop(xa, xb), F.stddev_pop(xa) * F.stddev_pop(xb))
-    return r, F.count(xa)
+    return _pearson(xa, xb), F.count(xa)
+
+
+#: more columns than this are correlated in blocks
+WIDE_COLUMNS = 12
+#: columns on each side of a block
+BLOCK_COLUMNS = 3
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, min_periods: int = 1) -> DataFrame:
     """Pairwise Pearson correlation, long form (col_a, col_b, r, n_pairs), every ordered pair.
 
-    One aggregate computes all i ≤ j pairs; the matrix is mirrored in the projection.
+    Up to ``WIDE_COLUMNS`` columns one aggregate computes all i ≤ j pairs; the matrix is mirrored in
+    the projection.  More columns are correlated in blocks (:func:`_block_correlations`).
     """
     columns = list(columns) if columns is not None else numeric_columns(df)
+    if len(columns) > WIDE_COLUMNS:
+        return _block_correlations(df, columns, min_periods)
     aggs = []
     idx = {}
     for i, a in enumerate(columns):
@@ -388,6 +403,41 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, min_
     return _long(wide, structs)
 
 
+def _block_correlations(df: DataFrame, columns: Sequence[str], min_periods: int) -> DataFrame:
+    """The matrix of any number of columns in one read.
+
+    A row becomes one long row per pair of blocks of ``BLOCK_COLUMNS`` columns; every group of block pairs has
+    the same few aggregates, summed on the map side, so neither the plan nor an aggregate's buffers
+    grow with the number of pairs.
+    """
+    size, width = BLOCK_COLUMNS, -(-len(columns) // BLOCK_COLUMNS)
+    values = [F.when(~_missing(df, c), F.col(c).cast("double")) for c in columns]
+    row = F.array(*values, *[F.lit(None).cast("double")] * (size * width - len(columns)))
+    pairs = F.expr(f"flatten(transform(sequence(0, {width - 1}), i -> transform(sequence(i, {width - 1}), j -> named_struct('i', i, 'j', j))))")
+    blocks = df.select(row.alias("v"), F.explode(pairs).alias("b")).select(
+        "b.i",
+        "b.j",
+        *[F.col("v")[F.col("b.i") * size + k].alias(f"x{k}") for k in range(size)],
+        *[F.col("v")[F.col("b.j") * size + k].alias(f"y{k}") for k in range(size)],
+    )
+    aggs, structs = [], []
+    for p in range(size):
+        for q in range(size):
+            both = F.col(f"x{p}").isNotNull() & F.col(f"y{q}").isNotNull()
+            x, y = F.when(both, F.col(f"x{p}")), F.when(both, F.col(f"y{q}"))
+            aggs += [_pearson(x, y).alias(f"r{p}_{q}"), F.count(x).alias(f"n{p}_{q}")]
+            structs.append(F.struct((F.col("i") * size + p).alias("a"), (F.col("j") * size + q).alias("b"), F.col(f"r{p}_{q}").alias("r"), F.col(f"n{p}_{q}").alias("n")))
+    found = blocks.groupBy("i", "j").agg(*aggs).select(F.inline(F.array(*structs)))
+    # every pair has a row, also of a table without rows
+    last = len(columns) - 1
+    spine = df.sparkSession.range(1).select(F.explode(F.expr(f"flatten(transform(sequence(0, {last}), a -> transform(sequence(a, {last}), b -> named_struct('a', a, 'b', b))))")).alias("p"))
+    found = spine.select("p.a", "p.b").join(found, ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    mirrored = found.select(F.explode(both).alias("p"), F.when(F.col("n") >= min_periods, F.col("r")).alias("r"), F.col("n").cast("long").alias("n_pairs"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return mirrored.select(names[F.col("p.a")].alias("col_a"), names[F.col("p.b")].alias("col_b"), "r", "n_pairs")
+
+
 def top_correlations(df: DataFrame, columns: Sequence[str] | None = None, n: int = 10, min_periods: int = 1) -> DataFrame:
     """Pairs i < j with the largest |r| (ties by names)."""
     columns = list(columns) if columns is not None else numeric_columns(df)

@@ -8,7 +8,7 @@ than ~n/2^bits rows even when one class holds most rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,21 +52,54 @@ def _hash_rank(df: DataFrame, key: Sequence[str], group: Sequence[str], seed: in
     return ranked.drop("__h", "__all")
 
 
-def random_split(df: DataFrame, key: Sequence[str], test_fraction: float = 0.2, seed: int = 42, bits: int = HASH_BUCKET_BITS, out: str = "is_test") -> DataFrame:
-    """Exactly ``ceil(test_fraction · n)`` rows flagged ``is_test`` (the lowest hashes)."""
+def _below(fraction: Column | float) -> Column:
+    """The signed 64-bit hash under which a ``fraction`` of all hashes lies, as a double."""
+    return F.lit(-(2.0**63)) + F.lit(2.0**64) * (F.lit(fraction) if isinstance(fraction, float) else fraction)
+
+
+def random_split(
+    df: DataFrame, key: Sequence[str], test_fraction: float = 0.2, seed: int = 42, bits: int = HASH_BUCKET_BITS, out: str = "is_test", exact: bool = True
+) -> DataFrame:
+    """Exactly ``ceil(test_fraction · n)`` rows flagged ``is_test`` (the lowest hashes).
+
+    With ``exact=False`` the rows whose hash lies below a threshold: a projection without exchange that
+    flags the same rows on every cluster.  Of n distinct keys a share within ``5 sqrt(f (1 - f) / n)`` of the
+    fraction f is flagged (five standard deviations).
+    """
+    if not exact:
+        return df.withColumn(out, hash_order(key, seed).cast("double") < _below(float(test_fraction)))
     ranked = _hash_rank(df, key, (), seed, bits)
     return ranked.withColumn(out, F.col("__rank") <= F.ceil(F.col("__total") * F.lit(test_fraction))).drop("__rank", "__total")
 
 
 def stratified_split(
-    df: DataFrame, key: Sequence[str], label: str, test_fraction: float = 0.2, seed: int = 42, bits: int = HASH_BUCKET_BITS, out: str = "is_test"
+    df: DataFrame,
+    key: Sequence[str],
+    label: str,
+    test_fraction: float = 0.2,
+    seed: int = 42,
+    bits: int = HASH_BUCKET_BITS,
+    out: str = "is_test",
+    exact: bool = True,
+    fractions: Mapping[object, float] | None = None,
 ) -> DataFrame:
     """``ceil(test_fraction · n_c)`` test rows per class; falls back to :func:`random_split`
     when a class has fewer than two rows (the case a stratified split cannot serve).
 
     Rows with a NULL label are a class of their own.  The class counts are read while the
     plan is built (one aggregate over the label column).
+
+    With ``exact=False`` every class has a hash threshold of its own: ``fractions`` by label (None for the NULL
+    class), ``test_fraction`` for the others.  That is a projection without exchange or count; each
+    class's share keeps the bound of :func:`random_split`.
     """
+    if not exact:
+        fraction = F.lit(float(test_fraction))
+        for value, own in (fractions or {}).items():
+            fraction = F.when(F.col(label).eqNullSafe(F.lit(value)), F.lit(float(own))).otherwise(fraction)
+        return df.withColumn(out, hash_order(key, seed).cast("double") < _below(fraction))
+    if fractions:
+        raise ValueError("fractions by label need exact=False")
     smallest = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
     if smallest is None or smallest < 2:
         return random_split(df, key, test_fraction, seed, bits, out)
