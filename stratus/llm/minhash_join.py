@@ -12,8 +12,7 @@ limit itself, lies above it with probability 4e-6, one of 0.85 with 1e-9.
 
 Scale: equal sets are one class before anything is compared.  Classes that share a key are first
 joined as a star (each task does so for its own classes, so that a key many classes share is one
-row per task), and star pairs are confirmed: the nearest partner of each class first, then those that still lie
-across components.  Signatures also join classes to families: a key whose classes lie in several
+row per task), and the star pairs are confirmed.  Signatures also join classes to families: a key whose classes lie in several
 families is searched for near pairs between them.  The components of a family are then compared
 on full sets, in parts of bounded size that emit a spanning forest of links.  Neither step emits all pairs of
 a group, and a pair under the signature distance always has one family.  Texts of
@@ -375,14 +374,7 @@ def minhash_components(
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     nodes = shared_table(ends(candidates), "nodes")
     sets = shared_table(sets_of(classes.join(nodes, "cls", "left_semi"), docs, id_col, text_col, shingle), "candidate-sets")
-    # links: the nearest partner of each class, then the star pairs that still lie across components
-    by_end = near.select(F.explode(F.array("a", "b")).alias("cls"), "a", "b", "distance")
-    nearest = shared_table(by_end.groupBy("cls").agg(F.min(F.struct("distance", "a", "b")).alias("best")).select("best.a", "best.b").distinct(), "nearest")
-    links = shared_table(confirm(nearest, sets, percent), "links")
-    component = labelled(nodes, links)
-    of_a, of_b = (component.select(F.col("cls").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b"))
-    rest = near.join(of_a, "a").join(of_b, "b").where("of_a <> of_b").select("a", "b").join(nearest, ["a", "b"], "left_anti")
-    links = links.unionByName(shared_table(confirm(rest, sets, percent), "links"))
+    links = shared_table(confirm(near.select("a", "b"), sets, percent), "links")
     # families: what is near by signature, also where no star shows it
     signed = linkable.select("cls", "sig").join(nodes, "cls", "left_semi")
     family = labelled(signed, near)
