@@ -165,6 +165,38 @@ def sequence(
     return rows.select(*unpacked(ranked), (F.col("__o") + F.col(RANK)).cast("long").alias(out), *extra)
 
 
+def _placed(array: str) -> Column:
+    """The rows of an array with their position in the key."""
+    return F.transform(array, lambda t: t.withField("r", t["r"] + F.col("__o")))
+
+
+def _joined(*arrays: Column) -> Column:
+    return F.flatten(F.array_compact(F.array(*arrays)))
+
+
+def rows_before(offsets: DataFrame, kcols: Sequence[str], tail: str, n: int) -> tuple[DataFrame, Column]:
+    """The last ``n`` rows before each bucket (and up to ``n`` more), from each bucket's last rows ``tail``.
+
+    Buckets that begin inside the look-back are wanted whole, and of the others only the nearest one: a
+    bucket meets 2 ``n`` rows at most, however many buckets hold them.
+    """
+    placed = offsets.withColumns({"__bucket_start": F.col("__o"), "__tails": _placed(tail)})
+    by = Window.partitionBy(*kcols).orderBy("__bucket_start")
+    inside = F.collect_list("__tails").over(by.rangeBetween(-n, -1))
+    reaching = F.last("__tails").over(by.rangeBetween(Window.unboundedPreceding, -n - 1))
+    return placed, _joined(reaching, F.flatten(inside))
+
+
+def rows_after(offsets: DataFrame, kcols: Sequence[str], head: str, n: int) -> tuple[DataFrame, Column]:
+    """The first ``n`` rows after each bucket (and up to ``n`` more): :func:`rows_before` looking ahead."""
+    placed = offsets.withColumns({"__bucket_end": F.col("__o") + F.col("__n"), "__heads": _placed(head)})
+    by = Window.partitionBy(*kcols)
+    inside = F.collect_list("__heads").over(by.orderBy("__bucket_end").rangeBetween(1, n))
+    # descending, so that the running frame grows by a row at a time
+    reaching = F.last("__heads").over(by.orderBy(F.desc("__bucket_end")).rangeBetween(Window.unboundedPreceding, -n - 1))
+    return placed, _joined(F.flatten(inside), reaching)
+
+
 def bucket_windows(
     df: DataFrame,
     key: Sequence[str],
@@ -180,7 +212,8 @@ def bucket_windows(
     Frames reach at most ``before`` rows back and ``after`` ahead, and look at ``values`` only.
     The rows are shuffled once.  Each bucket's last ``before`` and first ``after`` rows (``values``
     only) travel as arrays over the bucket table to the buckets next to it (as many as hold that
-    many rows), where they stand before and after the bucket's own rows.
+    many rows), where they stand before and after the bucket's own rows.  What a bucket carries is
+    linear in ``before`` and ``after``, also for frames of hundreds of rows.
     """
     kcols, ranked = bucket_ranks(df, key, order, bucket)
     nparts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -191,21 +224,13 @@ def bucket_windows(
     ends = [F.sort_array(F.collect_list(F.when(rank > F.col("__size") - before, held))).alias("__tail")] if before else []
     ends += [F.sort_array(F.collect_list(F.when(rank <= after, held))).alias("__head")] if after else []
     offsets = bucket_offsets(bucket_summary(sized, kcols, *ends), kcols)
-    by_key = Window.partitionBy(*kcols).orderBy(BUCKET)
-
-    def placed(array: str) -> Column:
-        """The rows of an array with their position in the key."""
-        return F.transform(array, lambda t: t.withField("r", t["r"] + F.col("__o")))
-
     near = []
     if before:
-        earlier = F.flatten(F.collect_list("__tails").over(by_key.rowsBetween(-before, -1)))
+        offsets, earlier = rows_before(offsets, kcols, "__tail", before)
         near.append(F.slice(earlier, F.greatest(F.size(earlier) - before + 1, F.lit(1)), F.lit(before)))
-        offsets = offsets.withColumn("__tails", placed("__tail"))
     if after:
-        later = F.flatten(F.collect_list("__heads").over(by_key.rowsBetween(1, after)))
+        offsets, later = rows_after(offsets, kcols, "__head", after)
         near.append(F.slice(later, F.lit(1), F.lit(after)))
-        offsets = offsets.withColumn("__heads", placed("__head"))
     names = [f"__near{i}" for i in range(len(near))]
     carried = offsets.withColumns(dict(zip(names, near)))
     carried = carried.withColumn("__near", F.concat(*names)).where(F.size("__near") > 0)

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -196,3 +197,35 @@ def test_splits_read_the_rows_once(spark):
     assert read == n and shuffled <= 1.5 * n
     read, shuffled = work(sampling.stratified_split(ev.withColumn("y", (F.col("value") > 60).cast("int")), ["event_id"], "y"))
     assert read == n and shuffled <= 1.5 * n
+
+
+@pytest.mark.parametrize("rows", [7, 100, 1500])
+def test_frames_of_720_rows(spark, rows):
+    df = spark.range(0, 4000, 1, 5).selectExpr(
+        "id % 2 AS station_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, int(id div 2)) AS ts", "id AS rid", "CASE WHEN id % 5 > 0 THEN sin(id) * 100 END AS v"
+    )
+    got = {r["rid"]: r for r in FE.rolling_features(df, ["v"], [720], bucket=S.time_bucket("ts", 3600 * rows)).collect()}
+    assert len(got) == 4000
+    for station in (0, 1):
+        v = np.array([got[k]["v"] for k in range(station, 4000, 2)], dtype=float)
+        for i in range(2000):
+            seen = v[max(0, i - 719) : i + 1]
+            seen = seen[~np.isnan(seen)]
+            r = got[2 * i + station]
+            assert close(r["v_rolling_mean_720h"], seen.mean() if len(seen) else None)
+            assert close(r["v_rolling_std_720h"], seen.std(ddof=1) if len(seen) > 1 else None)
+
+
+@pytest.mark.parametrize("rows", [1, 50, 1000])
+def test_carried_rows_are_linear_in_the_frame(spark, rows):
+    df = spark.range(5000).selectExpr("1 AS station_id", "id AS o")
+    kcols, ranked = S.bucket_ranks(df, ["station_id"], ["o"], F.floor(F.col("o") / rows))
+    held = F.struct(F.col(S.RANK).cast("long").alias("r"))
+    offsets = S.bucket_offsets(S.bucket_summary(ranked, kcols, F.sort_array(F.collect_list(held)).alias("all")), kcols)
+    for carry, pick in ((S.rows_before, "slice(all, -least(720, size(all)), 720)"), (S.rows_after, "slice(all, 1, 720)")):
+        placed, near = carry(offsets.withColumn("ends", F.expr(pick)), kcols, "ends", 720)
+        got = placed.select("__o", "__n", near.alias("near")).collect()
+        for r in got:
+            met = [t.r for t in r.near]
+            wanted = range(max(1, r["__o"] - 719), r["__o"] + 1) if carry is S.rows_before else range(r["__o"] + r["__n"] + 1, min(5000, r["__o"] + r["__n"] + 720) + 1)
+            assert len(met) <= 1440 and met == sorted(met) and set(wanted) <= set(met)
