@@ -455,3 +455,25 @@ def q_train_percentile(spark, sf):
     o = obs(spark, sf)
     scenario = o.agg(*[(F.avg(c) + 1).alias(c) for c in PCT_FEATURES])
     return profile.train_percentile(o, PCT_FEATURES, scenario)
+
+
+def _ranks_sql():
+    """Training values and asked values in one order; the running sum counts the former."""
+    parts = []
+    for c in PCT_FEATURES:
+        points = f"SELECT NULL AS event_id, {c} AS v, 1 AS n FROM {gappy_sql()} g WHERE {c} IS NOT NULL UNION ALL SELECT event_id, {c} + 0.37, 0 FROM {gappy_sql()} q"
+        upto = f"SELECT event_id, v, CASE WHEN v IS NOT NULL THEN sum(n) OVER (ORDER BY v NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS upto FROM ({points}) p"
+        stats = f"SELECT count({c}) AS total, avg({c}) AS m, stddev_samp({c}) AS s FROM {gappy_sql()} g"
+        parts.append(
+            f"SELECT event_id, '{c}' AS feature, {R('v')} AS value, {R('upto * 100.0 / total')} AS percentile, {R('m')} AS mean, {R('s')} AS std "
+            f"FROM ({upto}) u, ({stats}) t WHERE event_id IS NOT NULL"
+        )
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("train_percentile_rows", _ranks_sql())
+def q_train_percentile_rows(spark, sf):
+    """Percentile of every row's (shifted) measures among the training values, gaps on both sides."""
+    train = gappy(spark, sf)
+    rows = train.select("event_id", *[(F.col(c) + F.lit(0.37)).alias(c) for c in PCT_FEATURES])
+    return profile.train_percentiles(train, PCT_FEATURES, rows, ["event_id"])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stratus.functions.roles import fold
 from stratus.operators.joins import join_lookup
-from stratus.operators.ranges import quantiles, value_table
+from stratus.operators.ranges import quantiles, range_buckets, running_counts, value_table
 from stratus.operators.stats import column_stat, numeric_columns
 
 
@@ -511,7 +511,8 @@ def prediction_summary(df: DataFrame, pred: str = "previsao_chuva", mm: str | No
 
 def train_percentile(train: DataFrame, features: Sequence[str], scenario: DataFrame) -> DataFrame:
     """For a one-row scenario: per feature the % of training values ≤ the scenario value,
-    the training mean and std.  The scenario value is a scalar subquery (exactly one row)."""
+    the training mean and std.  The scenario value is a scalar subquery (exactly one row);
+    :func:`train_percentiles` takes any number of rows."""
     aggs = []
     for i, f in enumerate(features):
         x = F.col(f).cast("double")
@@ -529,3 +530,31 @@ def train_percentile(train: DataFrame, features: Sequence[str], scenario: DataFr
             for i, f in enumerate(features)
         ],
     )
+
+
+def train_percentiles(train: DataFrame, features: Sequence[str], rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """For every row of ``rows``: ``(*key, feature, value, percentile, mean, std)``, the % of training values
+    up to its value and the training mean and std.  A table of any size, against training rows of any number.
+
+    The values of both tables are counted together (a value only asked for counts 0), dealt into sampled
+    ranges and summed up along them; each row then finds its own value there by equality.  NaN counts as
+    NULL; a NULL value, and a feature without training values, has no percentile.
+    """
+    double = {f: F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) for f in features}
+    cells = F.inline(F.array(*[F.struct(F.lit(f).alias("column"), x.alias("value")) for f, x in double.items()]))
+    both = train.select(cells).withColumn("n", F.lit(1)).unionByName(rows.select(cells).withColumn("n", F.lit(0)))
+    counts = both.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.sum("n").alias("n"))
+    places = running_counts(range_buckets(counts, "column", "value")).select("column", "value", "__upto", "__total")
+    stats = _long(
+        train.agg(*[a for i, x in enumerate(double.values()) for a in (F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"))]),
+        [F.struct(F.lit(f).alias("column"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std")) for i, f in enumerate(features)],
+    )
+    # rows without a value match nothing: they are spread over tasks of their own
+    names = {"column": "__column", "value": "__value"}
+    own = [F.col(f"`{k}`") for k in key]
+    asked = rows.select(*own, cells.alias("__column", "__value"))
+    asked = asked.withColumn("__spread", F.when(F.col("__value").isNull(), F.pmod(F.xxhash64(*own), F.lit(1024)) + 1).otherwise(F.lit(0).cast("long")))
+    places = places.withColumnsRenamed(names).withColumn("__spread", F.lit(0).cast("long"))
+    found = asked.join(places, [*names.values(), "__spread"], "left").join(stats.withColumnsRenamed({**names, "mean": "__mean", "std": "__std"}), "__column")
+    share = F.col("__upto") * F.lit(100.0) / F.when(F.col("__total") > 0, F.col("__total"))
+    return found.select(*own, F.col("__column").alias("feature"), F.col("__value").alias("value"), share.alias("percentile"), F.col("__mean").alias("mean"), F.col("__std").alias("std"))

@@ -25,6 +25,37 @@ def range_buckets(df: DataFrame, *order: str | Column) -> DataFrame:
     return shared_table(df.repartitionByRange(parts, *order).withColumn(RANGE, F.spark_partition_id()), "ranges")
 
 
+def _hashable(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{f.name}`") for f in df.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+
+
+def with_positions(df: DataFrame, order: Sequence[str | Column], out: str, total: str) -> DataFrame:
+    """``df`` with ``out``, each row's position (from 1) in one ``order`` over all rows, and ``total``, their number.
+
+    Any type that sorts will do; NULLs come last, and ties follow a hash of the whole row.  Rows are dealt into
+    ranges of equal size by Spark's sampled bounds, sorted and numbered there, and written once; the ranges'
+    sizes, as many numbers as there are shuffle partitions, give the offsets.  So a value that many rows share
+    is no task of its own; only rows equal in every column stay together.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = [F.col(o).asc_nulls_last() if isinstance(o, str) else o for o in order]
+    ordered.append(F.xxhash64(*(_hashable(df) or [F.lit(0)])))
+    dealt = df.repartitionByRange(parts, *ordered).sortWithinPartitions(*ordered)
+    # the upper bits of this id are the range, the lower 33 the row's place in it
+    placed = shared_table(dealt.withColumn("__id", F.monotonically_increasing_id()), "positions")
+    in_range = F.shiftright("__id", 33)
+    sizes = sorted(placed.groupBy(in_range.alias(RANGE)).agg(F.count(F.lit(1))).collect())
+    starts, n = [], 0
+    for number, size in sizes:
+        starts.append((number, n))
+        n += size
+    offsets = spark.createDataFrame(starts, f"{RANGE} long, __o long")
+    rows = placed.withColumn(RANGE, in_range).join(F.broadcast(offsets), RANGE)
+    place = F.col("__o") + F.col("__id").bitwiseAND(F.lit(2**33 - 1)) + 1
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], place.alias(out), F.lit(n).cast("long").alias(total))
+
+
 def value_table(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """``(*by, column, value, n)`` in range buckets: how often each column has each value, as double.
 
@@ -35,9 +66,9 @@ def value_table(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
     return range_buckets(counts, *by, "column", "value")
 
 
-def quantiles(values: DataFrame, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """``(*by, column, count, q0, q1, ...)`` from a :func:`value_table`: exact, between neighbours by
-    linear interpolation.  A column without values has NULLs.  A small table, written once."""
+def running_counts(values: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The known values of a :func:`value_table` with ``__from`` and ``__upto``, how many values of the
+    column (and group) lie below and up to each, and ``__total``, how many there are."""
     group = [*by, "column"]
     known = values.where(F.col("value").isNotNull())
     sums = known.groupBy(*group, RANGE).agg(F.sum("n").alias("__n"))
@@ -53,7 +84,14 @@ def quantiles(values: DataFrame, probabilities: Sequence[float], by: Sequence[st
         match = match & F.col(c).eqNullSafe(F.col(f"__on_{c}"))
     placed = known.join(offsets, match)
     inside = Window.partitionBy(*group, RANGE).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.withColumn("__upto", F.col("__o") + F.sum("n").over(inside)).withColumn("__from", F.col("__upto") - F.col("n"))
+    return placed.withColumn("__upto", F.col("__o") + F.sum("n").over(inside)).withColumn("__from", F.col("__upto") - F.col("n"))
+
+
+def quantiles(values: DataFrame, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, column, count, q0, q1, ...)`` from a :func:`value_table`: exact, between neighbours by
+    linear interpolation.  A column without values has NULLs.  A small table, written once."""
+    group = [*by, "column"]
+    ranked = running_counts(values, by)
     picks = [F.max("__total").alias("count")]
     for i, p in enumerate(probabilities):
         at = F.lit(float(p)) * (F.col("__total") - 1)

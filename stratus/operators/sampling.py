@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratus.operators import series as S
+from stratus.operators.ranges import with_positions
 
 HASH_BUCKET_BITS = 14
 
@@ -122,18 +123,19 @@ def kfold(
 
     * ``label`` given: stratified — rows of each class dealt round-robin in hash order.
     * else: contiguous blocks in ``order`` (first ``n % k`` folds one row longer),
-      as an unshuffled K-fold does.
+      as an unshuffled K-fold does.  The order may be of any type: rows are dealt into sampled ranges
+      of equal size when the function is called, and written once.  With ``bucket``, a non-decreasing
+      function of the order, rows are ranked in these buckets instead and nothing is written.
     """
     if label is not None:
         ranked = _hash_rank(df, key, [label], seed, bits)
         return ranked.withColumn(out, ((F.col("__rank") - 1) % k).cast("int")).drop("__rank", "__total")
     if bucket is None:
-        # one global order: minute buckets keep the ranking tasks small, and one row per
-        # minute is a short table for the running sum
-        bucket = S.time_bucket(order[0], 60) if isinstance(order[0], str) else None
-    ranked = S.sequence(df.withColumn("__all", F.lit(0)), ["__all"], list(order), bucket=bucket, out="__rank", total="__total")
+        ranked = with_positions(df, order, "__rank", "__total")
+    else:
+        ranked = S.sequence(df.withColumn("__all", F.lit(0)), ["__all"], list(order), bucket=bucket, out="__rank", total="__total").drop("__all")
     q = F.floor(F.col("__total") / k)
     r = F.col("__total") - q * k
     g = F.col("__rank") - 1
     fold = F.when(g < r * (q + 1), F.floor(g / (q + 1))).otherwise(r + F.floor((g - r * (q + 1)) / q))
-    return ranked.withColumn(out, fold.cast("int")).drop("__all", "__rank", "__total")
+    return ranked.withColumn(out, fold.cast("int")).drop("__rank", "__total")

@@ -97,3 +97,51 @@ def test_encoder_modes_for_unknown_values(spark):
         encode.label_encode_apply(new, encoder, unknown="raise").collect()
     with pytest.raises(ValueError):
         encode.label_encode_apply(new, encoder, unknown="drop")
+
+
+def test_percentiles_of_many_rows(spark):
+    draw = np.random.default_rng(5)
+    train = [None if i % 9 == 0 else (math.nan if i % 11 == 0 else 3.0 if i % 3 == 0 else float(draw.integers(0, 40))) for i in range(500)]
+    asked = [None if i % 7 == 0 else (3.0 if i % 2 else float(draw.integers(-5, 50)) + 0.5) for i in range(300)]
+    t = spark.createDataFrame([(v, None, i) for i, v in enumerate(train)], "x double, none double, extra int").repartition(4)
+    rows = spark.createDataFrame([(i, v, 1.0) for i, v in enumerate(asked)] + [(0, 3.0, None)], "value int, x double, none double").repartition(3)
+    out = profile.train_percentiles(t, ["x", "none"], rows.withColumnRenamed("value", "column"), ["column"])
+    got = out.collect()
+    known = np.array([v for v in train if v is not None and not math.isnan(v)])
+    assert len(got) == 2 * 301
+    for r in got:
+        if r.feature == "none":
+            assert r.percentile is None and r["mean"] is None
+            continue
+        assert r["mean"] == pytest.approx(known.mean()) and r["std"] == pytest.approx(known.std(ddof=1))
+        assert r.percentile == (None if r.value is None else pytest.approx((known <= r.value).mean() * 100))
+    text = plan_of(out)
+    assert "NestedLoop" not in text and "Cartesian" not in text
+    empty = profile.train_percentiles(t.limit(0), ["x"], rows, ["value"]).collect()
+    assert len(empty) == 301 and all(r.percentile is None for r in empty)
+    assert profile.train_percentiles(t, ["x"], rows.limit(0), ["value"]).count() == 0
+
+
+@pytest.mark.parametrize("order", ["text", "number", "day"])
+def test_contiguous_folds_of_a_busy_minute(spark, order):
+    exprs = {"text": "concat('k', lpad(cast(p as string), 9, '0'))", "number": "cast(p as decimal(20, 3))", "day": "date_add(date'2024-01-01', cast(p as int))"}
+    # half of all rows share one place in the order
+    df = spark.range(0, 20_003, 1, 7).selectExpr("id", "case when id % 2 = 0 then 700 when id % 101 = 0 then null else id end as p").withColumn("o", F.expr(exprs[order]))
+    got = sampling.kfold(df, 6, order=["o"]).withColumn("task", F.input_file_name()).cache()
+    assert got.count() == 20_003 and got.select("id").distinct().count() == 20_003
+    folds = [r["n"] for r in got.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).orderBy("fold").collect()]
+    assert folds == [3334] * 5 + [3333]
+    spans = got.groupBy("fold").agg(F.min("o").alias("lo"), F.max("o").alias("hi"), F.count_if(F.col("o").isNull()).alias("nulls")).orderBy("fold").collect()
+    assert all(a.hi <= b.lo for a, b in zip(spans, spans[1:]) if a.hi is not None and b.lo is not None)
+    assert [s.nulls > 0 for s in spans] == [False] * 5 + [True]
+    tasks = sorted(r["n"] for r in got.groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect())
+    assert len(tasks) == 8 and tasks[-1] <= 2 * tasks[len(tasks) // 2]
+    got.unpersist()
+
+
+def test_contiguous_folds_of_small_tables(spark):
+    rows = spark.createDataFrame([(1, "b"), (2, "a"), (3, None)], "id int, o string")
+    assert [(r.id, r.fold) for r in sampling.kfold(rows, 5, order=["o"]).orderBy("fold").collect()] == [(2, 0), (1, 1), (3, 2)]
+    assert sampling.kfold(rows.limit(0), 5, order=["o"]).collect() == []
+    same = spark.createDataFrame([(7, "x")] * 9, "id int, o string")
+    assert sorted(r.fold for r in sampling.kfold(same, 3, order=["o"]).collect()) == [0] * 3 + [1] * 3 + [2] * 3
