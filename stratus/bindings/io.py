@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratus.bindings import R, query
-from stratus.bindings.fixtures import obs, obs_sql, scores, scores_sql, table
+from stratus.bindings.fixtures import OBS_COLUMNS, gappy, gappy_sql, obs, obs_sql, scores, scores_sql, table
 from stratus.bindings.learning import ENCODER_SQL, _categories
 from stratus.bindings.profiling import labelled, labelled_sql
 from stratus.functions.calendar import build_timestamp
 from stratus.functions.roles import feature_diff, resolve_measure_columns, resolve_time_columns
-from stratus.operators import clean, encode
+from stratus.operators import clean, encode, features
 from stratus.plans import preprocess
 from stratus.session import scratch_path
 from stratus.sources import files, models as persist
@@ -269,15 +269,40 @@ def q_sink_parquet(spark, sf):
     return spark.read.parquet(path)
 
 
-@query(
-    "sink_feature_report",
-    f"SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(18 AS BIGINT) AS n_columns, {R('avg(CAST(Chuva AS DOUBLE)) * 100.0')} AS rain_rate FROM {labelled_sql()} l",
-)
+def _report_sql():
+    """The report's features by section, each with the expression that has its values."""
+    made = {
+        "temporal": {
+            "ano": "year(ts)", "mes": "month(ts)", "dia": "day(ts)", "hora": "hour(ts)", "dia_semana": "isodow(ts)", "dia_ano": "dayofyear(ts)", "semana_ano": "week(ts)",
+            "hora_sin": "hour(ts)", "hora_cos": "hour(ts)", "mes_sin": "month(ts)", "mes_cos": "month(ts)", "estacao": "month(ts)", "periodo_dia": "hour(ts)", "fim_semana": "isodow(ts)",
+        },
+        "weather": {
+            "amplitude_termica": "temp_max - temp_min", "spread_temp_orvalho": "temp - dew_point", "variacao_pressao": "pressure_max - pressure_min",
+            "variacao_umidade": "humidity_max - humidity_min", "indice_desconforto": "temp + humidity", "radiacao_norm": "radiation",
+        },
+        "lag": {"temp_lag_3h": "lag(temp, 3) OVER w"},
+        "rolling": {f"temp_rolling_{k}_6h": f"{f}(temp) OVER (w ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)" for k, f in (("mean", "avg"), ("std", "stddev_samp"))},
+        "measure": {c: c for c in OBS_COLUMNS},
+    }
+    items = [(section, i, name, names[name]) for section, names in made.items() for i, name in enumerate(sorted(names), 1)]
+    columns = ", ".join(f"{e} AS x{k}" for k, (*_, e) in enumerate(items))
+    table = f"(SELECT CASE WHEN rain_mm > 0 THEN 1 ELSE 0 END AS y, {columns} FROM {gappy_sql()} g WINDOW w AS (PARTITION BY station_id ORDER BY ts, event_id)) t"
+    rows = [f"SELECT '{s}' AS section, CAST({i} AS BIGINT) AS position, '{n}' AS item, {R(f'100.0 * count(x{k}) / count(*)')} AS value FROM t" for k, (s, i, n, _) in enumerate(items)]
+    figures = [("n_rows", "count(*)"), ("n_columns", f"max({len(items) + 1})"), ("rain_rate", "100.0 * avg(y)")]
+    rows += [f"SELECT 'summary', CAST({i} AS BIGINT), '{n}', {R(e)} FROM t" for i, (n, e) in enumerate(figures, 1)]
+    return f"WITH t AS MATERIALIZED (SELECT * FROM {table}) " + "\nUNION ALL ".join(rows)
+
+
+@query("sink_feature_report", _report_sql())
 def q_sink_feature_report(spark, sf):
-    """Rows, columns and event rate written as a JSON report and read back."""
+    """The report of an enriched table with gaps (figures, and every feature by group with its share of values),
+    written as JSON and read back."""
+    o = features.rain_label(gappy(spark, sf), "rain_mm")
+    o = features.weather_features(features.calendar_features(o, "ts"))
+    o = features.lag_and_rolling(o, ["temp"], [3], ["temp"], [6], key=["station_id"], order=["ts", "event_id"])
     path = scratch_path(spark, "feature-report")
-    files.sink_json(preprocess.feature_summary(labelled(spark, sf)), path)
-    return spark.read.schema("n_rows bigint, n_columns bigint, rain_rate double").json(path)
+    files.sink_json(preprocess.feature_report(o), path)
+    return spark.read.schema("section string, position bigint, item string, value double").json(path)
 
 
 @query("save_encoders", ENCODER_SQL)

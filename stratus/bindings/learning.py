@@ -240,12 +240,12 @@ CLASS_METRICS = ["accuracy", "precision", "recall", "f1", "tn", "fp", "fn", "tp"
 REG_METRICS = ["rmse", "mae", "r2", "n"]
 
 
-def _metric_checks(report):
+def _metric_checks(report, *more):
     """Per metric: rates in [0, 1], errors not negative, R² at most 1; counts and folds are NULL here."""
     m, v = F.col("metric"), F.col("value")
     rate = m.isin("accuracy", "precision", "recall", "f1", "roc_auc") | m.startswith("cv_f1")
     ok = F.when(rate, (v >= 0) & (v <= 1)).when(m.isin("rmse", "mae") | m.endswith("_std"), v >= 0).when(m.startswith("r2") | m.startswith("cv_r2"), v <= 1)
-    return report.select("model", "metric", F.coalesce(ok, v >= 0).alias("ok"), F.when(m.isin("tn", "fp", "fn", "tp"), v).alias("cell"))
+    return report.select("model", "metric", F.coalesce(ok, v >= 0).alias("ok"), F.when(m.isin("tn", "fp", "fn", "tp"), v).alias("cell"), *more)
 
 
 def _metrics_sql(folds):
@@ -440,9 +440,21 @@ def q_save_metadata(spark, sf):
     return _meta_row(spark.read.schema(meta.schema).json(path))
 
 
-@query("sink_training_report", _metrics_sql(0))
+def _report_sql():
+    names = ", ".join(f"('{c}', {i}.0)" for i, c in enumerate(FEATURES, 1))
+    return (
+        f"SELECT model, metric, ok, n_test, CAST(NULL AS DOUBLE) AS number FROM ({_metrics_sql(5)}) m\n"
+        f"UNION ALL SELECT 'features', name, TRUE, CAST({_TEST_ROWS} AS DOUBLE), CAST(number AS DOUBLE) FROM (VALUES {names}) f(name, number)"
+    )
+
+
+@query("sink_training_report", _report_sql())
 def q_sink_training_report(spark, sf):
-    """The training report written as JSON and read back."""
+    """The training report (metrics, CV scores of every fold with mean and deviation, numbered features)
+    written as JSON and read back."""
     path = scratch_path(spark, "report")
-    _train(spark, sf, **FORESTS)[1].write.mode("overwrite").json(path)
-    return _with_test_rows(_metric_checks(spark.read.schema("model string, metric string, value double").json(path)))
+    bundle, report = _train(spark, sf, num_trees=TREES, max_depth=DEPTH)
+    training.training_report(bundle, report).write.mode("overwrite").json(path)
+    rows = spark.read.schema("model string, metric string, value double").json(path)
+    number = F.when(F.col("model") == "features", F.col("value")).alias("number")
+    return _with_test_rows(_metric_checks(rows, number))

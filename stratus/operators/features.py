@@ -15,6 +15,7 @@ from stratus.operators import series as S
 # Output names of the derived columns (the reference's feature names, kept for model parity).
 TIME_PART_NAMES = ["ano", "mes", "dia", "hora", "dia_semana", "dia_ano", "semana_ano"]
 CYCLIC_NAMES = ["hora_sin", "hora_cos", "mes_sin", "mes_cos"]
+TEMPORAL_NAMES = [*TIME_PART_NAMES, *CYCLIC_NAMES, "estacao", "periodo_dia", "fim_semana"]
 
 
 def time_parts(df: DataFrame, ts: str = "datetime", names: Sequence[str] = TIME_PART_NAMES) -> DataFrame:
@@ -57,6 +58,7 @@ WEATHER_FEATURES = {
     "variacao_pressao": ("pressure_max", "pressure_min"),
     "variacao_umidade": ("humidity_max", "humidity_min"),
 }
+WEATHER_NAMES = [*WEATHER_FEATURES, "indice_desconforto", "radiacao_norm"]
 
 
 def weather_features(df: DataFrame, roles: dict[str, str] | None = None) -> DataFrame:

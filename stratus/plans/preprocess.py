@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratus.functions.calendar import build_timestamp
@@ -120,9 +121,43 @@ def preprocess_file(
     return out
 
 
-def feature_summary(df: DataFrame, label: str = "Chuva") -> DataFrame:
-    """Rows, columns and event rate of a processed table (the feature report)."""
+def _summary_aggs(df: DataFrame, label: str) -> list[Column]:
     aggs = [F.count(F.lit(1)).cast("long").alias("n_rows"), F.lit(len(df.columns)).cast("long").alias("n_columns")]
     if label in df.columns:
         aggs.append((F.avg(F.col(label).cast("double")) * F.lit(100.0)).alias("rain_rate"))
-    return df.agg(*aggs)
+    return aggs
+
+
+def feature_summary(df: DataFrame, label: str = "Chuva") -> DataFrame:
+    """Rows, columns and event rate of a processed table."""
+    return df.agg(*_summary_aggs(df, label))
+
+
+def _feature_group(column: str) -> str:
+    if column in features.TEMPORAL_NAMES:
+        return "temporal"
+    if column in features.WEATHER_NAMES:
+        return "weather"
+    made = re.search(r"_(lag|rolling)_(?:mean_|std_)?\d+h$", column)
+    return made.group(1) if made else "measure"
+
+
+def feature_report(df: DataFrame, label: str = "Chuva") -> DataFrame:
+    """The feature report: ``(section, position, item, value)``.
+
+    Section ``summary`` has the figures of :func:`feature_summary`; each other section lists the names of
+    one group of features (``measure``, ``temporal``, ``weather``, ``lag``, ``rolling``) in alphabetical order,
+    with the % of rows that have a value (NULL for a table without rows).  One pass over ``df``.
+    """
+    groups: dict[str, list[str]] = {}
+    for c in sorted(c for c in df.columns if c != label):
+        groups.setdefault(_feature_group(c), []).append(c)
+    listed = [(g, i, c) for g, names in groups.items() for i, c in enumerate(names, 1)]
+    rows = F.count(F.lit(1))
+    shares = [(F.count(F.col(f"`{c}`")) * F.lit(100.0) / F.nullif(rows, F.lit(0))).alias(f"__share{i}") for i, (_, _, c) in enumerate(listed)]
+    summary = ["n_rows", "n_columns"] + (["rain_rate"] if label in df.columns else [])
+    wide = df.agg(*_summary_aggs(df, label), *shares)
+    items = [("summary", i, c, F.col(c)) for i, c in enumerate(summary, 1)]
+    items += [(g, i, c, F.col(f"__share{j}")) for j, (g, i, c) in enumerate(listed)]
+    cells = [F.struct(F.lit(g).alias("section"), F.lit(i).alias("position"), F.lit(c).alias("item"), v.cast("double").alias("value")) for g, i, c, v in items]
+    return wide.select(F.inline(F.array(*cells)))

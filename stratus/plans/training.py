@@ -150,3 +150,10 @@ def train_models(
         metrics={m: {k: v for mm, k, v in report if mm == m} for m in ("classification", "regression")},
     )
     return bundle, report_df
+
+
+def training_report(bundle: ModelBundle, report: DataFrame) -> DataFrame:
+    """The report of :func:`train_models` and the numbered list of the features used: ``(model, metric,
+    value)``, where a feature is a metric of model ``features`` and its number the value."""
+    names = [("features", name, float(i)) for i, name in enumerate(bundle.features, 1)]
+    return report.unionByName(report.sparkSession.createDataFrame(names, report.schema)) if names else report
