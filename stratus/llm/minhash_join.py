@@ -244,6 +244,8 @@ def open_parts(members: DataFrame, classes: DataFrame, part_limit: int = PART_LI
         F.ceil((F.col("all") - F.col("main.size")) / part_limit).cast("int").alias("others"),
         (F.col("all") <= part_limit).alias("whole"),
     )
+    # a table of its own, a row per key: the join neither reuses a shuffle by key for the counts nor keeps a hot key whole
+    cut = shared_table(cut, "open-cuts")
     own = F.when(F.col("component") == F.col("main"), F.pmod(F.xxhash64("cls"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("cls"), F.col("others"))).cast("int")
     dealt = placed.join(cut, "key").withColumn("own", own)
     against_others = F.expr("transform(sequence(0, others - 1), o -> concat(o, 'm', own))")
