@@ -227,6 +227,70 @@ def test_benchmark_passages_are_found(spark, documents, texts):
     assert want and {(r.doc_id, r.item_id) for r in queries.QUERIES["op6_benchmark_decontamination"](spark, SF001).collect()} == want
 
 
+def brute_contamination(text, item):
+    """Covered words of the best consistent part, by all pairs of windows and all runs of matches.
+
+    For texts of lower-case words and numbers without sentence ends.
+    """
+    def windows(words):
+        size = min(decontaminate.WINDOW, len(item.split()))
+        for at in range(len(words) - size + 1):
+            run = words[at : at + size]
+            slots = [w for w in run if w.isdigit()]
+            few = len(run) - len(slots) < min(decontaminate.MIN_LITERALS, size)
+            yield at, at + size, tuple(run) if few else tuple("#" if w.isdigit() else w for w in run), slots
+    ours, theirs = list(windows(text.split())), list(windows(item.split()))
+    groups, latest = [], {}
+    for at, p, stop, x, y in sorted((q, p, stop, x, y) for p, _, a, x in ours for q, stop, b, y in theirs if a == b):
+        for shift in sorted(range(-3, 4), key=abs):
+            known = latest.get(p - at + shift)
+            if known and (not shift or known[2] < p <= known[2] + at - known[1] + 3 and known[1] < at):
+                number = known[0]
+                break
+        else:
+            number = len(groups)
+            groups.append([])
+        latest[p - at] = number, at, p
+        groups[number].append((at, stop, list(zip(x, y))))
+    best = 0
+    for group in groups:
+        parts = [group[i:j] for i in range(len(group)) for j in range(i + 1, len(group) + 1)]
+        parts.append([m for m in group if all(x == y for x, y in m[2])])
+        for part in parts:
+            pairs = {p for m in part for p in m[2]}
+            if len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs}):
+                best = max(best, len({w for at, stop, _ in part for w in range(at, stop)}))
+    n = len(item.split())
+    return best if best >= min(decontaminate.MIN_WORDS, math.ceil(0.8 * n)) else 0
+
+
+def test_contamination_equals_all_pairs_of_windows(spark):
+    rng = random.Random(5)
+    texts, items = [], []
+    for _ in range(40):
+        words = [rng.choice("aa bb cc dd ee 1 2 3".split()) for _ in range(rng.randint(1, 12))]
+        item = (words * rng.randint(1, 4))[: rng.randint(3, 40)]
+        items.append(" ".join(item))
+        for _ in range(3):
+            copy = list(item) * rng.randint(1, 2)
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randint(0, 1)] = [rng.choice(["4", "5", "1", "bb", "zz"])]
+            texts.append(" ".join(["xx"] * rng.randint(0, 3) + copy + ["yy"]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.covered_words for r in decontaminate.find_contamination(docs, bench).collect()}
+    # the size of an item's windows is its own: an item is met by texts that have windows of that size
+    want = {(i, j): n for i, t in enumerate(texts) for j, x in enumerate(items) if (n := brute_contamination(t, x))}
+    assert got == want and len(want) > 80
+
+
+def test_long_repeats_take_no_row_for_each_pair_of_places(spark):
+    one = "word " * 1500
+    many = "we saw 5 of them and then we went home again " * 150
+    assert contaminated(spark, [one, many.replace("5", "7"), "word " * 9], [one, many]) == {(0, 0), (1, 1)}
+
+
 def test_decontamination_of_odd_rows(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(5, "Some plain words that make a line of text"), (6, "thing"), (None, "x")], "item_id long, text string")
     found = {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(odd_docs, bench).collect()}
