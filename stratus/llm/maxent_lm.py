@@ -140,7 +140,7 @@ def sum_by(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(index.astype(np.uint16), kind="stable")  # a radix sort
     ordered = index[order]
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    return ordered[first], np.add.reduceat(values[order % len(values)], first, axis=0)
+    return ordered[first], np.add.reduceat(values.take(order % len(values), axis=0), first, axis=0)
 
 
 class Batch:
@@ -174,17 +174,17 @@ class Model:
         """Of each token's outcomes, and their sum."""
         weights = self.weights[which]
         if self.summed[which] is None:  # once for each context, not for each token
-            self.summed[which] = sum(weights[r] for r in self.contexts[which])
-        logits = self.summed[which][context]
+            self.summed[which] = sum(weights.take(r, axis=0) for r in self.contexts[which])
+        logits = self.summed[which].take(context, axis=0)
         for r in rows:
-            logits += weights[r]
+            logits += weights.take(r, axis=0)
         np.clip(logits, -40, 40, out=logits)
         np.exp(logits, out=logits)
         return logits, logits @ np.ones((logits.shape[1], 1), np.float32)
 
     def update(self, which: int, rows: np.ndarray, gradient: np.ndarray) -> None:
         """Change distinct ``rows``; each weight's rate falls with the gradients it has met."""
-        squares = self.squares[which][rows] + gradient * gradient
+        squares = self.squares[which].take(rows, axis=0) + gradient * gradient
         self.squares[which][rows] = squares
         self.weights[which][rows] -= np.float32(RATE) * gradient / np.sqrt(squares)
         self.summed[which] = None
