@@ -39,6 +39,8 @@ HASH_BITS = 15
 ROUNDS = 3
 RATE = 0.1
 BATCH_TOKENS = 1 << 14
+#: rows of one number that are added one by one
+FEW = 8
 #: raw bytes of a chunk: larger chunks repeat fewer words
 CHUNK_BYTES = 16 << 20
 #: tokens whose distinct words a task sends together
@@ -136,11 +138,24 @@ def _class_contexts() -> tuple[np.ndarray, np.ndarray]:
 
 
 def sum_by(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct numbers (under 65,536) and the sum of their rows; ``values`` repeat for a longer index."""
+    """Distinct numbers (under 65,536), those with more rows first, and the sum of their rows; ``values`` repeat for a longer index."""
     order = np.argsort(index.astype(np.uint16), kind="stable")  # a radix sort
-    ordered = index[order]
+    ordered = index.take(order)
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    return ordered[first], np.add.reduceat(values.take(order % len(values), axis=0), first, axis=0)
+    many = np.diff(first, append=len(ordered))
+    by_size = np.argsort((FEW + 1 - np.minimum(many, FEW + 1)).astype(np.uint8), kind="stable")
+    first, many = first.take(by_size), many.take(by_size)
+    rows = order % len(values)
+    total = values.take(rows.take(first), axis=0)
+    # the second of all numbers that have one, then the third: most numbers have a few rows
+    for k in range(1, FEW):
+        total[: (n := np.count_nonzero(many > k))] += values.take(rows.take(first[:n] + k), axis=0)
+    if n := np.count_nonzero(many > FEW):
+        left = many[:n] - FEW
+        begin = np.cumsum(left) - left
+        rest = np.arange(left.sum()) + np.repeat(first[:n] + FEW - begin, left)
+        total[:n] += np.add.reduceat(values.take(rows.take(rest), axis=0), begin, axis=0)
+    return ordered.take(first), total
 
 
 class Batch:
@@ -186,7 +201,7 @@ class Model:
         """Change distinct ``rows``; each weight's rate falls with the gradients it has met."""
         squares = self.squares[which].take(rows, axis=0) + gradient * gradient
         self.squares[which][rows] = squares
-        self.weights[which][rows] -= np.float32(RATE) * gradient / np.sqrt(squares)
+        self.weights[which][rows] = self.weights[which].take(rows, axis=0) - np.float32(RATE) * gradient / np.sqrt(squares)
         self.summed[which] = None
 
     def step(self, batch: Batch) -> None:

@@ -495,3 +495,57 @@ def test_language_model_of_odd_rows(odd_docs, no_docs):
     assert maxent_lm.score_texts(no_docs, odd_docs).count() == 0
     unseen = maxent_lm.score_texts(odd_docs, no_docs).collect()
     assert {(r.n_known, r.train_tokens) for r in unseen} == {(0, 0)} and all(math.isfinite(r.score) for r in unseen)
+
+
+def test_score_is_that_of_the_weights(spark, documents):
+    """Token by token from the trained weights: features, both softmaxes and the share of the group."""
+    training = documents.where("doc_id % 3 = 0")
+    texts = ["The house, the HOUSE and the", "", None, "a b  a", "zzqq é の " + "x" * 80] + [r.text for r in training.limit(3).collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weights = maxent_lm.train(training).weights
+    mix, classes, groups = maxent_lm._mix, maxent_lm.CLASSES, maxent_lm.GROUPS
+
+    def tokens(text):
+        words = [w for w in re.split("[ \t-\r]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")) if w]
+        return [w.encode() for w in words] + [b""]
+
+    counts = Counter(t for r in training.collect() for t in tokens(r.text))
+    cell = lambda t: (maxent_lm.class_of(t[-2:]), maxent_lm.group_of(t[:2]))
+    seen, distinct = Counter(), Counter()
+    for t, n in counts.items():
+        seen[cell(t)] += n
+        distinct[cell(t)] += 1
+
+    def log10_softmax(table, rows, target):
+        logits = sum(table[int(r)].astype(float) for r in rows)
+        return (logits[target] - math.log(np.exp(logits).sum())) / math.log(10)
+
+    def brute(text):
+        total, w1, w2, k = 0.0, 1, 1, [classes] * 3
+        hashes = {t: int(maxent_lm.Tokens([t.decode()]).word[0]) if t else 0 for t in tokens(text)}
+        for t in tokens(text):
+            c, g = cell(t)
+            of_class = [mix([np.array([x]) if i else x for i, x in enumerate(f)])[0] for f in ([1, k[0]], [2, k[0], k[1]], [3, *k], [4, k[1], k[2]])]
+            of_group = [mix([np.array([x]) if i else x for i, x in enumerate(f)])[0] for f in ([5, c], [6, k[0], c], [7, k[0], k[1], c])]
+            u1, u2 = np.array([w1], np.uint64), np.array([w2], np.uint64)
+            of_class += [mix([11, u1])[0], mix([12, u1, u2])[0], mix([13, u2])[0]]
+            of_group += [mix([14, u1, np.array([c])])[0], mix([15, u1, u2, np.array([c])])[0]]
+            total += log10_softmax(weights[0], of_class, c) + log10_softmax(weights[1], of_group, g)
+            total += math.log10((counts[t] + 0.5) / (seen[c, g] + 0.5 * (distinct[c, g] + 1)))
+            w1, w2, k = hashes[t], w1, [c, *k[:2]]
+        return total
+
+    got = {r.doc_id: r.score for r in maxent_lm.score_texts(docs, training).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        assert math.isclose(got[i], brute(text), rel_tol=1e-4, abs_tol=1e-3), (i, got[i], brute(text))
+
+
+def test_sums_of_gradients_by_number():
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 300, 5000):
+        index, values = rng.integers(0, rng.integers(1, 400), size=3 * n), rng.normal(size=(n, 4))
+        number, total = maxent_lm.sum_by(index, values)
+        want = np.zeros((400, 4))
+        np.add.at(want, index, np.tile(values, (3, 1)))
+        assert sorted(number) == sorted(set(index.tolist())) and np.allclose(want[number], total)
