@@ -6,7 +6,9 @@ them once for all pre-tokens below it; a terminal node holds the count of its pr
 document's count is the sum over its pre-tokens.  Equal scores: the longer last piece wins.
 
 Scale: a narrow map over the texts, no shuffle.  The trie of a task is begun anew when it has
-``TRIE_NODES`` nodes, which bounds its memory and changes no count.
+``TRIE_NODES`` nodes, which bounds its memory and changes no count.  A pre-token of more than
+``LONG_TOKEN`` characters (text without spaces) goes through the same programme over a window of
+the longest piece's length, without nodes; its count is the same.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from stratus.llm.pieces import DEFAULT_MODEL, SPACE, Pieces, load_pieces
 ship_by_value(__name__)
 
 TRIE_NODES = 1_000_000
+LONG_TOKEN = 4096
 
 
 class CountTrie:
@@ -56,9 +59,29 @@ class CountTrie:
         self.terminal[token] = count = tokens[path[-1]]
         return count
 
+    def count_long(self, token: str) -> int:
+        """As :meth:`insert`, but of the prefixes only those that a piece can reach back to are held."""
+        known, longest = self.pieces.score, self.pieces.longest
+        marked = token.replace(" ", SPACE)
+        size = longest + 1
+        score, tokens = [0.0] * size, [0] * size  # of the prefix of each length, by its remainder
+        for end, char in enumerate(marked, 1):
+            best, count = float("-inf"), 0
+            for start in range(max(0, end - longest), end):
+                value = known.get(marked[start:end])
+                if value is not None and score[start % size] + value > best:
+                    best, count = score[start % size] + value, tokens[start % size] + 1
+            if char not in known and score[(end - 1) % size] + self.pieces.unknown > best:
+                best, count = score[(end - 1) % size] + self.pieces.unknown, tokens[(end - 1) % size] + len(char.encode())
+            score[end % size], tokens[end % size] = best, count
+        return tokens[len(marked) % size]
+
     def count(self, pre_tokens: list[str]) -> int:
         found = 0
         for token in pre_tokens:
+            if len(token) > LONG_TOKEN:
+                found += self.count_long(token)
+                continue
             n = self.terminal.get(token)
             found += self.insert(token) if n is None else n
         return found

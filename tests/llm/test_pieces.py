@@ -54,6 +54,18 @@ def test_no_better_path_through_the_whole_text():
         assert abs(best[-1] - whole) < 1e-6
 
 
+def test_long_pre_tokens_make_no_nodes(texts):
+    trie = token_counts.CountTrie(P)
+    joined = "".join("".join(texts.values()).split())[:20_000]
+    for token in (joined, "a" * 9_000, "é▁\U0001f600" * 2_000):
+        want = trie.insert(token)
+        before = len(trie.score)
+        assert trie.count([token, token]) == 2 * want == 2 * trie.count_long(token) and len(trie.score) == before
+    for token in [t for text in list(texts.values())[:20] for t in P.pre_tokens(text)]:
+        if token != pieces.SPACE:
+            assert trie.count_long(token) == trie.insert(token)
+
+
 def test_queries_agree(spark, texts):
     encoded = {r.doc_id: r for r in queries.QUERIES["op8_sentencepiece"](spark, SF001).collect()}
     counted = {r.doc_id: r for r in queries.QUERIES["op10_token_counts"](spark, SF001).collect()}
