@@ -6,6 +6,7 @@ import hashlib
 import html
 import re
 
+import duckdb
 import numpy as np
 
 from stratus.llm import html_blocks, html_extract, queries, warc
@@ -38,6 +39,15 @@ def test_warc_query_equals_plain_reading(spark):
         assert (r.record_type, r.refers_to) == (("response", None) if last[p.html] == p.page_id else ("revisit", last[p.html]))
 
 
+def test_warc_query_equals_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{SF001}/pages.parquet'")
+    want = con.sql(queries.ORACLE["op7_warc_salvage"])
+    got = queries.QUERIES["op7_warc_salvage"](spark, SF001)
+    assert got.columns == want.columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
+
+
 def test_warc_of_odd_rows(spark, tmp_path):
     read = round_trip(spark, odd_pages(spark), tmp_path)
     rows = read.withColumn("page_id", warc.page_number(read.record_id)).withColumn("to", warc.page_number(read.refers_to)).collect()
