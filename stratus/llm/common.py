@@ -32,6 +32,10 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: chunks and partitions that an operator asks for at most; beyond, chunks or partitions hold more
+MOST_CHUNKS = 1 << 16
+
+
 def chunk_count(df: DataFrame, column: str, chunk_bytes: int = CHUNK_BYTES) -> int:
     """Number of groups of about ``chunk_bytes`` that the column's text makes (1 at least)."""
     total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratus.llm.common import SLICE_ROWS, bound_batches, chunk_count, map_rows, ship_by_value
+from stratus.llm.common import MOST_CHUNKS, SLICE_ROWS, bound_batches, chunk_count, map_rows, ship_by_value
 
 ship_by_value(__name__)
 
@@ -119,9 +119,9 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    chunks = chunk_count(rows, "text")
+    chunks = min(MOST_CHUNKS, chunk_count(rows, "text"))  # tasks stream their rows, so a larger chunk needs no more memory
     ids = rows.select("key").distinct().repartitionByRange(chunks, "key")
-    firsts = ids.groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("first")).select("first").collect()  # one number per chunk
+    firsts = ids.groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("first")).select("first").collect()  # one number per chunk, MOST_CHUNKS at most
     bounds = np.array(sorted(r[0] for r in firsts), dtype=np.int64)
     last = len(bounds) - 1
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratus.llm.common import SLICE_ROWS, bound_batches, chunk_count, shared_table, ship_by_value
+from stratus.llm.common import MOST_CHUNKS, SLICE_ROWS, bound_batches, chunk_count, shared_table, ship_by_value
 
 ship_by_value(__name__)
 
@@ -337,7 +337,7 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chunks = chunk_count(rows, "text", CHUNK_BYTES)
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition(chunks, "chunk")
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition(min(chunks, MOST_CHUNKS), "chunk")
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct words of every chunk; a chunk's texts may come in several runs."""
