@@ -104,6 +104,26 @@ def test_metadata_holds_the_scalar_metrics(spark, bundle):
     assert 0 <= row["classification_metrics"]["accuracy"] <= 1 and row["regression_metrics"]["rmse"] >= 0
 
 
+def test_forests_read_rows_spread_evenly(spark, data, monkeypatch):
+    from stratus.operators import encode, models, sampling
+
+    read = []
+
+    def fit(self, df, params=None):
+        read.append([r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()])
+        raise _Stop
+
+    prep = training.prepare_training(data, "Chuva", "rain_mm", key=["event_id"])
+    with pytest.raises(_Stop):
+        monkeypatch.setattr(models.Pipeline, "fit", fit)
+        models.rf_classifier(prep.features, "Chuva").fit(encode.with_class_weight(prep.data.where("not is_test"), "Chuva"))
+    with pytest.raises(_Stop):
+        training.train_models(data, ["event_id"], "Chuva", "rain_mm", num_trees=1, max_depth=1)  # its folds come first
+    for sizes in read:
+        assert len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) <= 2 * min(sizes)
+    assert sampling.spread(data, 90, rows_per_task=10).rdd.getNumPartitions() == 9
+
+
 class _Stop(Exception):
     pass
 
