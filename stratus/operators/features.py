@@ -120,6 +120,7 @@ def lag_and_rolling(
     key: Sequence[str] = ("station_id",),
     order: Sequence[str | Column] = ("ts",),
     bucket: Column | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Lags and rolling stats in one pass (one set of windows)."""
     fns = {f"{c}_lag_{n}h": (lambda w, c=c, n=n: F.lag(c, n).over(w)) for c in lag_columns for n in lags}
@@ -130,7 +131,7 @@ def lag_and_rolling(
     before = max([*lags, *[n - 1 for n in windows], 0]) if (lag_columns or rolling_columns) else 0
     if not fns:
         return df
-    return S.bucket_windows(df, list(key), order, fns, list(dict.fromkeys([*lag_columns, *rolling_columns])), before=max(before, 1), bucket=bucket)
+    return S.bucket_windows(df, list(key), order, fns, list(dict.fromkeys([*lag_columns, *rolling_columns])), before=max(before, 1), bucket=bucket, parts=parts)
 
 
 def scenario_features(

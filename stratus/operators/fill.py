@@ -23,6 +23,7 @@ def fill_interpolate(
     order: Sequence[str | Column] = ("ts",),
     limit: int | None = 3,
     bucket: Column | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Linear interpolation by row position with a fill limit on *both* sides of a gap.
 
@@ -40,7 +41,7 @@ def fill_interpolate(
     if not columns:
         return df
     original = list(df.columns)
-    kcols, ranked = S.bucket_ranks(df, list(key), order, bucket)
+    kcols, ranked = S.bucket_ranks(df, list(key), order, bucket, parts)
     r = F.col(S.RANK)
     cell = {c: F.col(f"{S.ROW}.`{c}`") for c in columns}
     valid_r = {c: F.when(cell[c].isNotNull(), r) for c in columns}

@@ -27,6 +27,8 @@ from pyspark.sql.window import WindowSpec
 
 #: ten days: 240 rows of an hourly station
 DEFAULT_BUCKET_SECONDS = 864_000
+#: rows that a bucket of the busiest station may hold, and rows of one task; see dense_bucket
+BUCKET_ROWS, TASK_ROWS = 20_000, 150_000
 SEQ = "__seq"
 HALO = "__halo"
 RANK = "__r"
@@ -49,6 +51,28 @@ def time_bucket(ts: str | Column, seconds: int = DEFAULT_BUCKET_SECONDS) -> Colu
     return F.floor(wall / F.lit(seconds)).cast("long")
 
 
+def dense_bucket(df: DataFrame, key: Sequence[str], ts: str, rows: int = BUCKET_ROWS) -> tuple[Column, int | None]:
+    """:func:`time_bucket` of a width that suits ``df``: ten days, or less where a station has more than ``rows``
+    rows in ten days (down to a second).  Counts the rows by station and bucket when called; again for each
+    narrower width, until the fullest bucket fits.
+
+    Also returns the number of partitions that these buckets should be shuffled into (``parts=``): one for
+    ``TASK_ROWS`` rows, None for tables below that.
+    """
+    seconds, known = DEFAULT_BUCKET_SECONDS, df.select(*key, ts)
+    while True:
+        counts = known.groupBy(*key, time_bucket(ts, seconds).alias(BUCKET)).agg(F.count(F.lit(1)).alias("n"))
+        fullest, total = counts.agg(F.max(F.when(F.col(BUCKET).isNotNull(), F.col("n"))), F.sum("n")).first()
+        if seconds == 1 or (fullest or 0) <= rows:
+            break
+        # a margin, as buckets of one width are not equally full
+        seconds = max(1, min(seconds // 2, int(seconds * 0.75 * rows / fullest)))
+    parts = None
+    if (total or 0) > TASK_ROWS:
+        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS))
+    return time_bucket(ts, seconds), parts
+
+
 def _default_for(dt: T.DataType) -> Column:
     if isinstance(dt, T.StringType):
         return F.lit("")
@@ -93,7 +117,7 @@ def default_bucket(df: DataFrame, order: Sequence[str | Column]) -> Column:
     return time_bucket(first)
 
 
-def bucket_ranks(df: DataFrame, key: Sequence[str], order: Sequence[str | Column], bucket: Column | None = None):
+def bucket_ranks(df: DataFrame, key: Sequence[str], order: Sequence[str | Column], bucket: Column | None = None, parts: int | None = None):
     """Rows ranked 1..m inside ``(key, bucket)``: the key helpers, ``BUCKET``, ``RANK`` and the row as one struct ``ROW``.
 
     ``bucket`` must not decrease along ``order``.  Rows whose bucket is NULL follow all
@@ -102,6 +126,8 @@ def bucket_ranks(df: DataFrame, key: Sequence[str], order: Sequence[str | Column
     The ranked rows are read twice, by the bucket summary and as rows.  Both read the whole struct
     (see :func:`whole_row`), so that Spark plans one scan and one shuffle for them; with columns of
     their own they would be pruned to different plans.  Returns ``(helper names, ranked rows)``.
+
+    With ``parts`` the buckets are shuffled into that many partitions, which Spark does not merge.
     """
     original = list(df.columns)
     df, kcols = key_columns(df, key)
@@ -110,6 +136,8 @@ def bucket_ranks(df: DataFrame, key: Sequence[str], order: Sequence[str | Column
     spread = F.lit(_FIRST_NULL_BUCKET) + F.pmod(F.xxhash64(*plain), F.lit(NULL_BUCKETS))
     # never NULL, and Spark can tell: otherwise a join would filter one of the two readers only
     placed = df.withColumn(BUCKET, F.coalesce(bucket.cast("long"), spread.cast("long"), F.lit(_FIRST_NULL_BUCKET)))
+    if parts:
+        placed = placed.repartition(parts, *kcols, BUCKET)
     by = Window.partitionBy(*kcols, BUCKET).orderBy(*_order_cols(order))
     packed = placed.withColumn(ROW, F.struct(*[F.col(f"`{c}`") for c in original]))
     return kcols, packed.withColumn(RANK, F.row_number().over(by)).select(*kcols, BUCKET, RANK, ROW)
@@ -206,6 +234,7 @@ def bucket_windows(
     before: int = 0,
     after: int = 0,
     bucket: Column | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add window columns ``name -> fn(window)`` computed per key in row order.
 
@@ -215,8 +244,8 @@ def bucket_windows(
     many rows), where they stand before and after the bucket's own rows.  What a bucket carries is
     linear in ``before`` and ``after``, also for frames of hundreds of rows.
     """
-    kcols, ranked = bucket_ranks(df, key, order, bucket)
-    nparts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kcols, ranked = bucket_ranks(df, key, order, bucket, parts)
+    nparts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rank = F.col(RANK)
     held = F.struct(rank.cast("long").alias("r"), *[F.col(f"{ROW}.`{c}`").alias(c) for c in values])
     size = F.count(F.lit(1)).over(Window.partitionBy(*kcols, BUCKET))

@@ -18,7 +18,7 @@ from stratus.functions.roles import (
     resolve_measure_columns,
     resolve_time_columns,
 )
-from stratus.operators import clean, features, fill
+from stratus.operators import clean, features, fill, series
 from stratus.operators.stats import numeric_columns
 from stratus.sources.files import sink_csv
 from stratus.sources.station_csv import STATION_PATTERN, scan_station_csv
@@ -60,7 +60,8 @@ def fit_transform(
     ``lag_columns`` default to the first three temperature / humidity / pressure measures and
     ``rolling_columns`` to the first two (reference choice; :func:`lag_candidates` and
     :func:`rolling_candidates` list them all).  Rows of one station and time are in the order of
-    ``tie_break`` (default: a hash of the whole row).
+    ``tie_break`` (default: a hash of the whole row).  The stations' rows are counted when this is called,
+    for time buckets that fit the densest of them.
     """
     if key is None:
         key = next(([c] for c in (STATION, "source_file") if c in df.columns), [])
@@ -80,7 +81,8 @@ def fit_transform(
     order = [TS, *ties] if TS in out.columns else None
     if order is None:
         raise ValueError("no date column found; cannot order the series")
-    out = fill.fill_interpolate(out, measures, key=skey, order=order, limit=interpolate_limit)
+    bucket, parts = series.dense_bucket(out, skey, TS)
+    out = fill.fill_interpolate(out, measures, key=skey, order=order, limit=interpolate_limit, bucket=bucket, parts=parts)
     if create_target:
         rain = rain_column or next(iter(columns_with_keywords(out.columns, RAIN_KEYWORDS)), None)
         if rain is not None:
@@ -92,7 +94,7 @@ def fit_transform(
         lag_cols = list(lag_columns if lag_columns is not None else lag_candidates(measures)[:3]) if create_lags else []
         roll_cols = list(rolling_columns if rolling_columns is not None else rolling_candidates(measures)[:2]) if create_rolling else []
         before = set(out.columns)
-        out = features.lag_and_rolling(out, lag_cols, [1, 3, 6], roll_cols, [3, 6, 12], key=skey, order=order)
+        out = features.lag_and_rolling(out, lag_cols, [1, 3, 6], roll_cols, [3, 6, 12], key=skey, order=order, bucket=bucket, parts=parts)
         generated = [c for c in out.columns if c not in before]
         out = out.na.drop(how="any", subset=generated) if generated else out
     if not key:

@@ -229,3 +229,28 @@ def test_carried_rows_are_linear_in_the_frame(spark, rows):
             met = [t.r for t in r.near]
             wanted = range(max(1, r["__o"] - 719), r["__o"] + 1) if carry is S.rows_before else range(r["__o"] + r["__n"] + 1, min(5000, r["__o"] + r["__n"] + 720) + 1)
             assert len(met) <= 1440 and met == sorted(met) and set(wanted) <= set(met)
+
+
+def test_buckets_fit_the_densest_station(spark, monkeypatch):
+    rows = "SELECT id % 3 AS station_id, timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id * 60) AS ts, id FROM range(3000)"
+    df = spark.sql(rows + " UNION ALL SELECT 1, NULL, -id FROM range(5000)")
+    fullest = lambda bucket: df.where("ts is not null").groupBy("station_id", bucket.alias("b")).count().agg(F.max("count")).first()[0]
+    monkeypatch.setattr(S, "TASK_ROWS", 100)
+    bucket, parts = S.dense_bucket(df, ["station_id"], "ts", rows=50)
+    assert fullest(S.default_bucket(df, ["ts"])) == 1000 and 10 < fullest(bucket) <= 50 and parts == 80
+    monkeypatch.setattr(S, "TASK_ROWS", 8000)
+    bucket, parts = S.dense_bucket(df, ["station_id"], "ts", rows=1000)
+    assert fullest(bucket) == 1000 and parts is None  # sparse enough as it is
+
+
+def test_more_partitions_give_the_same_rows(spark):
+    df = spark.sql("SELECT id % 3 AS station_id, timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id * 60) AS ts, IF(id % 7 < 2, NULL, id * 1.5D) AS v, id FROM range(600)")
+    bucket = S.time_bucket("ts", 3600)
+
+    def run(parts):
+        out = FL.fill_interpolate(df, ["v"], order=["ts", "id"], bucket=bucket, parts=parts)
+        return FE.lag_and_rolling(out, ["v"], [1, 3], ["v"], [6], order=["ts", "id"], bucket=bucket, parts=parts)
+
+    many = run(19)
+    assert sorted(many.collect()) == sorted(run(None).collect())
+    assert "REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
