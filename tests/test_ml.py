@@ -124,6 +124,29 @@ def test_forests_read_rows_spread_evenly(spark, data, monkeypatch):
     assert sampling.spread(data, 90, rows_per_task=10).rdd.getNumPartitions() == 9
 
 
+def test_forests_read_rows_in_order_of_the_target(spark, data, monkeypatch):
+    from stratus.operators import encode, models
+
+    read = []
+
+    def fit(self, df, params=None):
+        read.append([r["mm"] for r in df.groupBy(F.spark_partition_id()).agg(F.collect_list("rain_mm").alias("mm")).collect()])
+        raise _Stop
+
+    prep = training.prepare_training(data, "Chuva", "rain_mm", key=["event_id"])
+    monkeypatch.setattr(models.Pipeline, "fit", fit)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the rows of a class are not brought together by any join
+    try:
+        with pytest.raises(_Stop):
+            models.rf_regressor(prep.features, "rain_mm").fit(encode.with_class_weight(prep.data.where("not is_test"), "Chuva"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(_Stop):
+        training.train_models(data, ["event_id"], "Chuva", "rain_mm", num_trees=1, max_depth=1)  # its folds come first
+    for parts in read:
+        assert len(parts) >= spark.sparkContext.defaultParallelism and all(mm == sorted(mm) for mm in parts)
+
+
 class _Stop(Exception):
     pass
 
