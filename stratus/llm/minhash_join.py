@@ -227,7 +227,7 @@ def open_members(classes: DataFrame) -> DataFrame:
 
     keys = shared_table(bound_batches(classes.select("cls", "component", "sig")).mapInArrow(keyed, "key long, cls long, component long"), "class-keys")
     spans = keys.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return keys.join(spans.where("low <> high").select("key"), "key").select("key", "cls")
+    return keys.join(spans.where("low <> high"), "key", "left_semi").select("key", "cls")
 
 
 def open_parts(members: DataFrame, classes: DataFrame, part_limit: int = PART_LIMIT) -> DataFrame:

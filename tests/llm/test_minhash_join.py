@@ -144,3 +144,22 @@ def test_odd_and_empty_tables(spark, odd_docs, no_docs):
     assert mj.minhash_components(no_docs).collect() == []
     bare = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (None, None)], "doc_id long, text string")
     assert found(mj.minhash_components(bare)) == brute([(None, "a b c d e f")] * 2 + [(None, None)])
+
+
+def test_rows_of_open_keys_grow_with_the_classes(spark):
+    """At most a row per class and key, however many classes of two components share each of them."""
+    draw = np.random.default_rng(8)
+    base, made = draw.integers(0, 1 << 16, mj.SYMBOLS, dtype=np.uint16), []
+    for n in (100, 200):
+        rows = []
+        for i in range(n):
+            sig = base.copy()
+            sig[draw.integers(0, mj.SYMBOLS, 3)] = draw.integers(0, 1 << 16, 3, dtype=np.uint16)
+            rows.append((i, i % 2, bytearray(sig.tobytes())))
+        classes = spark.createDataFrame(rows, "cls long, component long, sig binary")
+        members = mj.open_members(classes)
+        assert "LeftSemi" in members._jdf.queryExecution().optimizedPlan().toString()
+        parts = mj.open_parts(members, classes, part_limit=1000)
+        made.append((members.count(), parts.count()))
+        assert made[-1][0] == made[-1][1] <= n * len(mj.KEYS)
+    assert made[1][0] <= 2.5 * made[0][0]
