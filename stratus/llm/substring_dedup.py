@@ -136,16 +136,19 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return texts.combine(units, one)
 
-    changed = joined.where(F.col("`gone units`").isNotNull()).withColumn("rest of text", rest(text, F.col("`gone units`")))
-    changed = changed.where(F.length(F.trim("rest of text")) > 0)
+    rest = rest.asNondeterministic()  # else the filter below would have it computed a second time
+    # one pass over the joined rows, as the texts are moved for it; those that lose nothing are not handed to Python
+    changes = F.col("`gone units`").isNotNull()
+    cut = joined.withColumn("rest of text", rest(F.when(changes, text.cast("string")), F.when(changes, F.col("`gone units`"))))
+    cut = cut.where(~changes | (F.length(F.trim("rest of text")) > 0))
     types = dict(docs.dtypes)
 
     def column(name: str):
+        old = F.col(f"`{name}`")
         if name == text_col:
-            return F.col("`rest of text`").alias(name)
+            return F.when(changes, F.col("`rest of text`")).otherwise(old).alias(name)
         if name == "n_chars":
-            return F.length("rest of text").cast(types[name]).alias(name)
-        return F.col(f"`{name}`")
+            return F.when(changes, F.length("rest of text").cast(types[name])).otherwise(old).alias(name)
+        return old
 
-    same = joined.where(F.col("`gone units`").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return same.unionByName(changed.select(*[column(c) for c in docs.columns]))
+    return cut.select(*[column(c) for c in docs.columns])

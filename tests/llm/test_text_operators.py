@@ -38,6 +38,11 @@ def test_repeated_spans_of_odd_rows(odd_docs, no_docs):
     assert substring_dedup.repeated_spans(no_docs).count() == 0
 
 
+def test_drop_repeats_moves_texts_once(odd_docs):
+    plan = substring_dedup.drop_repeats(odd_docs, min_words=5)._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and plan.count("ArrowEvalPython") == 1
+
+
 def test_drop_repeats_cuts_and_keeps(spark, odd_docs, no_docs):
     out = substring_dedup.drop_repeats(odd_docs, min_words=5)
     assert out.columns == odd_docs.columns
