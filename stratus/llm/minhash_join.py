@@ -216,7 +216,7 @@ def sets_of(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
 
 
 def open_members(classes: DataFrame) -> DataFrame:
-    """``(cls, component, sig)`` -> ``(key, cls)``: the classes of every key that lie in several components."""
+    """``(cls, component, sig)`` -> ``(key, cls, component)``: the classes of every key that lie in several components."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,14 +227,14 @@ def open_members(classes: DataFrame) -> DataFrame:
 
     keys = shared_table(bound_batches(classes.select("cls", "component", "sig")).mapInArrow(keyed, "key long, cls long, component long"), "class-keys")
     spans = keys.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return keys.join(spans.where("low <> high"), "key", "left_semi").select("key", "cls")
+    return keys.join(spans.where("low <> high"), "key", "left_semi").select("key", "cls", "component")
 
 
 def open_parts(members: DataFrame, classes: DataFrame, part_limit: int = PART_LIMIT) -> DataFrame:
-    """``(key, cls)`` and ``(cls, component, ...)`` -> ``(node, cls, component, ...)`` of the keys whose classes lie in
+    """``(key, cls[, component])`` and ``(cls, component, ...)`` -> ``(node, cls, component, ...)`` of the keys whose classes lie in
     several components.  A key with over ``part_limit`` classes is cut into parts in which each class meets
-    all those of other components, but those of the largest one do not meet each other."""
-    placed = shared_table(members.join(classes.select("cls", "component"), "cls"), "open-keys")
+    all those of other components, but those of the largest one do not meet each other.  Members that come with the ``component`` are not joined for it."""
+    placed = shared_table(members if "component" in members.columns else members.join(classes.select("cls", "component"), "cls"), "open-keys")
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
     cut = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("all"), F.count("*").alias("components"))
     cut = cut.where("components > 1").select(

@@ -163,3 +163,23 @@ def test_rows_of_open_keys_grow_with_the_classes(spark):
         made.append((members.count(), parts.count()))
         assert made[-1][0] == made[-1][1] <= n * len(mj.KEYS)
     assert made[1][0] <= 2.5 * made[0][0]
+
+
+def test_open_keys_bring_their_components(spark, monkeypatch):
+    """No join looks up what the members of open keys come with; the parts are those that such a join gives."""
+    draw = np.random.default_rng(9)
+    base, rows = draw.integers(0, 1 << 16, mj.SYMBOLS, dtype=np.uint16), []
+    for i in range(40):
+        sig = base.copy()
+        sig[draw.integers(0, mj.SYMBOLS, 3)] = draw.integers(0, 1 << 16, 3, dtype=np.uint16)
+        rows.append((i, i % 3, bytearray(sig.tobytes())))
+    classes = spark.createDataFrame(rows, "cls long, component long, sig binary")
+    written, write = {}, mj.shared_table
+    monkeypatch.setattr(mj, "shared_table", lambda df, name: written.update({name: df}) or write(df, name))
+    members = mj.open_members(classes)
+    for limit in (1000, 5):
+        parts = sorted((r.node, r.cls, r.component) for r in mj.open_parts(members, classes, limit).collect())
+        assert "Join Inner" not in written["open-keys"]._jdf.queryExecution().optimizedPlan().toString()
+        looked_up = mj.open_parts(members.select("key", "cls"), classes, limit)
+        assert "Join Inner" in written["open-keys"]._jdf.queryExecution().optimizedPlan().toString()
+        assert parts == sorted((r.node, r.cls, r.component) for r in looked_up.collect())
