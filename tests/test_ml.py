@@ -175,3 +175,34 @@ def test_queries_train_whole_forests(spark, monkeypatch):
         with pytest.raises(_Stop):
             run()
     assert met == [(100, 10)] * len(runs)
+
+
+def test_amount_forest_in_parts_is_whole(spark, data, monkeypatch):
+    import threading
+
+    from stratus.operators import models
+
+    rows = data.select("event_id", "rain_mm", "signal", "noise")
+    whole, meet = models.RandomForestRegressor.fit, threading.Barrier(3, timeout=120)
+
+    def fit(self, df, params=None):
+        meet.wait()  # passes only when all parts are fitted at the same time
+        return whole(self, df)
+
+    monkeypatch.setattr(models.RandomForestRegressor, "fit", fit)
+    model = models.rf_regressor(["signal", "noise"], "rain_mm", num_trees=45, max_depth=4).fit(rows)
+    parts = model.stages[1:-1]
+    assert [p.getNumTrees for p in parts] == [20, 20, 5] and len({t.toDebugString.split("\n", 1)[1] for p in parts for t in p.trees}) > 40
+    assert models.score_regressor(model, rows).columns == [*rows.columns, "quantidade_chuva_prevista_mm"]
+    trees = [t for p in parts for t in p.trees]
+    for r in models.score_regressor(model, models._assembler(["signal", "noise"]).transform(rows.limit(20)).withColumnRenamed(models.FEATURES_VEC, "v")).collect():
+        assert math.isclose(r["quantidade_chuva_prevista_mm"], sum(t.predict(r["v"]) for t in trees) / 45)
+    assert math.isclose(sum(r["importance"] for r in models.feature_importance(model, ["signal", "noise"]).collect()), 1)
+
+
+def test_bundle_of_parts_scores_the_same_when_loaded(spark, data):
+    b, report = training.train_models(data, ["event_id"], "Chuva", "rain_mm", num_trees=21, max_depth=3, cv_folds=2)
+    assert sum(s.getNumTrees for s in b.regressor.stages[1:-1]) == 21 and {"cv_r2_fold1", "r2"} <= {r["metric"] for r in report.collect()}
+    again = persist.load_bundle(spark, persist.save_bundle(b, scratch_path(spark, "parts-bundle")))
+    found = [{r["event_id"]: r["quantidade_chuva_prevista_mm"] for r in scoring.score_batch(x, data).collect()} for x in (b, again)]
+    assert found[0] == found[1] and len(found[0]) == data.count()
