@@ -206,3 +206,69 @@ def test_bundle_of_parts_scores_the_same_when_loaded(spark, data):
     again = persist.load_bundle(spark, persist.save_bundle(b, scratch_path(spark, "parts-bundle")))
     found = [{r["event_id"]: r["quantidade_chuva_prevista_mm"] for r in scoring.score_batch(x, data).collect()} for x in (b, again)]
     assert found[0] == found[1] and len(found[0]) == data.count()
+
+
+def test_parts_are_fitted_as_many_at_a_time_as_memory_holds(spark, data, monkeypatch):
+    import threading
+
+    from stratus.operators import models
+    from stratus.session import storage_bytes
+
+    assert storage_bytes(spark) > 0
+    rows = data.select("event_id", "rain_mm", "signal", "noise")
+    pipe = models.rf_regressor(["signal", "noise"], "rain_mm", num_trees=50, max_depth=3)
+    whole, lock, running, most = models.RandomForestRegressor.fit, threading.Lock(), [], []
+
+    def fit(self, df, params=None):
+        with lock:
+            running.append(self)
+            most.append(len(running))
+        model = whole(self, df)
+        with lock:
+            running.remove(self)
+        return model
+
+    monkeypatch.setattr(models.RandomForestRegressor, "fit", fit)
+    trees = [[t.toDebugString.split("\n", 1)[1] for p in pipe.fit(rows).stages[1:-1] for t in p.trees]]
+    assert max(most) > 1
+    most.clear()
+    monkeypatch.setattr(models, "storage_bytes", lambda spark: 1)
+    trees.append([t.toDebugString.split("\n", 1)[1] for p in pipe.fit(rows).stages[1:-1] for t in p.trees])
+    assert max(most) == 1 and trees[0] == trees[1]
+    most.clear()
+    folds = rows.withColumn("fold", (F.col("event_id") % 2).cast("int"))
+    assert models.cross_validate(folds, pipe, "fold", "rain_mm", "regression", 2).count() == 2 and max(most) == 1
+
+
+def test_forests_are_the_same_from_stored_vectors_and_kept_nodes(spark, data):
+    from stratus.operators import models
+
+    rows = data.select("event_id", "Chuva", "rain_mm", "signal", "noise").repartition(4, "event_id").sortWithinPartitions("event_id").checkpoint()
+    for pipe in (models.rf_regressor(["signal", "noise"], "rain_mm", num_trees=21, max_depth=4), models.rf_classifier(["signal", "noise"], weight_col=None, num_trees=8, max_depth=4)):
+        stored = models.assembled(rows, pipe).checkpoint()
+        assert stored.columns == ["event_id", "Chuva", "rain_mm", models.FEATURES_VEC]
+        forests = [s for s in pipe.getStages()[1:] if hasattr(s, "getCacheNodeIds")]
+        assert all(f.getCacheNodeIds() for f in forests)
+        found = [pipe.fit(rows), pipe.fit(stored)]
+        for f in forests:
+            f.setCacheNodeIds(False)
+        found.append(pipe.fit(rows))
+        texts = [[t.toDebugString.split("\n", 1)[1] for s in m.stages if hasattr(s, "trees") for t in s.trees] for m in found]
+        assert texts[0] == texts[1] == texts[2] and len(texts[0]) in (21, 8)
+        score = models.score_classifier if len(forests) == 1 else models.score_regressor
+        out = [{r["event_id"]: r[-1] for r in score(found[0], x).collect()} for x in (rows, stored)]
+        assert out[0] == out[1] and len(out[0]) == rows.count()
+
+
+def test_training_stores_the_vectors_that_its_forests_read(data, monkeypatch):
+    from stratus.operators import models
+
+    read, whole = [], models.Pipeline.fit
+
+    def fit(self, df, params=None):
+        read.append((models.FEATURES_VEC in df.columns, "signal" in df.columns))
+        return whole(self, df)
+
+    monkeypatch.setattr(models.Pipeline, "fit", fit)
+    training.train_models(data, ["event_id"], "Chuva", "rain_mm", num_trees=2, max_depth=2, cv_folds=2)
+    assert read == [(True, False)] * 6
