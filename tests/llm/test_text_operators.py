@@ -554,3 +554,21 @@ def test_sums_of_gradients_by_number():
         want = np.zeros((400, 4))
         np.add.at(want, index, np.tile(values, (3, 1)))
         assert sorted(number) == sorted(set(index.tolist())) and np.allclose(want[number], total)
+
+
+def test_equal_items_are_matched_once(spark, monkeypatch):
+    texts = {1: "Tom has 5 apples and gives 3 of them to his old friend Ann before the long walk home", 2: "a second item that stands alone with words of its own and a few more of them here", 3: None}
+    bench = spark.createDataFrame([(i + 10 * k, t) for i, t in texts.items() for k in range(6)] + [(1, texts[1]), (None, texts[1]), (99, texts[1]), (99, texts[2])], "item_id long, text string")
+    docs = spark.createDataFrame([(5, "He said so. " + texts[1].replace("5", "8") + " again."), (6, texts[2]), (7, "nothing of that kind")], "doc_id long, text string")
+    met, windows = [], decontaminate.benchmark_windows
+
+    def counted(rows, *args):
+        met.append(sorted(r[0] for r in rows.select("item_id").collect()))
+        return windows(rows, *args)
+
+    monkeypatch.setattr(decontaminate, "benchmark_windows", counted)
+    found = {(r.doc_id, r.item_id): r[2:] for r in decontaminate.find_contamination(docs, bench).collect()}
+    assert met == [[1, 2, 99, 99]]
+    assert {k for k in found if k[1] != 99} == {(5, 1 + 10 * k) for k in range(6)} | {(6, 2 + 10 * k) for k in range(6)}
+    assert len({found[5, 1 + 10 * k] for k in range(6)}) == len({found[6, 2 + 10 * k] for k in range(6)}) == 1
+    assert {(5, 99), (6, 99)} <= set(found)
